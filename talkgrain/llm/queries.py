@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from talkgrain.llm.common import documents
+from talkgrain.llm.decontaminate import leaks
 from talkgrain.llm.near_dedup import near_duplicates
+from talkgrain.llm.packing import pack
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op2_decontamination(spark, sf_dir):
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op4_best_fit_packing": op4_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
