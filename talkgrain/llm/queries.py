@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from talkgrain.llm import pii, secrets
 from talkgrain.llm.common import documents
 from talkgrain.llm.decontaminate import leaks
 from talkgrain.llm.near_dedup import near_duplicates
@@ -20,9 +21,19 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.summary(secrets.scan(documents(spark, sf_dir)))
+
+
+def op7_personal_data(spark, sf_dir):
+    return pii.summary(pii.scan(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_personal_data": op7_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {}
