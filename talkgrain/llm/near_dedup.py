@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrain.llm.common import discard, materialize
+from talkgrain.llm.common import materialize
 from talkgrain.llm.components import connected_components
 
 WORDS = 5
@@ -27,8 +27,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, 4094
 #: an estimate this far below the threshold (over six standard deviations) ends a candidate
 MARGIN = 0.2
-#: star rounds before what is left of the buckets is compared pair by pair
-STAR_ROUNDS = 4
+#: documents a side that a task compares at once, and shingles at a time
+BLOCK, COLUMNS = 512, 4096
 
 _rng = np.random.default_rng(20210101)
 _MUL = _rng.integers(0, 2**32, M, dtype=np.uint32) | np.uint32(1)
@@ -122,28 +122,52 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
     return pd.Series(joint_estimate((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), n_a.to_numpy(float), n_b.to_numpy(float)))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough: likelihood first, then the sets themselves."""
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"r_{x}"))
-    likely = materialize(
-        pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(_estimate("r_a", "r_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b"),
-        "likely",
-    )
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "sets")
-    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("i"), (F.size("s_a") + F.size("s_b")).cast("long").alias("t"))
-    edges = materialize(shared.where(f"100 * i >= {percent} * (t - i)").select("a", "b"), "edges")
-    discard(likely)
-    discard(sets)
-    return edges
-
-
-def _members(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Bucket members whose bucket still holds two components, each with its component."""
-    now = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = now.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
-    return now.join(open_keys, "k", "left_semi")
+def _links(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of x's sets are linked with which of y's, from all intersection sizes at once."""
+    sizes = np.array([len(s) for s in x + y])
+    hashes, column, count = np.unique(np.concatenate(x + y), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        m = np.zeros((len(sizes), min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
+        m[row[part], column[part] - lo] = 1
+        both += m[: len(x)] @ m[len(x) :].T
+    either = sizes[: len(x), None] + sizes[None, len(x) :] - both
+    return 100 * both.astype(np.float64) >= percent * either
+
+
+def _block_links(percent: int):
+    """Links between different components within each (p, i, j); rows must come sorted by these."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j = rows[0][1:3]
+        x = [r for r in rows if r[3] == i]
+        y = x if i == j else [r for r in rows if r[3] == j]
+        if len({r[5] for r in x + y}) < 2 or not x or not y:
+            return []
+        hit = _links([r[6] for r in x], [r[6] for r in y], percent)
+        hit &= np.array([r[5] for r in x])[:, None] != np.array([r[5] for r in y])[None, :]
+        return [(x[a][4], y[b][4]) for a, b in zip(*np.nonzero(hit), strict=True)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple[int, int]] = []
+            for r in pdf.itertuples(index=False, name=None):
+                if held and held[0][:3] != r[:3]:
+                    out += links(held)
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if held:
+            yield pd.DataFrame(links(held), columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -151,52 +175,53 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     `docs` needs doc_id and text; other columns are not looked at. A null, empty or blank text has no shingles and no
     links. Equal shingle sets are one class and are compared once, by the class's least doc_id. A null doc_id gets a
-    row of its own with null component_id, kept. Rows that repeat a doc_id give one row; if their texts differ, the one with the
-    least digest counts. An empty table gives an empty result.
+    row of its own with null component_id, kept. Rows that repeat a doc_id give one row; if their texts differ, the least
+    text counts. An empty table gives an empty result.
 
-    No bucket is expanded into all its pairs: each is first compared with one pivot, pivots leave their buckets, and
-    buckets that lie within one component are done, since no link in them could change the result. Only what is still
-    in different components after STAR_ROUNDS rounds is compared pair by pair.
+    No bucket is expanded into its pairs. Each bucket's members are compared with its pivot, the least doc_id; members
+    of different buckets with one pivot form one group. In a group, members linked with the pivot are in one component,
+    so only members outside it can add anything: these outliers are compared with the group's other components in
+    blocks of at most about BLOCK documents a side, on their full sets, and only links leave the task.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id is null"))
     table = materialize(docs.mapInPandas(_sketches, "doc_id long, n long, c1 long, c2 long, bands array<long>"), "sketches")
-    if table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = F.min(F.struct("c1", "c2", "n", "bands")).alias("x")
-        table = materialize(table.where("doc_id is not null").groupBy("doc_id").agg(first).select("doc_id", "x.n", "x.c1", "x.c2", "x.bands").unionByName(table.where("doc_id is null")), "sketches")
     full = table.where("doc_id is not null and n > 0")
     classes = materialize(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     sketches = table.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "bands")
 
-    banded = sketches.select("doc_id", "n", F.posexplode("bands")).select("doc_id", "n", F.xxhash64("pos", "col").alias("k"))
-    shared = banded.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    members = materialize(banded.join(shared, "k", "left_semi"), "members")
-
-    edges, tested = None, None
-    current = members
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            pivot = current.groupBy("k").agg(F.min(F.struct("doc_id", "n", *["component"] * (turn > 0))).alias("p"))
-            met = current.join(pivot, "k").where("doc_id <> p.doc_id")
-            if turn:
-                met = met.where("component <> p.component")
-            pairs = met.where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)").select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        else:
-            x, y = current.alias("x"), current.alias("y")
-            pairs = x.join(y, F.expr(f"x.k = y.k and x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = _verified(pairs, sketches, docs, percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        component = materialize(connected_components(edges), "components")
-        if turn == STAR_ROUNDS:
-            break
-        rest = current.join(pivot.select("k", F.col("p.doc_id").alias("doc_id")), ["k", "doc_id"], "left_anti").select("k", "doc_id", "n")
-        current = materialize(_members(rest, component), "members")
-        if not current.limit(1).count():
-            break
+    banded = sketches.select("doc_id", F.posexplode("bands")).select("doc_id", F.xxhash64("pos", "col").alias("k"))
+    pivots = banded.groupBy("k").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("k", "a")
+    star = materialize(banded.join(pivots, "k").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "star")
+
+    wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    texts = docs.where("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
+    sets = materialize(texts.mapInPandas(_sets, "doc_id long, s array<long>"), "sets")
+
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"r_{x}"))
+    near = star.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    likely = near.where(_estimate("r_a", "r_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b")
+    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("i"), (F.size("s_a") + F.size("s_b")).cast("long").alias("t"))
+    edges = materialize(shared.where(f"100 * i >= {percent} * (t - i)").select("a", "b"), "edges")
+    component = materialize(connected_components(edges), "components")
+
+    of = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    group = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("own"), F.coalesce("c_b", "b").alias("component"))
+    out = (F.col("component") != F.col("own")).cast("int")
+    group = materialize(group.withColumn("out", out), "groups")
+    sizes = group.groupBy("a").agg(F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = sizes.where("outs > 0 and lo < hi").select("a", F.ceil(F.col("outs") / BLOCK).alias("no"), F.ceil(F.col("ins") / BLOCK).alias("ni"))
+    dealt = group.join(blocks, "a").withColumn("block", F.expr("if(out = 1, pmod(xxhash64(b), no), no + pmod(xxhash64(b), ni))"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, if(out = 1, no + ni, no) - 1)")))
+    keyed = dealt.select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "b", "component")
+    rows = keyed.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "i", "j", "block", "b", "component", "s")
+    found = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInPandas(_block_links(percent), "a long, b long")
+    more = materialize(found, "edges")
+    if more.limit(1).count():
+        component = materialize(connected_components(edges.unionByName(more)), "components")
+
     by_class = classes.join(component, classes.rep == component.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     linked = full.join(by_class, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = table.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
