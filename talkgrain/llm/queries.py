@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from talkgrain.llm import pii, secrets
+from talkgrain.llm import licenses, pii, secrets
 from talkgrain.llm.common import documents
 from talkgrain.llm.decontaminate import leaks
+from talkgrain.llm.fingerprints import fingerprints
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack
 
@@ -21,6 +22,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.summary(secrets.scan(documents(spark, sf_dir)))
 
@@ -29,11 +34,17 @@ def op7_personal_data(spark, sf_dir):
     return pii.summary(pii.scan(documents(spark, sf_dir)))
 
 
+def op10_fingerprints(spark, sf_dir):
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_personal_data": op7_personal_data,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
