@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from talkgrain.llm import licenses, pii, secrets
+from pyspark.sql import functions as F
+
+from talkgrain.llm import langid, licenses, pii, quality, secrets
 from talkgrain.llm.common import documents
 from talkgrain.llm.decontaminate import leaks
 from talkgrain.llm.fingerprints import fingerprints
@@ -34,6 +36,20 @@ def op7_personal_data(spark, sf_dir):
     return pii.summary(pii.scan(documents(spark, sf_dir)))
 
 
+def op8_quality_rules(spark, sf_dir):
+    """Learns from labels of documents whose crc32 leaves 0 or 2 on division by 3."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(documents(spark, sf_dir), labels, ~langid.held_out(F.col("doc_id"), 3, 1))
+    return scored.select("doc_id", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark, sf_dir):
+    """Learns from documents whose crc32 leaves 0, 1 or 3 on division by 4."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_fingerprints(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir))
 
@@ -45,6 +61,8 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_personal_data": op7_personal_data,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
