@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from talkgrain.llm import langid
+from talkgrain.llm.common import materialize
+from talkgrain.llm.decontaminate import leaks
 from talkgrain.llm.near_dedup import near_duplicates
+from talkgrain.llm.packing import pack
+from talkgrain.llm.secrets import redact
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: a prediction that is less sure than this rejects the document
+SURE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is not told apart from the others, go."""
+    predicted = langid.predict(docs, langid.fit(docs))
+    gone = predicted.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE)).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +30,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    gone = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking secrets are replaced in the texts; every document stays."""
+    clean = redact(docs.select(COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its place in a training sequence."""
+    return pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("packing", packing)]
+#: no stage but the joins between them can be said in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table, each written as Parquet and read again by the next."""
-    from talkgrain.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
