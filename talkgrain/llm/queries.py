@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkgrain.llm import langid, licenses, pii, quality, secrets
 from talkgrain.llm.common import documents
 from talkgrain.llm.decontaminate import leaks
+from talkgrain.llm.exact_substrings import remove_repeats
 from talkgrain.llm.fingerprints import fingerprints
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack
@@ -20,6 +21,10 @@ def op2_decontamination(spark, sf_dir):
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ def op10_fingerprints(spark, sf_dir):
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
