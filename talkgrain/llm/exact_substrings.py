@@ -30,7 +30,7 @@ HOT = 20_000
 BUCKET_BYTES = 2_000_000
 #: bits of the filter that spares shuffling texts without repeats, at most (16 MB)
 FILTER_BITS = 1 << 27
-_SEP = 0xFF  # in no UTF-8 text
+_SEP, _START = 0xFF, 0xFE  # in no UTF-8 text
 _RUNS = "doc_id long, h long, c long, first int, n int"
 
 
@@ -162,6 +162,7 @@ def repeats(contexts: list[bytes], n: list[int]) -> list[list[tuple[int, int]]]:
     starts = np.cumsum(sizes) - sizes
     sa = suffix_array(text)
     bwt = text[sa - 1]
+    bwt[sa == 0] = _START
     ends = np.flatnonzero(np.concatenate(([False], bwt[1:] != bwt[:-1])))  # where a run of the BWT ends and the next begins
     match = np.full(len(text), -1, np.int64)
     match[sa[ends]] = common_prefix(text, sa[ends], sa[ends - 1]) + sa[ends]
