@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from talkgrain.plans import session_queries
+from talkgrain.plans import session_queries, turn_queries
 
-MODULES = [session_queries]
+MODULES = [session_queries, turn_queries]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions import text as T
 from talkgrain.operators import filters, lifecycle, search
+from talkgrain.plans.register import registered
 from talkgrain.sources.tables import CHUNKS, SEGMENTS, SESSIONS, chunks, segments, sessions, table
 
 QUERIES, ORACLE_SQL = {}, {}
+query = registered(QUERIES, ORACLE_SQL)
 NOW = "2024-03-01 00:00:00"
-FOLDED = "strip_accents(lower({}))"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
 
 
 WANTED = filters.SearchFilter(query="ation", date_from="2024-01-02 00:00:00", date_to="2030-01-01 00:00:00", language="fr")
@@ -172,18 +163,18 @@ def success_rate(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.when(seen > 0, good / seen).otherwise(1.0), 6).alias("rate"))
 
 
-@query("with b as (select user_id, floor(epoch_ms(ts) / 3600000) as bucket, count(distinct event_type) as kinds from events group by 1, 2) select user_id, round(avg(case when kinds > 1 then 1.0 else 0.0 end), 6) as conflict_rate from b group by 1")
+@query("with b as (select user_id, epoch_us(ts) // 3600000000 as bucket, count(distinct event_type) as kinds from events group by 1, 2) select user_id, round(avg(case when kinds > 1 then 1.0 else 0.0 end), 6) as conflict_rate from b group by 1")
 def conflict_rate(spark, sf_dir):
     """Share of time buckets that hold more than one distinct value."""
-    hour = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000)
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
     b = table(spark, sf_dir, "events").groupBy("user_id", hour.alias("bucket")).agg(F.count_distinct("event_type").alias("kinds"))
     return b.groupBy("user_id").agg(F.round(F.avg((F.col("kinds") > 1).cast("int")), 6).alias("conflict_rate"))
 
 
-@query("select user_id, floor(epoch_ms(ts) / 3600000)::bigint as bucket, max_by(event_type, {'v': value, 'id': event_id}) as event_type, count(*) as n from events group by 1, 2")
+@query("select user_id, epoch_us(ts) // 3600000000 as bucket, max_by(event_type, {'v': value, 'id': event_id}) as event_type, count(*) as n from events group by 1, 2")
 def best_per_bucket(spark, sf_dir):
     """The most confident entry of each bucket, the later of equals."""
-    hour = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000)
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
     return table(spark, sf_dir, "events").groupBy("user_id", hour.alias("bucket")).agg(F.max_by("event_type", F.struct("value", "event_id")).alias("event_type"), F.count("*").alias("n"))
 
 
