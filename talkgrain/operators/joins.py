@@ -57,8 +57,8 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
 
     def prefix(side, key):
         each = side.select(key, F.size("set").alias("n"), F.explode("set").alias("w")).join(df, "w")
-        r = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
-        return each.withColumn("r", r).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "w")
+        place = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(key, "w")
 
     pairs = prefix(left, "l").join(prefix(right, "r").withColumnRenamed("w", "w2"), F.expr("w = w2")).select("l", "r").distinct()
     full = pairs.join(left.withColumnRenamed("set", "a"), "l").join(right.withColumnRenamed("set", "b"), "r")
