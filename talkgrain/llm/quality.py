@@ -118,6 +118,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[float, Rule]]]:
         _tree(x, codes, cuts, p - y, p * (1 - p), np.arange(len(y)), (), rules, out)
         z += SHRINK * out
     rules = list(dict.fromkeys(rules))
+    if not rules:
+        return start, []
     r = np.stack([holds(rule, x) for rule in rules], axis=1).astype(np.float32)
     scale = np.maximum(r.std(axis=0), 0.02)
     r = (r - r.mean(axis=0)) / scale
