@@ -50,39 +50,15 @@ def anchor_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     span = LENGTH - K + 1
-    least, covered = h, 1
-    while covered < span:  # least hash of `span` K-grams from each window's start on
+    least, place, covered = h, np.arange(len(h), dtype=np.int32), 1
+    while covered < span:  # least hash of `span` K-grams from each window's start on, and its leftmost place
         step = min(covered, span - covered)
+        right = least[step:] < least[:-step]
+        place = np.where(right, place[step:], place[:-step])
         least = np.minimum(least[:-step], least[step:])
         covered += step
-    # the leftmost K-gram from a window's start on that has the window's least hash
-    n = len(least)
-    change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    ends = np.concatenate((change[1:], [n]))
-    value = least[change]
-    seen = np.isin(h, value)
-    where = np.flatnonzero(seen)
-    order = np.lexsort((where, h[where]))
-    keys, places = h[where][order], where[order]
-    lo = np.searchsorted(keys, value, "left")
-    hi = np.searchsorted(keys, value, "right")
-    single = hi - lo == 1
-    if single.all():
-        return value.view(np.int64), change, ends - change
-    out: list[tuple[int, int, int]] = []
-    for k in range(len(value)):
-        s, e = int(change[k]), int(ends[k])
-        if single[k]:
-            out.append((k, s, e))
-            continue
-        own = places[lo[k] : hi[k]]
-        while s < e:  # the anchor of window s is the first occurrence at or after s; it serves up to its own start
-            a = int(own[np.searchsorted(own, s)])
-            stop = min(e, a + 1)
-            out.append((k, s, stop))
-            s = stop
-    k, s, e = (np.array(x, np.int64) for x in zip(*out, strict=True))
-    return value[k].view(np.int64), s, e - s
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    return least[first].view(np.int64), first, np.diff(np.append(first, len(place)))
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
