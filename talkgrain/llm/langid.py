@@ -21,6 +21,8 @@ LONGEST = 4
 SMOOTH = 0.5
 #: mean log-likelihoods per word are multiplied by this before the softmax
 SHARP = 4.0
+#: unseen words that a task remembers, and words of a text that are looked up together
+REMEMBERED, AT_ONCE = 100_000, 20_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,31 +57,51 @@ def fit(labelled: DataFrame) -> dict:
     return model
 
 
+class _Rows(dict):
+    """Word to its row in `table`; a word that is looked up first is scored by backoff and remembered while there is room."""
+
+    def __init__(self, model: dict):
+        super().__init__({w: i for i, w in enumerate(model["words"])})
+        self.grams, self.known, self.width = model["grams"], len(self), len(model["langs"])
+        self.table = np.zeros((self.known + REMEMBERED + 1, self.width))
+        if self.known:
+            self.table[: self.known] = list(model["words"].values())
+
+    def backoff(self, word: str) -> np.ndarray:
+        padded = f"<{word}>"
+        for k in range(LONGEST, 0, -1):
+            own = [g for i in range(len(padded) - k + 1) if (g := self.grams.get(padded[i : i + k])) is not None]
+            if own:
+                return sum(own) / len(own)
+        return np.zeros(self.width)
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        self.table[row] = self.backoff(word)
+        self[word] = row
+        return row
+
+    def forget(self) -> None:
+        for word in list(self)[self.known :]:
+            del self[word]
+
+
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.words, self.grams = model["langs"], dict(model["words"]), model["grams"]
-        self.nothing, self.known = np.zeros(len(self.langs)), len(self.words)
-
-    def word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            padded, got = f"<{word}>", self.nothing
-            for k in range(LONGEST, 0, -1):
-                own = [g for i in range(len(padded) - k + 1) if (g := self.grams.get(padded[i : i + k])) is not None]
-                if own:
-                    got = sum(own) / len(own)
-                    break
-            if len(self.words) > self.known + 200_000:  # remembered words stay bounded
-                self.words = {t: v for t, v in list(self.words.items())[: self.known]}
-            if len(word) <= 40:
-                self.words[word] = got
-        return got
+        self.langs, self.rows = model["langs"], _Rows(model)
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.rows.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        mean = np.array([self.word(w) for w in words]).mean(axis=0) if len(words) < 20_000 else sum(map(self.word, words)) / len(words)
+        mean = np.zeros(len(self.langs))
+        for i in range(0, len(words), AT_ONCE):
+            if len(self.rows) + AT_ONCE > self.rows.known + REMEMBERED:
+                self.rows.forget()
+            mean += self.total(words[i : i + AT_ONCE]) / len(words)
         share = np.exp(SHARP * (mean - mean.max()))
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum())
