@@ -53,7 +53,7 @@ def test_cepstra_by_definition(spark):
     assert [r.frame for r in have] == [0, 1]
 
 
-def test_pitch_of_a_tone_and_none_of_noise(spark):
+def test_pitch_and_energy_of_a_tone(spark):
     t = np.arange(RATE) / RATE
     tone = 0.3 * np.sin(2 * np.pi * 200 * t)
     r = signals.window_features(_table(spark, tone)).first()
