@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,23 +68,32 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
     return full.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).where(F.col("similarity") >= least).select("l", "r", "similarity")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """`df` written in the checkpoint folder, so that it is not computed again in every round."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talkgrain-"))
+    return df.checkpoint()
+
+
 def greedy_in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Records take, in their order, the most similar segment that no earlier record took. pairs: keys, l, r, similarity.
 
-    The choice depends on all earlier ones of a session, so a session's candidate pairs go through one function.
+    Rounds of deferred acceptance: every record proposes its best segment (the least r of equals), a segment holds on to its
+    least proposer, and the pairs of all later records with that segment go. A segment's holder only ever gives way to an
+    earlier record, so a pair that went can't be in the result, and when no two records propose the same segment, the
+    proposals are the result. Nothing is final before: a record that is refused may still displace a later one elsewhere.
+    No session goes through one task; there are at most as many rounds as records that compete for each other's segments.
     """
-    import pandas as pd
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, own in pdf.sort_values(["l", "similarity", "r"], ascending=[True, False, True]).groupby("l", sort=True):
-            free = own[~own["r"].isin(taken)]
-            if len(free):
-                taken.add(free["r"].iloc[0])
-                out.append(free.iloc[0])
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return pairs.groupBy(*keys).applyInPandas(choose, pairs.schema)
+    left = _stored(pairs.where("l is not null"))
+    best = F.min_by(F.struct(*pairs.columns), F.struct(-F.col("similarity"), "r"))
+    while True:
+        proposed = left.groupBy(*keys, "l").agg(best.alias("best")).select("best.*")
+        held = proposed.groupBy(*keys, "r").agg(F.min("l").alias("_held"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        held = _stored(held)
+        if not held.limit(1).count():
+            return proposed
+        left = _stored(left.join(held, [*keys, "r"], "left").where("_held is null or l <= _held").select(pairs.columns))
 
 
 def align_speakers(profiles: DataFrame, threshold: float = 0.4) -> DataFrame:
