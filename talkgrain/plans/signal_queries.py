@@ -81,11 +81,23 @@ def speech_frames(spark, sf_dir):
     "select signal, frame, bin, round(re * re + im * im, 4) as power from p"
 )
 def power_spectra(spark, sf_dir):
-    """S136: power of each frame; every 32nd bin is reported."""
+    """S136: power of each frame; every 32nd bin only, the quick check of full_power_spectra."""
     p = signals.spectra(_signals(spark, sf_dir)).select("signal", F.col("frame").cast("long").alias("frame"), F.posexplode("power").alias("bin", "power"))
     return p.where("bin % 32 = 0").select("signal", "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
 
 
+@query(
+    f"with {_S}, e as (select signal, i, x - 0.97 * coalesce(lag(x) over (partition by signal order by i), 0) as x from s), n as (select signal, count(*) as n from s group by 1), "
+    "k as (select signal, unnest(range((n - 400) // 160 + 1)) as frame from n where n >= 400), w as (select k.signal, frame, i - frame * 160 as t, x * (0.54 - 0.46 * cos(2 * pi() * (i - frame * 160) / 400)) as x from k join e on e.signal = k.signal and i >= frame * 160 and i < frame * 160 + 400), "
+    "p as (select signal, frame, bin, sum(x * cos(2 * pi() * t * bin / 512)) as re, sum(x * sin(2 * pi() * t * bin / 512)) as im from w, (select unnest(range(0, 257)) as bin) group by 1, 2, 3) "
+    "select signal, frame, bin, round(re * re + im * im, 4) as power from p"
+)
+def full_power_spectra(spark, sf_dir):
+    """S136: power of each frame in all 257 bins, the Nyquist bin included."""
+    p = signals.spectra(_signals(spark, sf_dir)).select("signal", F.col("frame").cast("long").alias("frame"), F.posexplode("power").alias("bin", "power"))
+    return p.select("signal", "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
+
+
 @query()
 def cepstral_frames(spark, sf_dir):
     """S137, S138: 13 coefficients a frame."""

@@ -53,6 +53,24 @@ def test_cepstra_by_definition(spark):
     assert [r.frame for r in have] == [0, 1]
 
 
+def test_full_power_spectra_have_every_bin(spark):
+    full = signal_queries.QUERIES["full_power_spectra"](spark, SF)
+    frames = full.groupBy("signal", "frame").agg(F.count("*").alias("n"), F.count_distinct("bin").alias("bins"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    assert {tuple(r)[2:] for r in frames.collect()} == {(257, 257, 0, 256)}
+    quick = signal_queries.QUERIES["power_spectra"](spark, SF)
+    assert quick.subtract(full).count() == 0 and quick.count() * 257 == full.count() * 9
+
+
+def test_spectra_by_definition(spark):
+    x = np.random.default_rng(4).normal(0, 0.1, 600)
+    e = x - 0.97 * np.concatenate([[0], x[:-1]])
+    rows = signals.spectra(_table(spark, x)).collect()
+    for r in rows:
+        f = e[r.frame * 160 : r.frame * 160 + 400] * [0.54 - 0.46 * math.cos(2 * math.pi * t / 400) for t in range(400)]
+        assert r.power == pytest.approx([abs(sum(f * np.exp(-2j * np.pi * k * np.arange(400) / 512))) ** 2 for k in range(257)], rel=1e-6, abs=1e-9)
+    assert len(rows) == 2
+
+
 def test_pitch_and_energy_of_a_tone(spark):
     t = np.arange(RATE) / RATE
     tone = 0.3 * np.sin(2 * np.pi * 200 * t)
