@@ -3,6 +3,7 @@
 DataFrame functions only. Base candidates come from fixed patterns, further ones from the shapes in MORE. Every candidate
 value is counted over the whole corpus by the distinct owners and repositories that hold it: a value that few owners have
 is live-looking, one that many have is an example. Base spans always stay; further spans count only if live-looking.
+The value of a private key is its base64 body without line breaks, its span the whole block.
 """
 
 from __future__ import annotations
@@ -19,8 +20,18 @@ BASE = [
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]{32,}", 0, 32),
 ]
+#: line breaks, as they are or escaped
+_BREAK = "(?:\\s|\\\\[nr])"
+_END = "-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: a whole block of header, attributes, body (the group) and end; if the end is missing, to the end of the base64 lines. The
+#: loops are possessive, which Java runs without recursion
+_PEM = (
+    f"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_BREAK}*+(?:Proc-Type: ?[0-9],[A-Z]+|DEK-Info: ?[A-Z0-9-]+(?:,[0-9A-Fa-f]+)?))*+"
+    f"((?:[A-Za-z0-9+/=\\s\\\\]*+(?={_END}))|(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?:\\r?\\n|\\\\n)[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=\\r?\\n|\\\\n|$))?)"
+    f"(?:{_END})?"
+)
 MORE = [
-    ("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    ("pem", _PEM, 1, 0),
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("prefixed", "(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})", 0, 1),
 ]
@@ -41,7 +52,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str | None = None,
     own = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo"))
     def candidates(k, kind, pattern, group, least, base):
         kept = F.filter(find(F.col("text"), pattern, group), lambda x: F.length(x["value"]) >= least)
-        return F.transform(kept, lambda x: F.struct(x["start"], F.lit(k).alias("k"), F.lit(kind).alias("kind"), x["end"], F.lit(base).alias("base"), F.xxhash64(x["value"]).alias("value")))
+        value = (lambda v: F.regexp_replace(v, _BREAK, "")) if kind == "pem" else (lambda v: v)
+        return F.transform(kept, lambda x: F.struct(x["start"], F.lit(k).alias("k"), F.lit(kind).alias("kind"), x["end"], F.lit(base).alias("base"), F.xxhash64(value(x["value"])).alias("value")))
 
     each = [candidates(*x) for x in kinds]
     found = materialize(own.select("doc_id", "owner", "repo", F.monotonically_increasing_id().alias("row"), F.concat(*each).alias("spans")), "candidates")

@@ -70,6 +70,28 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert secrets.redact(docs).count() == len(rows)
 
 
+def _pem(seed, lines=4, end="-----END RSA PRIVATE KEY-----", sep="\n", head=""):
+    r = random.Random(seed)
+    body = sep.join("".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(lines)) + sep + "Qk9yPQ=="
+    return f"-----BEGIN RSA PRIVATE KEY-----{sep}{head}{body}" + (f"{sep}{end}" if end else "")
+
+
+def test_distinct_private_keys_stay_live_and_go_whole(spark):
+    ways = [{}, {"end": ""}, {"sep": "\\n"}, {"head": "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"}, {"sep": "\r\n"}, {"sep": " "}, {"lines": 3000}]
+    rows = [(i, f"my é key\n{_pem(i, **way)}\nand more words", "en", f"s{i}", 1) for i, way in enumerate(ways)]
+    copied = [(100 + i, f"sample {_pem(99, sep=sep)} here", "en", f"s{i}", 1) for i, sep in enumerate(["\n", "\r\n", " ", "\\n"])]
+    docs = spark.createDataFrame(rows + copied, cases.SCHEMA)
+    scanned = {r.doc_id: [(x.start, x.end) for x in r.all if x.kind == "pem"] for r in secrets.scan(docs).collect()}
+    assert scanned == {**{i: [(9, 9 + len(_pem(i, **way)))] for i, way in enumerate(ways)}, **{r[0]: [] for r in copied}}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean == {**{i: "my é key\n[SECRET]\nand more words" for i in range(len(ways))}, **{r[0]: r[1] for r in copied}}
+
+
+def test_private_key_header_without_a_key(spark):
+    docs = spark.createDataFrame([(1, "a -----BEGIN PRIVATE KEY----- line starts it", "en", "s", 1)], cases.SCHEMA)
+    assert secrets.redact(docs).first().text == "a [SECRET] line starts it"
+
+
 def test_scans_of_odd_rows_and_nothing(spark):
     docs, n = cases.odd(spark), len(cases.odd_rows())
     for frame in (pii.summary(pii.scan(docs)), secrets.summary(secrets.scan(docs)), licenses.scan(docs), fingerprints.fingerprints(docs)):
