@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrain.llm import langid
-from talkgrain.llm.common import materialize
+from talkgrain.llm.common import has_odd_ids, keyed, materialize
 from talkgrain.llm.decontaminate import leaks
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack
@@ -17,23 +19,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE = 0.3
 
 
+def _without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`docs` without the rows whose keys `gone` returns as doc_id; it is given the rows with their keys for doc_ids.
+
+    So null and repeated doc_ids are decided row by row.
+    """
+    rows = keyed(docs.select(COLUMNS), "_row")
+    found = gone(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(COLUMNS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is not told apart from the others, go."""
-    predicted = langid.predict(docs, langid.fit(docs))
-    gone = predicted.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    model = langid.fit(docs)
+    return _without(docs, lambda rows: langid.predict(rows, model).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near duplicates stays: the one with the least doc_id, null ones last.
+
+    Rows that repeat a doc_id are compared by their own texts; identical rows are one, even without a word.
+    """
+    docs = docs.select(COLUMNS)
+    docs = materialize(docs.distinct(), "distinct") if has_odd_ids(docs) else docs
+    return _without(docs, lambda rows: near_duplicates(rows).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return _without(docs, lambda rows: leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import materialize
+from talkgrain.llm.common import keyed, materialize
 from talkgrain.llm.spans import find, listing
 
 #: fixed values: kind, pattern, group that holds the value, least length of the value
@@ -88,18 +88,20 @@ def summary(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source") -> DataFrame:
     """`docs` with every live-looking secret replaced by `mark`; widely copied examples stay. All rows and columns are kept.
 
-    A value is live-looking or not for the whole corpus, so what `scan` found is decided by document and start; rows
-    without a live-looking secret pass unchanged, and only the others are joined with their spans by doc_id. Rows with a
-    null doc_id can't be joined and pass unchanged.
+    A value is live-looking or not for the whole corpus, so what `scan` found is decided by row and start; rows without a
+    live-looking secret pass unchanged, and only the others are joined with their spans. Null and repeated doc_ids are no
+    different: rows are told apart by a key of their own.
     """
-    spans = scan(docs.where("doc_id is not null"), owner).select("doc_id", F.filter("all", lambda x: x["live"]).alias("_live")).where(F.size("_live") > 0)
-    spans = materialize(spans.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("_live"))).alias("_live")), "live")
-    clean = docs.join(spans.select("doc_id"), "doc_id", "left_anti")
-    hit = docs.join(spans, "doc_id")
+    rows = keyed(docs, "_row")
+    own = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_repo"), "text", F.col(owner).alias("_owner"))
+    spans = scan(own, "_owner", "_repo").select(F.col("doc_id").alias("_row"), F.filter("all", lambda x: x["live"]).alias("_live")).where(F.size("_live") > 0)
+    spans = materialize(spans, "live")
+    clean = rows.join(spans.select("_row"), "_row", "left_anti").select(docs.columns)
+    hit = rows.join(spans, "_row")
 
     cut = F.expr(
         "aggregate(_live, named_struct('at', 0L, 'out', ''), (acc, x) -> named_struct('at', greatest(acc.at, x.end), 'out', "
         f"concat(acc.out, if(x.start >= acc.at, concat(substring(text, int(acc.at) + 1, int(x.start - acc.at)), '{mark}'), ''))), "
         "acc -> concat(acc.out, substring(text, int(acc.at) + 1)))"
     )
-    return clean.unionByName(hit.withColumn("text", cut).drop("_live").select(docs.columns))
+    return clean.unionByName(hit.withColumn("text", cut).select(docs.columns))

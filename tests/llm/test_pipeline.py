@@ -29,3 +29,23 @@ def test_stages_on_odd_rows_and_nothing(spark):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.materialize(stage(spark, docs, SF), name)
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_stages_decide_row_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = (cases.prose(i, 60) for i in (11, 12, 13))
+    secret = "password=own8live99"
+    texts = {
+        "language_id": ([(None, "12 34 !!"), (None, a), (1, "!!"), (1, b)], [(None, a), (1, b)]),
+        "near_dedup": ([(1, a), (1, a), (1, b), (2, b), (3, ""), (3, ""), (None, a), (None, c)], [(1, a), (1, b), (3, ""), (None, c)]),
+        "decontamination": ([(None, item), (None, a), (1, f"{b} {item} {c}"), (1, b)], [(None, a), (1, b)]),
+        "secret_scan": ([(None, f"x {secret} y"), (1, f"{a} {secret} y"), (1, b), (1, f"{secret} z")], [(None, "x [SECRET] y"), (1, f"{a} [SECRET] y"), (1, b), (1, "[SECRET] z")]),
+    }
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given, want = texts[name]
+        # a clear language for every text with a letter
+        docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in given], cases.SCHEMA)
+        after = stage(spark, docs, SF)
+        assert after.columns == corpus_pipeline.COLUMNS
+        assert sorted(cases.texts(after), key=key) == sorted(want, key=key), name
