@@ -56,27 +56,29 @@ def lead(sent: DataFrame) -> DataFrame:
 def text_rank(sent: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """doc_id, i, score by power iteration on cosine similarities of term counts; rows without neighbours leak their mass.
 
-    Sentences of one document only are compared; the work of a document is the square of its number of sentences.
+    Similarities are the products of the sentences' unit vectors of terms, so a round multiplies by these vectors and their
+    transpose: the work and memory of a document are in proportion to its term counts, without a matrix of its sentences.
     """
     import numpy as np
     import pandas as pd
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
-        term = pd.factorize(pdf["term"])[0]
-        w, row = np.zeros((n, n)), pdf["i"].to_numpy()
+        term, row = pd.factorize(pdf["term"])[0], pdf["i"].to_numpy()
         tf = pdf["tf"].to_numpy(float)
-        size = np.sqrt(np.bincount(row, tf**2, n))
-        order = np.argsort(term, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):
-            w[np.ix_(row[own], row[own])] += np.outer(tf[own], tf[own])
-        w /= np.maximum(np.outer(size, size), 1e-300)
-        np.fill_diagonal(w, 0)
-        total = w.sum(axis=1, keepdims=True)
-        w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+        terms = int(term.max()) + 1
+        unit = tf / np.sqrt(np.bincount(row, tf**2, n))[row]
+
+        def weighed(x: np.ndarray) -> np.ndarray:
+            """Sums of x over the other sentences by their similarity."""
+            shared = np.bincount(term, unit * x[row], terms)
+            return np.bincount(row, unit * (shared[term] - unit * x[row]), n)
+
+        linked = np.bincount(row, np.bincount(term, minlength=terms)[term] > 1, n) > 0
+        total = np.where(linked, weighed(np.ones(n)), 1.0)
         score = np.full(n, 1 / n)
         for _ in range(rounds):
-            new = (1 - damping) / n + damping * (w.T @ score)
+            new = (1 - damping) / n + damping * weighed(np.where(linked, score / total, 0.0))
             done = np.abs(new - score).sum() < tolerance
             score = new
             if done:
