@@ -2,29 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NONE = "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
+#: matches whose lengths are summed one by one; the sums of so many are summed apart
+BLOCK = 64
+
+
+def given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def find(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches; value is the given group.
 
     The text around the matches and the matches alternate, so their running lengths are the positions. `pattern` must not
-    match an empty string. A null text has no matches.
+    match an empty string. A null text has no matches. Lengths are summed by blocks of BLOCK matches, so that the work
+    grows with the number of matches and its square only by 1 / BLOCK**2.
     """
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["before"]).cast("long")
-        end = start + F.length(x["m"]).cast("long")
-        own = F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], own)).alias("found"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(NONE).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["found"])).otherwise(F.expr(NONE))
+    def located(x: Column) -> Column:
+        steps = F.zip_with(x["before"], x["m"], lambda b, m: (F.length(b) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+        return given(steps, lambda s: placed(x, s))
+
+    def placed(x: Column, steps: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(steps) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: _sum(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
+        # sums of all blocks before each block
+        before = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+        return given(before, lambda own: F.transform(x["m"], lambda m, i: span(x, steps, own, m, i)))
+
+    def span(x: Column, steps: Column, before: Column, m: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        end = F.element_at(before, block + 1) + _sum(F.slice(steps, block * BLOCK + 1, i % BLOCK + 1))
+        value = m if group == 0 else F.element_at(x["v"], i + 1)
+        return given(end, lambda e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), value.alias("value")))
+
+    parts = F.struct(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"), *([F.regexp_extract_all(text, p, F.lit(group)).alias("v")] if group else []))
+    return F.when(text.rlike(pattern), given(parts, located)).otherwise(F.expr(NONE))
 
 
 def listing(spans: Column) -> Column:
