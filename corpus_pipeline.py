@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrain.llm import langid
 from talkgrain.llm.common import has_odd_ids, keyed, materialize
-from talkgrain.llm.decontaminate import leaks
+from talkgrain.llm.decontaminate import without_leaks
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack
 from talkgrain.llm.secrets import redact
@@ -19,20 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE = 0.3
 
 
-def _without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`docs` without the rows whose keys `gone` returns as doc_id; it is given the rows with their keys for doc_ids.
-
-    So null and repeated doc_ids are decided row by row.
-    """
-    rows = keyed(docs.select(COLUMNS), "_row")
-    found = gone(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(found, "_row", "left_anti").select(COLUMNS)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is not told apart from the others, go."""
-    model = langid.fit(docs)
-    return _without(docs, lambda rows: langid.predict(rows, model).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE)))
+    """Documents without a letter, or whose language is not told apart from the others, go; decided row by row."""
+    docs = docs.select(COLUMNS)
+    found = langid.judge(docs, langid.fit(docs))
+    return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= SURE))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +31,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(COLUMNS)
     docs = materialize(docs.distinct(), "distinct") if has_odd_ids(docs) else docs
-    return _without(docs, lambda rows: near_duplicates(rows).where("not kept"))
+    rows = keyed(docs, "_row")
+    copies = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept")
+    return rows.join(copies.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, lambda rows: leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents that hold a benchmark item go; decided row by row."""
+    return without_leaks(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

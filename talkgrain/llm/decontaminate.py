@@ -3,7 +3,9 @@
 Texts are compared as letters and digits in lower case with one space between runs of them. An item of n characters may
 differ by k = n // 10 edits from the passage that leaks it. Such a passage shares at least n + 1 - q (k + 1) q-grams with the item,
 on diagonals that differ by k at most, so they all lie in one of the overlapping bands of 2 (k + 1) diagonals: bands with
-fewer hits are dropped without loss, the others are verified by alignment within the band.
+fewer hits are dropped without loss, the others are verified by alignment within the band. q is Q, or less for an item so
+short that the bound would fall below one. Texts that are searched together are apart by a character that no alignment
+may cross, so it does not matter which ones they are.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import discard, materialize
+
 Q = 8
 #: one edit per so many characters
 PER_EDIT = 10
@@ -23,6 +27,8 @@ BLOCK_CHARS = 4_000_000
 #: characters of documents that are looked at together
 AT_ONCE = 2_000_000
 _BITS = 22
+#: the character between texts, and what it costs to align it: more than any budget
+_SEP, _NEVER = 1, 1 << 30
 _P = 0x9E3779B97F4A7C15
 _TABLE: list[np.ndarray] = []
 
@@ -39,47 +45,36 @@ def _codes(text: str) -> np.ndarray:
 
 
 def normalise(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised code points of all parts, each part followed by a 1; where each part ends."""
+    """Normalised code points of all parts, each part followed by _SEP; where each part ends."""
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    one = np.ones(1, np.uint32)
+    one = np.full(1, _SEP, np.uint32)
     raw = np.concatenate([x for p in parts for x in (p, one)])
     out = np.where(raw < 0x10000, _table()[np.minimum(raw, 0xFFFF)], raw)
-    out[ends] = 1
+    out[ends] = _SEP
     blank = out == 32
     keep = ~blank
-    keep[1:] |= ~(blank[:-1] | (out[:-1] == 1))
+    keep[1:] |= ~(blank[:-1] | (out[:-1] == _SEP))
     return out[keep], np.cumsum(keep)[ends] - 1
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """A hash of the Q characters from each position on."""
-    h, p, width = codes.astype(np.uint64), _P, 1
-    while width < Q:
-        h = h[: max(len(h) - width, 0)] * np.uint64(p) + h[width:]
-        p, width = p * p % 2**64, 2 * width
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q characters from each position on."""
+    h = codes[: max(len(codes) - q + 1, 0)].astype(np.uint64)
+    for i in range(1, q):
+        h = h * np.uint64(_P) + codes[i : i + len(h)]
     return h
 
 
-class Index:
-    """The q-grams of a block of benchmark items."""
+class Grams:
+    """The q-grams of the items numbered `own`, for one q."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.codes = [], []
-        for item_id, text in items:
-            codes, _ = normalise([_codes(text)])
-            codes = codes[:-1]
-            codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
-            if len(codes) >= Q:
-                self.ids.append(item_id)
-                self.codes.append(codes)
-        length = np.array([len(c) for c in self.codes], np.int64)
-        self.length, self.edits = length, np.minimum(length // PER_EDIT, length // Q - 1)
-        self.least = length + 1 - Q * (self.edits + 1)
-        keys = np.concatenate([grams(c) for c in self.codes]) if self.codes else np.empty(0, np.uint64)
-        item = np.concatenate([np.full(len(c) - Q + 1, i) for i, c in enumerate(self.codes)]) if self.codes else np.empty(0, np.int64)
-        place = np.concatenate([np.arange(len(c) - Q + 1) for c in self.codes]) if self.codes else np.empty(0, np.int64)
+    def __init__(self, codes: list[np.ndarray], own: list[int], q: int):
+        self.q = q
+        keys = np.concatenate([grams(codes[i], q) for i in own])
+        sizes = [len(codes[i]) - q + 1 for i in own]
         order = np.argsort(keys, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item = np.repeat(np.array(own), sizes)[order].astype(np.int32)
+        self.place = np.concatenate([np.arange(n) for n in sizes])[order].astype(np.int32)
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << _BITS, bool)
         self.sieve[self._slot(self.keys)] = True
@@ -90,101 +85,147 @@ class Index:
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, diagonal) of every shared q-gram."""
-        h = grams(codes)
+        h = grams(codes, self.q)
         at = np.flatnonzero(self.sieve[self._slot(h)])
-        if not len(at) or not len(self.keys):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         g = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         same = self.keys[g] == h[at]
         at, g = at[same], g[same]
         n = self.count[g]
         entry = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.item[entry], np.repeat(at, n) - self.place[entry]
+        return self.item[entry].astype(np.int64), np.repeat(at, n) - self.place[entry]
+
 
-    def search(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, end, edits) for each region of `codes` that is within an item's budget."""
-        item, diagonal = self.hits(codes)
+class Index:
+    """The q-grams of a block of benchmark items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids, self.codes = [], []
+        for item_id, text in items:
+            codes, _ = normalise([_codes(text)])
+            codes = codes[:-1]
+            codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
+            if len(codes):
+                self.ids.append(item_id)
+                self.codes.append(codes)
+        self.length = np.array([len(c) for c in self.codes], np.int64)
+        self.edits = self.length // PER_EDIT
+        self.q = np.minimum(Q, self.length // (self.edits + 1))
+        self.least = self.length + 1 - self.q * (self.edits + 1)
+        self.parts = [Grams(self.codes, np.flatnonzero(self.q == q).tolist(), q) for q in sorted(set(self.q.tolist()))]
+
+    def search(self, codes: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], int]:
+        """Least edits by (text, item) for the regions of `codes` within an item's budget; `ends` is where each text ends."""
+        best: dict[tuple[int, int], int] = {}
+
+        def keep(item: np.ndarray, end: np.ndarray, edits: np.ndarray) -> None:
+            own = np.unique(np.stack([np.searchsorted(ends, end - 1), item, edits]), axis=1)[:, ::-1]
+            best.update({(d, k): min(x, best.get((d, k), x)) for d, k, x in own.T.tolist()})
+
+        hits = [part.hits(codes) for part in self.parts]
+        item, diagonal = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64), np.empty(0, np.int64))
         if not len(item):
-            return []
-        shift = np.int64(1) << 40
-        exact, n = np.unique(item * shift + diagonal + (1 << 24), return_counts=True)
-        i = exact // shift
-        whole = n == self.length[i] - Q + 1
-        found = [(int(k), int(d), 0) for k, d in zip(i[whole], exact[whole] % shift - (1 << 24) + self.length[i[whole]], strict=True)]
-        width = self.edits[item] + 1
-        band = diagonal // width
-        both = np.concatenate([item * shift + band + (1 << 24), item * shift + band - 1 + (1 << 24)])
-        bands, n = np.unique(both, return_counts=True)
+            return best
+        shift, zero = np.int64(1) << 40, np.int64(1) << 24
+        exact, n = np.unique(item * shift + diagonal + zero, return_counts=True)
+        whole = n == (self.length - self.q + 1)[exact // shift]
+        exact = exact[whole]
+        k = exact // shift
+        keep(k, exact % shift - zero + self.length[k], np.zeros(len(k), np.int64))
+        band = diagonal // (self.edits[item] + 1)
+        bands, n = np.unique(np.concatenate([item * shift + band + zero, item * shift + band - 1 + zero]), return_counts=True)
         i = bands // shift
         dense = n >= self.least[i]
-        i, start = i[dense], (bands[dense] % shift - (1 << 24)) * (self.edits[i[dense]] + 1)
-        known = {}
-        for k, end, _ in found:
-            known.setdefault(k, []).append(end - self.length[k])
+        i, start = i[dense], (bands[dense] % shift - zero) * (self.edits[i[dense]] + 1)
+        # a band around an exact passage has nothing to add
+        lo = np.searchsorted(exact, i * shift + start + zero)
+        hi = np.searchsorted(exact, i * shift + start + 2 * (self.edits[i] + 1) + zero)
+        i, start = i[lo == hi], start[lo == hi]
         for k in np.unique(i):
-            starts = start[i == k]
-            for d in known.get(int(k), ()):  # a band around an exact passage has nothing to add
-                starts = starts[(starts > d) | (starts + 2 * (self.edits[k] + 1) <= d)]
-            if len(starts):
-                edits, ends = self.align(codes, int(k), starts)
-                found += [(int(k), int(e), int(x)) for e, x in zip(ends, edits, strict=True) if x <= self.edits[k]]
-        return found
+            edits, end = self.align(codes, int(k), start[i == k])
+            near = edits <= self.edits[k]
+            keep(np.full(near.sum(), k), end[near], edits[near])
+        return best
 
     def align(self, codes: np.ndarray, k: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits that turn item k into a part of the text on the bands that begin at diagonals `starts`, and where it ends."""
         pattern, slack = self.codes[k], int(self.edits[k])
         width = 2 * (slack + 1) + 2 * slack
         at = starts[:, None] - slack + np.arange(width + len(pattern))[None, :]
-        text = np.where((at >= 0) & (at < len(codes)), codes[np.clip(at, 0, len(codes) - 1)], 1)
-        steps = np.arange(width)
+        text = np.where((at >= 0) & (at < len(codes)), codes[np.clip(at, 0, len(codes) - 1)], _SEP)
+        cost = np.where(text == _SEP, np.int64(_NEVER), np.int64(1))
+        skipped = np.cumsum(cost, axis=1)
         row = np.zeros((len(starts), width), np.int64)
         for r, c in enumerate(pattern):
-            down = np.full_like(row, 1 << 30)
+            here = slice(r, r + width)
+            down = np.full_like(row, _NEVER)
             down[:, :-1] = row[:, 1:] + 1
-            now = np.minimum(row + (text[:, r : r + width] != c), down)
-            row = np.minimum.accumulate(now - steps, axis=1) + steps
+            now = np.minimum(row + np.where(text[:, here] == c, 0, cost[:, here]), down)
+            row = np.minimum.accumulate(now - skipped[:, here], axis=1) + skipped[:, here]
         best = row.argmin(axis=1)
         return row[np.arange(len(starts)), best], starts - slack + best + len(pattern)
 
 
-def _leaks(index):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _finder(index):
+    """A pandas UDF: array of (item_id, item_chars, edits) for each text."""
+
+    @F.pandas_udf("array<struct<item_id:bigint,item_chars:bigint,edits:bigint>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = index.value
-        for pdf in batches:
-            parts = [_codes(t) if t else np.empty(0, np.uint32) for t in pdf["text"]]
-            sizes, lo, rows = np.cumsum([len(p) + 1 for p in parts]), 0, []
+        for texts in batches:
+            parts = [_codes(t) if t else np.empty(0, np.uint32) for t in texts]
+            sizes, lo = np.cumsum([len(p) + 1 for p in parts]), 0
+            found: list[list[dict]] = [[] for _ in parts]
             while lo < len(parts):
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + AT_ONCE)))
                 codes, ends = normalise(parts[lo:hi])
-                best: dict[tuple[int, int], int] = {}
-                for k, end, edits in own.search(codes):
-                    d = lo + int(np.searchsorted(ends, min(end - 1, ends[-1])))
-                    best[d, k] = min(edits, best.get((d, k), edits))
-                rows += [(d, own.ids[k], int(own.length[k]), edits) for (d, k), edits in best.items()]
+                for (d, k), edits in own.search(codes, ends).items():
+                    found[lo + d].append({"item_id": own.ids[k], "item_chars": int(own.length[k]), "edits": edits})
                 lo = hi
-            d = [r[0] for r in rows]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[d], "item_id": [r[1] for r in rows], "item_chars": [r[2] for r in rows], "edits": [r[3] for r in rows]})
+            yield pd.Series(found, dtype=object)
+
+    return find
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Column, bool]]:
+    """For each block of the benchmark, what is found in `text` as a column, and whether it is the last block.
 
-    return run
+    A block is collected, indexed and broadcast when it is asked for, and dropped when the next one is: the driver never
+    holds more than one, of about BLOCK_CHARS characters.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    blocks = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
+    for b in range(blocks):
+        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        index = spark.sparkContext.broadcast(Index(block))
+        yield _finder(index)(F.col("text").cast("string")), b == blocks - 1
+        index.unpersist()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_chars, edits, contaminated): a row for each document and each benchmark item that it holds, with the least edits.
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns are not looked at. Null and empty texts hold
-    nothing; null item ids and items of under Q normalised characters are not searched for. Repeated documents give
-    repeated rows, repeated items one. Documents that hold no item have no row. Empty tables give an empty result.
-    The benchmark is a stated query set: it is searched in blocks of BLOCK_CHARS characters, one pass over the documents each.
+    nothing; null item ids and items without a letter or digit are not searched for. Items of under 10 normalised characters
+    must occur as they are, within words too. Repeated documents give repeated rows, repeated items one; an item_id with
+    several texts is found by any of them. Documents that hold no item have no row. Empty tables give an empty result.
+    The benchmark is a stated query set: it is searched in blocks, one pass over the documents each.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = chars // BLOCK_CHARS + 1
     out = None
-    for b in range(blocks):
-        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        index = spark.sparkContext.broadcast(Index(block))
-        found = docs.mapInPandas(_leaks(index), "doc_id long, item_id long, item_chars long, edits long")
-        out = found if out is None else out.unionByName(found)
+    for found, last in _blocks(benchmark):
+        own = docs.select(F.col("doc_id").cast("long"), F.inline(found))
+        own = own if last and out is None else materialize(own, "leaks")
+        out = own if out is None else out.unionByName(own)
     return out.withColumn("contaminated", F.lit(True))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text holds no benchmark item; decided row by row in the pass that reads them."""
+    written = False
+    for found, last in _blocks(benchmark):
+        clean = docs.where(F.size(found) == 0)
+        clean = clean if last else materialize(clean, "clean")
+        if written and not last:
+            discard(docs)
+        docs, written = clean, True
+    return docs

@@ -2,19 +2,24 @@
 
 A word that the model knows scores the log of its relative frequency in each language. An unseen word is scored by its
 longest known character n-grams instead: all of its 4-grams that are known, else 3-grams, 2-grams, single characters. The
-language with the largest sum is predicted; the score is its softmax share of the mean per word.
+language with the largest sum is predicted; the score is its softmax share of the mean per word. Words are runs of letters
+(Unicode category L); numerals such as fractions and Roman numerals are none.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import discard, materialize
+
 #: training documents (about, by hash of doc_id), most words and most n-grams a language: bounds of the model
 SAMPLE, WORDS, GRAMS = 20_000, 20_000, 20_000
 LONGEST = 4
@@ -24,28 +29,46 @@ SHARP = 4.0
 #: unseen words that a task remembers, and words of a text that are looked up together
 REMEMBERED, AT_ONCE = 100_000, 20_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def _letters() -> re.Pattern:
+    """Runs of letters: what str.isalpha says, whereas \\w takes other numerals too."""
+    numerals = [chr(i) for i in range(128, sys.maxunicode + 1) if (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(numerals)}]+")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows (lang, t, n) of `counts` with n so large that at most `most` rows of their language have it.
+
+    The least such n comes from a histogram of n by language, so no language's rows are sorted in one task. Of rows that
+    tie at the limit, all go or all stay.
+    """
+    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
+    so_far = F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    least = sizes.withColumn("m", so_far).where(F.col("m") <= most).groupBy("lang").agg(F.min("n").alias("least"))
+    return counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", "t", "n")  # one row a language
 
 
 def fit(labelled: DataFrame) -> dict:
     """Model from (doc_id, text, lang): word and n-gram log frequencies by language.
 
-    The sample is bounded by about SAMPLE documents and the tables by WORDS and GRAMS a language, so the model's size does not
-    grow with the corpus. Null texts and languages are left out; without any the model knows no language.
+    The sample is bounded by about SAMPLE documents and the tables by the WORDS most frequent words and the GRAMS most frequent
+    n-grams of each language, so the model's size does not grow with the corpus. Null texts and languages are left out; without any the model knows no language.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     total = labelled.where("lang is not null").count()
     if total > SAMPLE:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < SAMPLE)
-    sample = rows
     split = F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}]+", " "), " ")
-    words = sample.select("lang", F.explode(split).alias("t")).where("t <> ''").groupBy("lang", "t").agg(F.count("*").alias("n"))
+    words = rows.select("lang", F.explode(split).alias("t")).where("t <> ''").groupBy("lang", "t").agg(F.count("*").alias("n"))
+    words = materialize(words, "words")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - k + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, k))))
-    # the most frequent words stand for their language's n-grams too
-    top = lambda df, most: df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "t"))).where(F.col("r") <= most).select("lang", "t", "n")
     padded = words.select("lang", "n", F.concat(F.lit("<"), "t", F.lit(">")).alias("w"))
-    grams = padded.select("lang", "n", F.explode(grams).alias("t")).groupBy("lang", "t").agg(F.sum("n").alias("n"))
-    found = {"words": top(words, WORDS).collect(), "grams": top(grams, GRAMS).collect()}
+    grams = materialize(padded.select("lang", "n", F.explode(grams).alias("t")).groupBy("lang", "t").agg(F.sum("n").alias("n")), "grams")
+    found = {name: most_frequent(df, most).collect() for name, df, most in (("words", words, WORDS), ("grams", grams, GRAMS))}
+    discard(words)
+    discard(grams)
     langs = sorted({r.lang for r in found["words"]})
     model = {"langs": langs}
     for name, rows in found.items():
@@ -88,13 +111,13 @@ class _Rows(dict):
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.rows = model["langs"], _Rows(model)
+        self.langs, self.rows, self.find = model["langs"], _Rows(model), _letters().findall
 
     def total(self, words: list[str]) -> np.ndarray:
         return self.rows.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
+        words = self.find((text or "").lower())
         if not words or not self.langs:
             return UNKNOWN, 0.0
         mean = np.zeros(len(self.langs))
@@ -107,14 +130,17 @@ class Scorer:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def _predict(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model.value)
-        for pdf in batches:
-            found = [scorer(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+def judge(docs: DataFrame, model: dict) -> Column:
+    """struct<lang_pred, score> of the text of each row, as a column of `docs`; see `predict`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS entries a language
 
-    return run
+    @F.pandas_udf("lang_pred string, score double")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
+
+    return judged(F.col("text").cast("string"))
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -124,9 +150,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     the model knows no language, is 'und' with score 0. Null and repeated doc_ids give a row per row; an empty table
     gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS entries a language
-    return docs.mapInPandas(_predict(shared), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), judge(docs, model).alias("x")).select("doc_id", "x.*")
 
 
 def held_out(doc_id, folds: int, fold: int):

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from talkgrain.llm import decontaminate
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def test_stages_one_by_one(spark):
             assert after.count() == corpus_pipeline.near_duplicates(docs).where("kept").count()
         if name == "decontamination":
             gone = docs.join(after, "doc_id", "left_anti").select("doc_id")
-            leaked = corpus_pipeline.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id").distinct()
+            leaked = decontaminate.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id").distinct()
             assert gone.subtract(leaked).count() == 0 == leaked.subtract(gone).count()
         if name in ("language_id", "secret_scan"):
             assert after.count() == docs.count()
