@@ -88,10 +88,10 @@ def plain_removal(rows, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [X.HOT, 1])
-def test_removal_of_odd_rows(spark, monkeypatch, hot):
-    monkeypatch.setattr(X, "HOT", hot)
-    monkeypatch.setattr(X, "BUCKET_BYTES", 20_000)
+@pytest.mark.parametrize("most", [X.INDEX_BYTES, 20_000, 1])
+def test_removal_of_odd_rows(spark, monkeypatch, most):
+    """With 1 every anchor is split until it has one context."""
+    monkeypatch.setattr(X, "INDEX_BYTES", most)
     docs = cases.odd(spark)
     got = X.remove_repeats(docs).collect()
     rows = sorted({(i, t) for i, t in cases.texts(docs) if i is not None})
@@ -109,13 +109,51 @@ def test_index_against_plain_windows():
         parts = [bytes(r.choice(b"ab") for _ in range(r.randrange(30, 160))) for _ in range(3)]
         contexts = [b"".join(r.choice(parts)[: r.randrange(20, 160)] for _ in range(3)) for _ in range(8)]
         contexts = [c for c in dict.fromkeys(contexts) if len(c) >= X.LENGTH]
-        n = [len(c) - X.LENGTH + 1 for c in contexts]
         seen, want = set(), []
         for c in contexts:
             hit = [k for k in range(len(c) - X.LENGTH + 1) if c[k : k + X.LENGTH] in seen or seen.add(c[k : k + X.LENGTH])]
             want.append(hit)
         if contexts:
-            assert [[k for s, e in own for k in range(s, e)] for own in X.repeats(contexts, n)] == want
+            assert [[k for s, e in own for k in range(s, e)] for own in X.repeats(contexts)] == want
+
+
+def test_index_streams_ranks_and_matches():
+    """Rank and match length of every suffix, against sorting all of them."""
+    r = random.Random(9)
+    for _ in range(30):
+        contexts = list({"".join(r.choice("ab") for _ in range(r.randrange(1, 40))).encode(): 0 for _ in range(12)})
+        suffixes = sorted((c[i:] + b"\xff", k, i) for k, c in enumerate(contexts) for i in range(len(c) + 1))
+        rank, match = X.RunIndex(contexts).stream(np.array([len(c) for c in contexts]))
+        for at, (s, k, i) in enumerate(suffixes):
+            if i < len(contexts[k]):
+                before = suffixes[at - 1][0] if at else b""
+                same = next(j for j in range(len(s)) if j >= len(before) or s[j] != before[j] or s[j] == 255)
+                assert (rank[k, i], match[k, i]) == (at, same)
+
+
+def test_halves_of_a_piece_hold_their_anchors():
+    r = random.Random(1)
+    for width in (32, 66, 83, 92, 96, 98, 99, 100):
+        for _ in range(200):
+            p = r.randrange(0, 101 - width)
+            n = r.randrange(1, 102 - width)
+            first = max(0, p - r.randrange(0, 101 - width))
+            windows = [t for t in range(first, first + n) if t <= p and p + width <= t + 100]
+            if not windows or windows[0] != first:
+                continue
+            parts = X.halves(0, len(windows), p - first, width)
+            assert [lo + i for _, lo, m, _ in parts for i in range(m)] == list(range(len(windows)))
+            longer = width + (100 - width + 1) // 2
+            assert all(lo + m - 1 <= lo + a and lo + a + longer <= lo + 100 for _, lo, m, a in parts)
+
+
+def test_removal_among_near_equal_contexts_of_one_anchor(spark, monkeypatch):
+    """A common passage, followed and preceded by much the same, in more contexts than an index takes."""
+    monkeypatch.setattr(X, "INDEX_BYTES", 3_000)
+    r, line = random.Random(8), cases.prose(21, 30)
+    rows = [(i, f"{r.choice('xyz')}{cases.prose(r.randrange(30), 3)} {line} {cases.prose(r.randrange(40), 3)}{r.choice('pq')}", None, None, None) for i in range(400)]
+    got = X.remove_repeats(spark.createDataFrame(rows, cases.SCHEMA)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == plain_removal([x[:2] for x in rows], X.LENGTH)
 
 
 def test_runs_cover_every_window_once():
