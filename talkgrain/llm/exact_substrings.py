@@ -379,9 +379,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id is null"))
     runs = materialize(docs.where("doc_id is not null and text is not null").mapInPandas(_anchors, _RUNS), "runs")
-    often = runs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    repeated = materialize(runs.join(often, "h", "left_semi"), "repeated")
+    often = materialize(runs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "often")
+    repeated = materialize(runs.join(often, "h", "left_semi"), "repeated")  # a join of two tables, so that a frequent anchor is dealt anew
     discard(runs)
+    discard(often)
     firsts, again = _firsts(repeated)
     unsure = materialize(_unsure(firsts).select("doc_id", "h", F.shiftleft("at", 1).bitwiseOR(F.col("hot").cast("long")).alias("at")), "unsure")
     spans = [materialize(again, "spans")]
