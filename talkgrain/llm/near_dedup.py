@@ -29,6 +29,7 @@ BASE, RATE, TOP = 1.02, 20.0, 4094
 MARGIN = 0.2
 #: documents a side that a task compares at once, and shingles at a time
 BLOCK, COLUMNS = 512, 4096
+SALTS = 16
 
 _rng = np.random.default_rng(20210101)
 _MUL = _rng.integers(0, 2**32, M, dtype=np.uint32) | np.uint32(1)
@@ -141,8 +142,26 @@ def _links(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray
     return 100 * both.astype(np.float64) >= percent * either
 
 
+def spanning(a: list[int], b: list[int]) -> list[int]:
+    """Numbers of the links (a[i], b[i]) that a spanning forest needs: each joins two trees of those before it."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
 def _block_links(percent: int):
-    """Links between different components within each (p, i, j); rows must come sorted by these."""
+    """Links that join different components within each (p, i, j), as a spanning forest; rows must come sorted by these."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1:3]
@@ -152,7 +171,8 @@ def _block_links(percent: int):
             return []
         hit = _links([r[6] for r in x], [r[6] for r in y], percent)
         hit &= np.array([r[5] for r in x])[:, None] != np.array([r[5] for r in y])[None, :]
-        return [(x[a][4], y[b][4]) for a, b in zip(*np.nonzero(hit), strict=True)]
+        a, b = (z.tolist() for z in np.nonzero(hit))
+        return [(x[a[k]][4], y[b[k]][4]) for k in spanning([x[k][5] for k in a], [y[k][5] for k in b])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -181,7 +201,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     No bucket is expanded into its pairs. Each bucket's members are compared with its pivot, the least doc_id; members
     of different buckets with one pivot form one group. In a group, members linked with the pivot are in one component,
     so only members outside it can add anything: these outliers are compared with the group's other components in
-    blocks of at most about BLOCK documents a side, on their full sets, and only links leave the task.
+    blocks of at most about BLOCK documents a side, on their full sets, and only the links that join two components leave the
+    task, at most one a component.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -213,7 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     group = materialize(group.withColumn("out", out), "groups")
     sizes = group.groupBy("a").agg(F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     blocks = sizes.where("outs > 0 and lo < hi").select("a", F.ceil(F.col("outs") / BLOCK).alias("no"), F.ceil(F.col("ins") / BLOCK).alias("ni"))
-    dealt = group.join(blocks, "a").withColumn("block", F.expr("if(out = 1, pmod(xxhash64(b), no), no + pmod(xxhash64(b), ni))"))
+    # a pivot of very many documents is joined by SALTS parts
+    dealt = group.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"]).withColumn("block", F.expr("if(out = 1, pmod(xxhash64(b), no), no + pmod(xxhash64(b), ni))"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, if(out = 1, no + ni, no) - 1)")))
     keyed = dealt.select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "b", "component")
     rows = keyed.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "i", "j", "block", "b", "component", "s")
