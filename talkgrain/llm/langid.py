@@ -31,9 +31,13 @@ REMEMBERED, AT_ONCE = 100_000, 20_000
 UNKNOWN = "und"
 
 
+#: runs of letters and of numerals other than decimal digits
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 @cache
 def _letters() -> re.Pattern:
-    """Runs of letters: what str.isalpha says, whereas \\w takes other numerals too."""
+    """Runs of letters: what str.isalpha says, whereas \\w takes other numerals too. Slow, for texts that have such numerals."""
     numerals = [chr(i) for i in range(128, sys.maxunicode + 1) if (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
     return re.compile(rf"[^\W\d_{''.join(numerals)}]+")
 
@@ -80,22 +84,29 @@ def fit(labelled: DataFrame) -> dict:
     return model
 
 
+def words_of(text: str) -> list[str]:
+    found = _WORD.findall(text.lower())
+    return found if not found or "".join(found).isalpha() else _letters().findall(text.lower())
+
+
 class _Rows(dict):
     """Word to its row in `table`; a word that is looked up first is scored by backoff and remembered while there is room."""
 
     def __init__(self, model: dict):
         super().__init__({w: i for i, w in enumerate(model["words"])})
-        self.grams, self.known, self.width = model["grams"], len(self), len(model["langs"])
+        self.known, self.width = len(self), len(model["langs"])
+        self.grams = {g: i for i, g in enumerate(model["grams"])}
+        self.gram_table = np.array(list(model["grams"].values())).reshape(-1, self.width)
         self.table = np.zeros((self.known + REMEMBERED + 1, self.width))
         if self.known:
             self.table[: self.known] = list(model["words"].values())
 
     def backoff(self, word: str) -> np.ndarray:
-        padded = f"<{word}>"
+        padded, get = f"<{word}>", self.grams.get
         for k in range(LONGEST, 0, -1):
-            own = [g for i in range(len(padded) - k + 1) if (g := self.grams.get(padded[i : i + k])) is not None]
+            own = [g for i in range(len(padded) - k + 1) if (g := get(padded[i : i + k])) is not None]
             if own:
-                return sum(own) / len(own)
+                return np.add.reduce(self.gram_table[own]) / len(own)
         return np.zeros(self.width)
 
     def __missing__(self, word: str) -> int:
@@ -111,13 +122,13 @@ class _Rows(dict):
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.rows, self.find = model["langs"], _Rows(model), _letters().findall
+        self.langs, self.rows = model["langs"], _Rows(model)
 
     def total(self, words: list[str]) -> np.ndarray:
         return self.rows.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = self.find((text or "").lower())
+        words = words_of(text or "")
         if not words or not self.langs:
             return UNKNOWN, 0.0
         mean = np.zeros(len(self.langs))
