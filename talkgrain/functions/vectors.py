@@ -68,3 +68,16 @@ def mel(hz: Column) -> Column:
 
 def hertz(m: Column) -> Column:
     return 700 * (F.pow(F.lit(10.0), m / 2595) - 1)
+
+
+def quality_reasons(seconds: Column, snr_db: Column, speech: Column, clipped: Column) -> Column:
+    """Why a take is no good, as an array of reasons; bounds and reasons are fixed values."""
+    rules = [
+        (seconds < 4.5, "duration_short"),
+        (seconds > 15.0, "duration_long"),
+        (snr_db < 8.0, "snr_low"),
+        (speech < 0.45, "speech_ratio_low"),
+        (speech > 0.98, "speech_ratio_high"),
+        (clipped > 0.02, "clipping_high"),
+    ]
+    return F.array_compact(F.array(*[F.when(test, reason) for test, reason in rules]))

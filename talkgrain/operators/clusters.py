@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
 
-ACCEPT, REVIEW = 0.30, 0.40
+#: fixed values: distances of embeddings, and of six acoustic features, up to which an identity is accepted, left open, adapted
+ACCEPT, REVIEW, ADAPT = 0.30, 0.40, 0.22
+ACOUSTIC = (1.30, 2.00, 0.90)
 MOST, APART = 10, 0.6
 #: enrolled identities that may be broadcast; more are compared by a shuffled join of blocks
 ENROLLED = 10_000
@@ -24,6 +26,12 @@ def identified(vectors: DataFrame, known: DataFrame) -> DataFrame:
     return best.select("vec_id", "nearest", "d", verdict.alias("verdict"), F.round(sure, 5).alias("confidence"))
 
 
+def verdict(d: Column, accept: float = ACCEPT, review: float = REVIEW) -> tuple[Column, Column]:
+    """(reason, confidence) of the distance to the nearest identity; the reasons are fixed values."""
+    reason = F.when(d <= accept, "accepted_within_threshold").when(d <= review, "uncertain_between_accept_and_review").otherwise("distance_too_far")
+    return reason, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d / max(accept + 0.01, review)))
+
+
 def adapted(centroid, vector, alpha: float = 0.2):
     """Moving average of a centroid towards a vector, unit length again; alpha within 0.01 and 0.8."""
     a = min(max(alpha, 0.01), 0.8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +22,39 @@ def postings(segments: DataFrame, key: list[str]) -> DataFrame:
     return each.groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def phrases(query: list[str]) -> list[tuple[str, ...]]:
+    """The distinct terms of a query as tokens, cut as texts are; a term with punctuation inside is a phrase."""
+    plain = str.maketrans(T.ACCENTED, T.PLAIN)
+    return list(dict.fromkeys(t for q in query if (t := tuple(w for w in re.split(r"[\W_]+", q.lower().translate(plain)) if w))))
+
+
+def occurrences(segments: DataFrame, key: list[str], asked: list[tuple[str, ...]]) -> DataFrame:
+    """key, phrase, tf, dl: how often each phrase's tokens stand next to each other in a segment of dl tokens.
+
+    Tokens that are in no phrase go before anything is shuffled; the others vote for the place where the phrase would begin.
+    """
+    spark = segments.sparkSession
+    parts = spark.createDataFrame([(i, k, len(p), w) for i, p in enumerate(asked) for k, w in enumerate(p)], "phrase int, k int, size int, token string")
+    listed = segments.select(*key, T.tokens(F.col("text")).alias("t")).select(*key, F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("pos", "token"))
+    votes = listed.join(F.broadcast(parts), "token").groupBy(*key, "dl", "phrase", "size", (F.col("pos") - F.col("k")).alias("begin")).agg(F.count("*").alias("n"))
+    return votes.where("n = size").groupBy(*key, "dl", "phrase").agg(F.count("*").alias("tf"))
+
+
 def bm25(segments: DataFrame, key: list[str], query: list[str]) -> DataFrame:
-    """key and rank (minus the BM25 score, so that better is less) of the segments that hold all terms."""
-    terms = sorted({t.lower() for t in query})
+    """key and rank (minus the BM25 score, so that better is less) of the segments that hold all terms.
+
+    A term of several tokens, such as "e-mail" or a quoted phrase, must be there with its tokens next to each other. To search one
+    session, give its segments only. A query without a token finds nothing.
+    """
+    asked = phrases(query)
     stats = segments.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = postings(segments, key).where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = occurrences(segments, key, asked)
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     # one row of totals and at most one row a query term
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    scored = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy(*key).agg(F.sum(part).alias("score"), F.count("*").alias("matched")).where(F.col("matched") == len(terms)).select(*key, (-F.col("score")).alias("rank"))
+    return scored.groupBy(*key).agg(F.sum(part).alias("score"), F.count("*").alias("matched")).where(F.col("matched") == len(asked)).select(*key, (-F.col("score")).alias("rank"))
 
 
 def capped(hits: DataFrame, key: list[str], cap: int = HIT_CAP) -> DataFrame:

@@ -104,7 +104,7 @@ def summary(docs: DataFrame, algorithm: str = "extractive", k: int = 5) -> DataF
 def keyword_counts(docs: DataFrame) -> DataFrame:
     """doc_id, word, n: words of two letters or more that are no stop words."""
     each = docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
-    stop = F.col("word").isin(T.STOP_WORDS)
+    stop = F.col("word").isin(T.TOPIC_STOP_WORDS)
     return each.where((F.length("word") >= 2) & ~stop).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
@@ -122,3 +122,33 @@ def co_occurring(docs: DataFrame, k: int = 20, reach: int = 49) -> DataFrame:
     # what follows within reach is a bounded frame, at most k distinct words of it: no self-join of the stream
     met = placed.withColumn("later", F.collect_set("word").over(near)).select("doc_id", "word", F.explode("later").alias("other"))
     return met.where("word <> other").select("doc_id", F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
+
+
+def topics(docs: DataFrame, k: int = 20, most: int = 5) -> DataFrame:
+    """doc_id, place, label, members, weight: clusters of a document's top keywords, in the order of their counts.
+
+    A keyword that is in no cluster yet takes all such keywords that stand near it, itself among them; a cluster weighs the
+    sum of their counts, as a share of the document's largest. A document has at most `k` rows here, however long it is.
+    """
+    import pandas as pd
+
+    near = co_occurring(docs, k)
+    both = near.unionByName(near.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    mates = both.groupBy("doc_id", F.col("a").alias("word")).agg(F.collect_set("b").alias("mates"))
+    rows = top_keywords(docs, k).join(mates, ["doc_id", "word"], "left").select("doc_id", "place", "word", "n", "mates")
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        count = dict(zip(pdf["word"], pdf["n"].tolist(), strict=True))
+        free, found = dict.fromkeys(count), []
+        for word, mates in zip(pdf["word"], pdf["mates"], strict=True):
+            if word in free:
+                near = {word, *(mates if mates is not None else [])}
+                own = [w for w in free if w in near]
+                found.append((word, own, sum(count[w] for w in own)))
+                free = {w: None for w in free if w not in near}
+        top = max(total for *_, total in found)
+        out = [(pdf["doc_id"].iloc[0], i, label, own, total / top) for i, (label, own, total) in enumerate(found[:most])]
+        return pd.DataFrame(out, columns=["doc_id", "place", "label", "members", "weight"])
+
+    return rows.groupBy("doc_id").applyInPandas(cluster, "doc_id long, place long, label string, members array<string>, weight double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from talkgrain.functions import text as T
 from talkgrain.operators import lifecycle
 from talkgrain.plans.register import registered
 from talkgrain.sources import exports
@@ -105,15 +106,17 @@ def renamed_speakers(spark, sf_dir):
 
 
 @query(
-    f"with {SEGMENTS}, t as (select session_id, text as full_text, lag(text) over (partition by session_id order by ordinal) as d, (ordinal * 7000)::bigint as span, 30000 as chunk, ordinal from segments) "
-    "select session_id, ordinal, case when length(d) = 0 then 'diarized_text_empty' when length(full_text) >= 20 and length(full_text) - length(d) >= 12 and length(d) / length(full_text) < 0.55 then 'diarized_text_much_shorter' "
-    "when span >= 10000 and span / chunk < 0.55 then 'time_coverage_low' when chunk >= 20000 and length(full_text) >= 20 and length(d) <= 8 then 'chunk_long_text_short' end as reason from t where d is not null"
+    f"with {SEGMENTS}, r as (select session_id, ordinal, trim(regexp_replace(text, '\\s+', ' ', 'g')) as full_text from segments), t as (select *, lag(full_text) over (partition by session_id order by ordinal) as d from r), "
+    "m as (select *, 400 * len(string_split(full_text, ' ')) as words, 300 * len(string_split(d, ' ')) as spans from t where d is not null) "
+    "select session_id, ordinal, case when length(full_text) = 0 then null when length(d) = 0 then 'diarized_text_empty' when length(full_text) >= 20 and length(full_text) - length(d) >= 12 and length(d) / length(full_text) < 0.55 then 'diarized_text_much_shorter_than_full_text' "
+    "when words >= 10000 and spans / words < 0.55 then 'diarized_time_coverage_too_small' when length(full_text) >= 20 and length(d) <= 8 then 'chunk_long_but_diarized_text_too_short' end as reason from m"
 )
 def completeness_reasons(spark, sf_dir):
     """S163: why a diarized text does not stand for the full one."""
     d = F.lag("text").over(Window.partitionBy("session_id").orderBy("ordinal"))
     t = segments(spark, sf_dir).withColumn("d", d).where("d is not null")
-    return t.select("session_id", "ordinal", lifecycle.completeness(F.col("text"), F.col("d"), F.col("ordinal") * 7000, F.lit(30000)).alias("reason"))
+    words = lambda c: F.size(F.split(T.collapse(F.col(c)), " "))
+    return t.select("session_id", "ordinal", lifecycle.completeness(F.col("text"), F.col("d"), 400 * words("text"), 300 * words("d"), F.lit(30000)).alias("reason"))
 
 
 @query(f"with {SESSIONS} select session_id, '{{\"folder\":\"' || folder || '\",\"language\":\"' || language || '\",\"sizeBytes\":' || size_bytes || ',\"version\":1}}' as json from sessions")

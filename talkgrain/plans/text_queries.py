@@ -13,7 +13,9 @@ from talkgrain.sources.tables import table
 QUERIES, ORACLE_SQL = {}, {}
 query = registered(QUERIES, ORACLE_SQL)
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_STOP, _TOPIC_STOP = _listed(T.STOP_WORDS), _listed(T.TOPIC_STOP_WORDS)
+_settled = lambda x: f"floor(({x}) * 1000000 + 0.5001) / 1000000"
 
 
 def _pieces(c: str) -> str:
@@ -37,7 +39,7 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.search_terms(F.col("text")), "|").alias("terms"))
 
 
-@query(f"select conv_id, turn, array_to_string(list_filter({_pieces('lower(text)')}, lambda w: length(w) >= 2 and not list_contains({_STOP}, w)), '|') as keywords from conversations")
+@query(f"select conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda p: regexp_replace(p, '^\\p{{P}}+|\\p{{P}}+$', '', 'g')), lambda w: length(w) >= 2 and not list_contains({_STOP}, w)), '|') as keywords from conversations")
 def question_keywords(spark, sf_dir):
     """Keywords of a question."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.keywords(F.col("text")), "|").alias("keywords"))
@@ -121,22 +123,22 @@ def sentence_list(spark, sf_dir):
     return _sentences(spark, sf_dir).select("doc_id", F.col("i").cast("long").alias("i"), "n", F.size("words").cast("long").alias("words"), "sentence")
 
 
-@query(f"with {_TFIDF} select doc_id, i, round(tfidf, 6) as tfidf from tfidf")
+@query(f"with {_TFIDF} select doc_id, i, {_settled('tfidf')} as tfidf from tfidf")
 def sentence_tf_idf(spark, sf_dir):
     """S53, S112: TF-IDF scores of sentences."""
-    return summaries.tf_idf(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), F.round("tfidf", 6).alias("tfidf"))
+    return summaries.tf_idf(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("tfidf")).alias("tfidf"))
 
 
-@query(f"with {_SCORES} select doc_id, i, round(score, 6) as score from scores")
+@query(f"with {_SCORES} select doc_id, i, {_settled('score')} as score from scores")
 def extractive_scores(spark, sf_dir):
     """S113, S116: composite scores of sentences."""
-    return summaries.extractive(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), F.round("score", 6).alias("score"))
+    return summaries.extractive(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("score")).alias("score"))
 
 
-@query(f"with {_SENT} select doc_id, i, round(case when n = 1 then 1.0 else 0.8 * greatest(0, 1 - 0.15 * i) + 0.1 * {_LENGTH} end, 6) as score from sent")
+@query(f"with {_SENT} select doc_id, i, floor(1000000 * (case when n = 1 then 1.0::double else 0.8::double * greatest(0, 1 - 0.15::double * i) + 0.1::double * {_LENGTH} end) + 0.5001) / 1000000 as score from sent")
 def lead_scores(spark, sf_dir):
     """S115: lead scores of sentences."""
-    return summaries.lead(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), F.round("score", 6).alias("score"))
+    return summaries.lead(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("score")).alias("score"))
 
 
 @query(f"with {_SCORES}, r as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, i) as r from scores) select doc_id, string_agg(sentence, ' ' order by i) as summary from r where r <= 5 group by 1")
@@ -151,7 +153,7 @@ def text_rank_scores(spark, sf_dir):
     return summaries.text_rank(_sentences(spark, sf_dir)).select("doc_id", "i", F.round("score", 6).alias("score"))
 
 
-_KEYWORDS = f"k as (select doc_id, word, count(*) as n from (select doc_id, unnest({_words('text')}) as word from documents) where length(word) >= 2 and not list_contains({_STOP}, word) group by all)"
+_KEYWORDS = f"k as (select doc_id, word, count(*) as n from (select doc_id, unnest({_words('text')}) as word from documents) where length(word) >= 2 and not list_contains({_TOPIC_STOP}, word) group by all)"
 
 
 @query(f"with {_KEYWORDS}, r as (select *, row_number() over (partition by doc_id order by n desc, word) as place from k) select * from r where place <= 15")
@@ -169,3 +171,9 @@ def keyword_list(spark, sf_dir):
 def keyword_pairs(spark, sf_dir):
     """S117: keywords that stand near each other."""
     return summaries.co_occurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def topic_clusters(spark, sf_dir):
+    """S117: clusters of keywords (tested against a plain version)."""
+    return summaries.topics(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("weight", F.round("weight", 6))

@@ -64,12 +64,21 @@ def nearest_identity(spark, sf_dir):
     return clusters.identified(e.select("vec_id", "v"), known)
 
 
-@query("with f as (select user_id, event_type, value as v from events), p as (select user_id, avg(v) as a, coalesce(stddev_pop(v), 0) as s, count(*) as n from f group by 1) select user_id, n, round(sqrt(2 * pow((a - 50) / 150, 2) + 1 * pow((s - 25) / 50, 2)), 6) as d from p")
+ENROLLED = [50.0, 25.0, 1.0, 990.0, 0.025, 0.025]
+
+
+def acoustic_profiles(spark, sf_dir):
+    """user_id, n, d: number of events, distance of their six statistics from ENROLLED."""
+    v = F.col("value")
+    p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(v).alias("a"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("s"), F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), (F.avg(F.abs(v - 50)) / 1000).alias("j"))
+    own = [F.col("a"), F.col("s"), F.col("lo"), 10 * F.col("hi"), F.col("j"), F.col("s") / 1000]
+    return p.select("user_id", "n", V.acoustic_distance(own, [F.lit(x) for x in ENROLLED]).alias("d"))
+
+
+@query("with f as (select user_id, event_type, value as v from events), p as (select user_id, avg(v) as a, coalesce(stddev_pop(v), 0) as s, count(*) as n, min(v) as lo, max(v) as hi, avg(abs(v - 50)) / 1000 as j from f group by 1) select user_id, n, round(sqrt(2 * pow((a - 50) / 150, 2) + 1 * pow((s - 25) / 50, 2) + 1.5 * pow((lo - 1) / 20, 2) + 1.5 * pow((10 * hi - 990) / 1500, 2) + 0.5 * pow((j - 0.025) / 0.05, 2) + 0.5 * pow((s / 1000 - 0.025) / 0.1, 2)), 6) as d from p")
 def acoustic_distances(spark, sf_dir):
-    """S121, S141: distance of acoustic profiles; what isn't measured is equal."""
-    p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("a"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("s"), F.count("*").alias("n"))
-    same = [F.lit(0.0)] * 4
-    return p.select("user_id", "n", F.round(V.acoustic_distance([F.col("a"), F.col("s"), *same], [F.lit(50.0), F.lit(25.0), *same]), 6).alias("d"))
+    """S121, S141: distance of acoustic profiles from an enrolled one; six statistics of a user's events for the features."""
+    return acoustic_profiles(spark, sf_dir).select("user_id", "n", F.round("d", 6).alias("d"))
 
 
 @query("with p as (select user_id, event_type, avg(value) as m, count(*) as n from events group by 1, 2) select user_id, sum(n)::bigint as n, round(sum(m * n) / sum(n), 6) as merged from p group by 1")
@@ -79,12 +88,20 @@ def merged_profiles(spark, sf_dir):
     return p.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("merged"))
 
 
-@query("with t as (select user_id, count(*) as n, avg(value) as snr, max(value) as top from events group by 1) select user_id, array_to_string(list_filter([case when n < 5 then 'short' end, case when snr < 50 then 'noisy' end, case when top > 99 then 'clipped' end], lambda x: x is not null), ',') as reasons from t")
+@query(
+    "with x as (select user_id, value / 100 as v, value > 40 as speech from events), t as (select user_id, count(*) * 0.5 as sec, avg(case when speech then 1.0 else 0.0 end) as ratio, avg(case when v >= 0.98 then 1.0 else 0.0 end) as clip, "
+    "20 * log10(greatest(coalesce(avg(v) filter (speech), 0), 1e-6) / greatest(coalesce(avg(v) filter (not speech), 0), 1e-6)) as snr from x group by 1) "
+    "select user_id, array_to_string(list_filter([case when sec < 4.5 then 'duration_short' end, case when sec > 15 then 'duration_long' end, case when snr < 8 then 'snr_low' end, case when ratio < 0.45 then 'speech_ratio_low' end, "
+    "case when ratio > 0.98 then 'speech_ratio_high' end, case when clip > 0.02 then 'clipping_high' end], lambda x: x is not null), ',') as reasons from t"
+)
 def quality_gate(spark, sf_dir):
-    """S128: why a take does not pass."""
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("snr"), F.max("value").alias("top"))
-    reasons = F.array_compact(F.array(F.when(F.col("n") < 5, "short"), F.when(F.col("snr") < 50, "noisy"), F.when(F.col("top") > 99, "clipped")))
-    return t.select("user_id", F.array_join(reasons, ",").alias("reasons"))
+    """S128: why a take does not pass; a user's events as its samples, half a second each."""
+    v, speech = F.col("value") / 100, F.col("value") > 40
+    mean = lambda test: F.greatest(F.coalesce(F.avg(F.when(test, v)), F.lit(0.0)), F.lit(1e-6))
+    t = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        (F.count("*") * 0.5).alias("sec"), F.avg(F.when(speech, 1.0).otherwise(0.0)).alias("ratio"), F.avg(F.when(v >= 0.98, 1.0).otherwise(0.0)).alias("clip"), (20 * F.log10(mean(speech) / mean(~speech))).alias("snr")
+    )
+    return t.select("user_id", F.array_join(V.quality_reasons(*(F.col(c) for c in ("sec", "snr", "ratio", "clip"))), ",").alias("reasons"))
 
 
 @query("with p as (select user_id, count(distinct event_type) as prompts, max(event_id) as version from events group by 1) select user_id, prompts, case when prompts = (select count(distinct event_type) from events) then version + 1 end as version from p")
@@ -98,14 +115,14 @@ def enrolments(spark, sf_dir):
 
 @query()
 def speaker_clusters(spark, sf_dir):
-    """S124: average-linkage clusters of each label's vectors (tested against a plain loop)."""
+    """S124: average-linkage clusters of each label's vectors (tested against merging by hand)."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
     return clusters.average_linkage(e, "label", "vec_id", "embedding")
 
 
 @query()
 def aligned_speakers(spark, sf_dir):
-    """Speakers matched over successive chunks (tested on small cases)."""
+    """Speakers matched over successive chunks (tested on small cases by hand)."""
     from talkgrain.operators.joins import align_speakers
 
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("session"), F.floor(F.col("vec_id") / 50).alias("chunk"), (F.col("vec_id") % 50).alias("speaker"), "embedding", F.lit(1).alias("samples"))

@@ -42,11 +42,11 @@ def commits(before: str, now: str, silence: float) -> bool:
     if not before or not now or now.startswith(before):
         return False
     n, size, share = _shared(before, now), len(before), len(now) / len(before)
-    if n == 0:
-        return size >= 6
-    if before.startswith(now):
-        shrink = size - len(now)
-        return shrink >= 10 or (silence >= 1.2 and shrink >= 4)
+    if n == 0 and size >= 6:
+        return True
+    shrink = size - len(now)
+    if before.startswith(now) and (shrink >= 10 or (silence >= 1.2 and shrink >= 4)):
+        return True
     if size < 8:
         return False
     common = n / size

@@ -14,6 +14,8 @@ from talkgrain.streaming import live
         ("this is it", "this", 0.5, False),
         ("this is it", "this", 1.5, True),
         ("", "anything", 5.0, False),
+        ("abcdefgh", "ab", 0.0, True),
+        ("abcd", "xyz", 9.0, False),
     ],
 )
 def test_rollover(before, now, silence, want):
