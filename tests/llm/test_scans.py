@@ -122,6 +122,35 @@ def test_licenses_against_plain_search(spark):
         assert 0 <= r.score <= 1
 
 
+def test_whole_license_texts(spark):
+    """A text with a word changed here and there, one that is cut short, and a scan against counting k-grams by hand."""
+    from talkgrain.llm.license_texts import TEXTS
+
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(LOWER))
+    rows, want = [], {}
+    for i, (text, label) in enumerate(TEXTS):
+        w = split(text)
+        changed = [x if j % 40 else "other" for j, x in enumerate(w)]
+        for d, own in ((3 * i, text), (3 * i + 1, f"{cases.prose(i, 30)} {' '.join(changed)} {cases.prose(i + 99, 30)}"), (3 * i + 2, " ".join(w[: len(w) // 2]))):
+            rows.append((d, own, None, None, None))
+            grams = {tuple(split(own)[j : j + 4]) for j in range(len(split(own)))}
+            want[d] = (label, sum(tuple(w[j : j + 4]) in grams for j in range(len(w) - 3)) / (len(w) - 3))
+    for r in licenses.scan(spark.createDataFrame(rows, cases.SCHEMA)).collect():
+        label, cover = want[r.doc_id]
+        assert (label in r.labels.split(",")) == (cover >= licenses.TEXT_COVER), (r, cover)
+        assert r.n_base or not r.labels or r.score >= min(cover, licenses.TEXT_COVER)
+
+
+def test_many_matches_and_long_chains_in_one_text(spark):
+    """Work that grows with a match's number or a label's depth would not end, or end the JVM."""
+    texts = ["a@" + "b." * 200_000 + "c", "write to ab@c.de or é " * 50_000, "eyJ" * 50_000, "1." * 100_000, "token=abcdefgh12 " * 50_000]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(texts)], cases.SCHEMA)
+    found = {r.doc_id: r for r in pii.summary(pii.scan(docs)).collect()}
+    assert (found[0].n_email, found[1].n_email, found[3].n_ip) == (1, 50_000, 25_000)
+    assert found[1].spans.endswith(f"email:{22 * 49_999 + 9}:{22 * 49_999 + 16}")
+    assert {r.doc_id: r.n_assign for r in secrets.summary(secrets.scan(docs)).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 50_000}
+
+
 def test_notices_may_have_words_inserted_but_not_another_version(spark):
     rows = [(1, "licensed under the gnu general public license version 3", None, None, None), (2, "permission is hereby granted free of any charge to any person obtaining a copy of this software", None, None, None)]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, cases.SCHEMA)).collect()}
@@ -143,6 +172,26 @@ def test_fingerprints_against_sets(spark):
         assert abs(r.near_edited - like(sets(t), sets(edited))) < 0.2 and abs(r.near_next - like(sets(t), sets(after))) < 0.2
 
 
+def test_fingerprints_are_the_least_shingle_hashes(spark):
+    """The sketch, computed plainly from the hashes that Spark gives each shingle."""
+    import base64
+
+    from pyspark.sql import functions as F
+
+    texts = [cases.prose(1, 400), cases.prose(2, 40), "One  two\tthree four FIVE", "a b", "", cases.prose(1, 400).upper()]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], cases.SCHEMA)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        shingles = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        rows = spark.createDataFrame([(list(s),) for s in set(shingles)] or [(w,)], "w array<string>")
+        five = [F.col("w")[j] for j in range(5)] if shingles else [F.col("w")]
+        least = sorted({(r.s % 2**64) >> 16 for r in rows.select(F.xxhash64(*five).alias("s")).collect()})
+        raw = b"".join(h.to_bytes(6, "big") for h in least[: fingerprints.K]) if w else b""
+        assert base64.b64decode(got[i].fingerprint) == raw
+    assert got[0].fingerprint == got[5].fingerprint
+
+
 def test_sketches_merge_and_estimate(spark):
     from pyspark.sql import functions as F
 
