@@ -19,7 +19,7 @@ def best_overlap(words: DataFrame, segments: DataFrame, keys: list[str], bucket:
     """Each word with the label of the segment that it overlaps most (the first of equals), else of the nearest by midpoint, else 0.
 
     words: keys, word, start, end; segments: keys, seg, start, end, label. Overlaps are found by an equi-join on the buckets
-    that both touch; only words without one are compared with all segments of their own key.
+    that both touch; words without one look for the last midpoint before theirs and the first one after it, in one sorted pass.
     """
     seg = segments.select(*keys, "seg", F.col("start").alias("s"), F.col("end").alias("e"), "label")
     met = words.withColumn("_b", _touched("start", "end", bucket)).join(seg.withColumn("_b", _touched("s", "e", bucket)), [*keys, "_b"])
@@ -27,8 +27,14 @@ def best_overlap(words: DataFrame, segments: DataFrame, keys: list[str], bucket:
     met = met.withColumn("overlap", overlap).where("overlap > 0")
     best = met.groupBy(*keys, "word").agg(F.max_by("label", F.struct("overlap", -F.col("seg"))).alias("label"))
     rest = words.join(best, [*keys, "word"], "left_anti")
-    near = rest.join(seg, keys).withColumn("d", F.abs((F.col("start") + F.col("end")) / 2 - (F.col("s") + F.col("e")) / 2))
-    near = near.groupBy(*keys, "word").agg(F.min_by("label", F.struct("d", "seg")).alias("label"))
+    mids = seg.groupBy(*keys, ((F.col("s") + F.col("e")) / 2).alias("mid")).agg(F.min(F.struct("seg", "label")).alias("own"))
+    asked = rest.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("mid"), F.struct("word").alias("asked"))
+    line = asked.unionByName(mids.withColumn("own", F.struct(F.col("mid").alias("at"), "own.*")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys)
+    before = F.last("own", ignorenulls=True).over(w.orderBy("mid", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("own", ignorenulls=True).over(w.orderBy(F.desc("mid"), F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    ways = line.withColumn("b", before).withColumn("a", after).where("asked is not null").withColumn("x", F.explode(F.array_compact(F.array("b", "a"))))
+    near = ways.groupBy(*keys, "asked.word").agg(F.min_by("x.label", F.struct(F.abs(F.col("mid") - F.col("x.at")), "x.seg")).alias("label"))
     return words.select(*keys, "word").join(best.unionByName(near), [*keys, "word"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
@@ -40,12 +46,18 @@ def active_segment(points: DataFrame, segments: DataFrame, keys: list[str], buck
 
 
 def chunk_at(points: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Each point with the chunk (keys, idx, duration) that holds it on the common time line; clamped to its ends."""
+    """Each point with the chunk (keys, idx, duration) that holds it on the common time line; clamped to its ends.
+
+    The last chunk that begins no later than the point, in one sorted pass over both.
+    """
     w = Window.partitionBy(*keys).orderBy("idx")
     line = chunks.withColumn("e", F.sum("duration").over(w)).withColumn("s", F.col("e") - F.col("duration"))
     line = line.withColumn("last", F.lead("idx").over(w).isNull())
-    met = points.join(line, keys).withColumn("t", F.greatest(F.lit(0), "at")).where("(t >= s and t < e) or (last and t >= e)")
-    return met.groupBy(*keys, "point").agg(F.min("idx").alias("idx"))
+    begins = line.where("duration > 0 or last").select(*keys, F.col("s").alias("t"), "idx")
+    both = begins.unionByName(points.select(*keys, F.greatest(F.lit(0), "at").alias("t"), F.struct("point").alias("asked")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("t", F.col("asked").isNotNull(), "idx").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("held", F.last("idx", ignorenulls=True).over(order))
+    return held.where("asked is not null and held is not null").select(*keys, "asked.point", F.col("held").alias("idx"))
 
 
 def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:

@@ -101,3 +101,27 @@ def test_phrases_need_their_tokens_next_to_each_other(spark):
     assert found == {0: 1, 4: 2}
     assert {r.i for r in search.bm25(df, ["i"], ["e-mail", "here"]).collect()} == {0}
     assert search.bm25(df, ["i"], ["--"]).count() == 0
+
+
+def test_nearest_and_holding_intervals_against_plain_loops(spark):
+    r = random.Random(4)
+    segs = [(k, i, s, s + r.randrange(0, 9), r.randrange(3)) for k in range(3) for i, s in enumerate(sorted(r.randrange(0, 200) for _ in range(12)))]
+    words = [(k, i, s, s + r.randrange(0, 3)) for k in range(4) for i, s in enumerate(r.randrange(0, 220) for _ in range(60))]
+    got = {(x.k, x.word): x.label for x in joins.best_overlap(spark.createDataFrame(words, "k long, word long, start long, end long"), spark.createDataFrame(segs, "k long, seg long, start long, end long, label int"), ["k"], 50).collect()}
+    for k, i, s, e in words:
+        own = [x for x in segs if x[0] == k]
+        over = max(((min(e, x[3]) - max(s, x[2]), -x[1], x[4]) for x in own if min(e, x[3]) > max(s, x[2])), default=None)
+        near = min(((abs(s + e - x[2] - x[3]), x[1], x[4]) for x in own), default=(0, 0, 0))
+        assert got[k, i] == (over or near)[2]
+    chunks = [(k, i, r.choice([0, 5, 9])) for k in range(3) for i in range(7)] + [(3, 0, 0)]
+    points = [(k, p, r.randrange(-5, 60)) for k in range(5) for p in range(40)]
+    found = {(x.k, x.point): x.idx for x in joins.chunk_at(spark.createDataFrame(points, "k long, point long, at long"), spark.createDataFrame(chunks, "k long, idx long, duration long"), ["k"]).collect()}
+    want = {}
+    for k, p, at in points:
+        begin, own = 0, [c for c in chunks if c[0] == k]
+        for _, i, d in own:
+            if begin <= max(at, 0) < begin + d or (i == own[-1][1] and max(at, 0) >= begin + d):
+                want[k, p] = i
+                break
+            begin += d
+    assert found == want
