@@ -96,7 +96,7 @@ class _Rows(dict):
         super().__init__({w: i for i, w in enumerate(model["words"])})
         self.known, self.width = len(self), len(model["langs"])
         self.grams = {g: i for i, g in enumerate(model["grams"])}
-        self.gram_table = np.array(list(model["grams"].values())).reshape(-1, self.width)
+        self.gram_table = np.array(list(model["grams"].values())).reshape(len(self.grams), self.width)
         self.table = np.zeros((self.known + REMEMBERED + 1, self.width))
         if self.known:
             self.table[: self.known] = list(model["words"].values())
