@@ -11,6 +11,7 @@ from talkgrain.llm.exact_substrings import remove_repeats
 from talkgrain.llm.fingerprints import fingerprints
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack
+from talkgrain.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
@@ -71,4 +72,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
