@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import keyed
+
 K, WORDS = 128, 5
 SPACE = 2.0**48
-#: documents of one range that a task orders, about; most ranges
-PER_RANGE, RANGES = 4_000, 1_024
+#: documents of one range, about, up to so many ranges (beyond, ranges are longer: their order is sorted with spilling); keys that
+#: a task sorts to part them
+PER_RANGE, RANGES, PER_TASK = 4_000, 1_000_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -64,28 +67,37 @@ def text_form(a: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 12, "0")), ""))), "\r\n", "")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next document by ascending doc_id, for the last one that of the first.
+def starts(keys: DataFrame, key: str) -> list[int]:
+    """In ascending order, the least of `keys` and further ones that part them into ranges of about equal numbers.
+
+    Keys alone are sorted, in tasks of at most about PER_TASK; the driver gets one key a range.
+    """
+    count = keys.count()
+    each = max(PER_RANGE, -(-count // RANGES))
+    placed = keys.repartitionByRange(-(-count // PER_TASK) or 1, key).sortWithinPartitions(key).select(key, F.monotonically_increasing_id().alias("place"))
+    in_task = F.col("place").bitwiseAND((1 << 33) - 1)
+    return sorted(r[0] for r in placed.where(in_task % each == 0).select(key).collect())
+
+
+def with_ranges(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with `range` and `extra`: every row in the range of its key, and the first row of each range once more, as the
+    extra last row of the range before (of the last one, for the first range). So each row's next one is in its range.
 
-    Documents are dealt out by ranges of doc_id, so no task orders the whole table; the first document of each range is
-    looked up for the last one of the range before. At most RANGES boundaries reach the driver.
+    A row finds its range by binary search among the ranges' first keys.
     """
-    spark = docs.sparkSession
-    count = docs.count()
-    ranges = int(min(RANGES, max(1, count // PER_RANGE)))
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    cuts = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))))
-    firsts = sorted((r["range"], r["id"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("id")).collect())
-    following = [(r, firsts[(i + 1) % len(firsts)][1]) for i, (r, _) in enumerate(firsts)]
-    ids = spark.createDataFrame(following, "range int, id bigint")
-    first = F.broadcast(ids)  # one row a range
-    starts = ranged.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids.select("id").distinct()), "id", "left_semi") if all(i is not None for _, i in firsts) else ranged.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids.select(F.col("id").alias("i")).distinct()), F.expr("id <=> i")).drop("i")
-    starts = starts.groupBy("id").agg(F.min("text").alias("start_text"))
-    heads = first.withColumnRenamed("id", "next_id").join(starts, F.expr("next_id <=> id")).select("range", "start_text")
-    order = Window.partitionBy("range").orderBy("doc_id", "text")
-    led = ranged.withColumn("lead_text", F.lead("text").over(order))
-    return led.join(F.broadcast(heads), "range").select("range", "doc_id", "text", F.coalesce("lead_text", "start_text").alias("next_text"))
+    firsts = starts(docs.select(key), key)
+    if not firsts:
+        return docs.select("*", F.lit(0).alias("range"), F.lit(False).alias("extra"))
+    n, known = len(firsts), F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    further = lambda at, step: (at + step <= n) & (F.element_at(known, F.least(at + step, F.lit(n))) <= F.col(key))
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+    ranged = docs.withColumn("range", place)
+    is_first = F.element_at(known, F.col("range")) == F.col(key)
+    before = F.when(F.col("range") == 1, n).otherwise(F.col("range") - 1)
+    own = F.struct(F.col("range"), F.lit(False).alias("extra"))
+    both = F.when(is_first, F.array(own, F.struct(before.alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(own))
+    return ranged.select(*docs.columns, F.inline(both))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
@@ -97,12 +109,13 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     ones in the order of their texts, a row each. A single document is its own next one. An empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(own)
+    ranged = with_ranges(keyed(own, "key", [F.col("doc_id").asc_nulls_first(), F.col("text")]), "key")
+    following = Window.partitionBy("range").orderBy("extra", "key")
+    place = ["range", "extra", "key", "doc_id"]
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    texts = pairs.select("range", "doc_id", "text", "next_text", edited.alias("edited"))
-    split = texts.select("range", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), words(F.col("text")).alias("w"), words(F.col("edited")).alias("e"), "next_text")
-    sketched = split.select("range", "doc_id", "text", "n_chars", "edited_sha256", sketch(F.col("w"), k).alias("a"), sketch(F.col("e"), k).alias("b"), "next_text")
-    after = F.lead("a").over(Window.partitionBy("range").orderBy("doc_id", "text"))
-    last = sketched.withColumn("c", after).withColumn("c", F.coalesce("c", sketch(words(F.col("next_text")), k)))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.lead("text").over(following), F.lit(1), half))
+    texts = ranged.select(*place, "text", edited.alias("edited"))
+    split = texts.select(*place, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), words(F.col("text")).alias("w"), words(F.col("edited")).alias("e"))
+    sketched = split.select(*place, "n_chars", "edited_sha256", sketch(F.col("w"), k).alias("a"), sketch(F.col("e"), k).alias("b"))
+    last = sketched.withColumn("c", F.lead("a").over(following)).where(~F.col("extra"))
     return last.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("a")).alias("fingerprint"), text_form(F.col("b")).alias("edited_fingerprint"), resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("c"), k).alias("near_next"))

@@ -202,3 +202,19 @@ def test_sketches_merge_and_estimate(spark):
     assert abs(r.n - 1796) < 600 and r.c > 0.6 and r.m > 0.9
     parts = s.select(F.lit(1).alias("key"), F.explode(F.array("a", "b")).alias("sk"))
     assert fingerprints.merged_by(parts, "key", "sk").first().sk == s.select(fingerprints.merge(F.col("a"), F.col("b")).alias("m")).first().m
+
+
+def test_every_row_meets_its_next_one_across_ranges(spark, monkeypatch):
+    """Many small ranges, null and repeated ids: each text gets the start of the next one, the last that of the first."""
+    monkeypatch.setattr(fingerprints, "PER_RANGE", 3)
+    monkeypatch.setattr(fingerprints, "PER_TASK", 7)
+    ids = [None] * 5 + [7] * 9 + list(range(100, 140, 3)) + [2**40]
+    rows = [(d, f"{i % 4} " * (i % 6) + "é" * (i % 5), "en", "web", 0) for i, d in enumerate(ids)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want = []
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        half = len(r[1]) // 2
+        edited = r[1][: len(r[1]) - half] + after[1][:half]
+        want.append((r[0], len(r[1]), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprints.fingerprints(spark.createDataFrame(rows[::-1], cases.SCHEMA).repartition(5)).collect()
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str)
