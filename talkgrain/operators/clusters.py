@@ -11,16 +11,24 @@ from talkgrain.functions import vectors as V
 ACCEPT, REVIEW, ADAPT = 0.30, 0.40, 0.22
 ACOUSTIC = (1.30, 2.00, 0.90)
 MOST, APART = 10, 0.6
-#: enrolled identities that may be broadcast; more are compared by a shuffled join of blocks
+#: enrolled identities of one block
 ENROLLED = 10_000
 
 
 def identified(vectors: DataFrame, known: DataFrame) -> DataFrame:
-    """vec_id, nearest, d, verdict, confidence: the nearest of the enrolled identities (nearest, centroid)."""
-    small = known.limit(ENROLLED + 1).count() <= ENROLLED
-    pairs = vectors.crossJoin(F.broadcast(known) if small else known)
-    d = F.round(V.distance(F.col("v"), F.col("centroid")), 5)
-    best = pairs.select("vec_id", "nearest", d.alias("d")).groupBy("vec_id").agg(F.min(F.struct("d", "nearest")).alias("b")).select("vec_id", "b.nearest", "b.d")
+    """vec_id, nearest, d, verdict, confidence: the nearest of the enrolled identities (nearest, centroid).
+
+    The identities are a query set: every vector is compared with all of them, in broadcast blocks of about ENROLLED.
+    """
+    blocks = -(-known.count() // ENROLLED) or 1
+    best = None
+    for b in range(blocks):
+        own = known.where(F.pmod(F.xxhash64("nearest"), F.lit(blocks)) == b) if blocks > 1 else known
+        d = F.round(V.distance(F.col("v"), F.col("centroid")), 5)
+        least = vectors.crossJoin(F.broadcast(own)).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), "nearest")).alias("b"))
+        best = least if best is None else best.unionByName(least)
+    best = best.groupBy("vec_id").agg(F.min("b").alias("b")) if blocks > 1 else best
+    best = best.select("vec_id", "b.nearest", "b.d")
     verdict = F.when(F.col("d") <= ACCEPT, "accepted").when(F.col("d") <= REVIEW, "review").otherwise("rejected")
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("d") / max(ACCEPT + 0.01, REVIEW)))
     return best.select("vec_id", "nearest", "d", verdict.alias("verdict"), F.round(sure, 5).alias("confidence"))
@@ -41,7 +49,7 @@ def adapted(centroid, vector, alpha: float = 0.2):
 def average_linkage(df: DataFrame, group: str, item: str, vector: str, most: int = MOST, apart: float = APART) -> DataFrame:
     """group, item, cluster: the nearest clusters merge while there are over `most` or the least mean distance is at most `apart`.
 
-    Merging is sequential within a group, here a recording of at most some hundred segments; groups run in parallel.
+    Merging is sequential within a group, here a recording of bounded length; groups run in parallel.
     """
     import numpy as np
     import pandas as pd

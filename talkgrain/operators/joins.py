@@ -64,7 +64,8 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
     """(l, r, similarity) of texts whose word sets have a Jaccard similarity of `least` or more.
 
     left: l, set; right: r, set. Candidates share one of the rarest words that a similar pair must share (prefix filter), so no
-    pair without a common rare word is made.
+    pair without a common rare word is made. Of these, only pairs are compared whose sizes, and the words left after the
+    common one in the order of rarity, still allow that similarity (size and position filters).
     """
     both = left.select(F.explode("set").alias("w")).unionByName(right.select(F.explode("set").alias("w")))
     df = both.groupBy("w").agg(F.count("*").alias("df"))
@@ -72,9 +73,12 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
     def prefix(side, key):
         each = side.select(key, F.size("set").alias("n"), F.explode("set").alias("w")).join(df, "w")
         place = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(key, "w")
+        near = each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+        return near.select(key, "w", F.col("n").alias(f"n_{key}"), (F.col("n") - F.col("place") + 1).alias(f"left_{key}"))
 
-    pairs = prefix(left, "l").join(prefix(right, "r").withColumnRenamed("w", "w2"), F.expr("w = w2")).select("l", "r").distinct()
+    # shared / (n_l + n_r - shared) >= least; the first common word and those after it are all that two texts can share
+    enough = F.expr(f"least(left_l, left_r) * {1 + least} >= {least} * (n_l + n_r) - 1e-9")
+    pairs = prefix(left, "l").join(prefix(right, "r"), "w").where(enough).select("l", "r").distinct()
     full = pairs.join(left.withColumnRenamed("set", "a"), "l").join(right.withColumnRenamed("set", "b"), "r")
     shared = F.size(F.array_intersect("a", "b"))
     return full.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).where(F.col("similarity") >= least).select("l", "r", "similarity")

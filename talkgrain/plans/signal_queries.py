@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from talkgrain.functions import signals as S
 from talkgrain.operators import signals
 from talkgrain.plans.register import registered
-from talkgrain.sources.tables import table
+from talkgrain.sources.tables import RECORDING, recording, table
 
 QUERIES, ORACLE_SQL = {}, {}
 query = registered(QUERIES, ORACLE_SQL)
 
 _SIG = "sig as (select vec_id // 32 as signal, flatten(list(embedding::double[] order by vec_id)) as x from embeddings group by 1)"
 _S = f"{_SIG}, s as (select signal, unnest(x) as x, (generate_subscripts(x, 1) - 1)::bigint as i from sig)"
-_FRAMES = "f as (select label as signal, (vec_id // 100)::bigint as segment, row_number() over (partition by label order by vec_id) - 1 as frame, (embedding::double[])[1:13] as mfcc from embeddings)"
+_FRAMES = f"f as (select {RECORDING} as signal, (vec_id // 100)::bigint as segment, row_number() over (partition by {RECORDING} order by vec_id) - 1 as frame, (embedding::double[])[1:13] as mfcc from embeddings)"
 _LONG = f"{_FRAMES}, l as (select signal, segment, frame, unnest(mfcc) as x, generate_subscripts(mfcc, 1) - 1 as i from f)"
 
 
@@ -29,9 +29,9 @@ def _signals(spark, sf_dir) -> DataFrame:
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    """Rows (signal, segment, frame, mfcc); segments are hundreds of ids."""
-    frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("signal"), F.floor(F.col("vec_id") / 100).alias("segment"), frame.alias("frame"), F.slice(F.col("embedding").cast("array<double>"), 1, 13).alias("mfcc"))
+    """Rows (signal, segment, frame, mfcc): a recording of bounded length is a signal; segments are hundreds of ids."""
+    frame = F.row_number().over(Window.partitionBy("signal").orderBy("vec_id")).cast("long") - 1
+    return table(spark, sf_dir, "embeddings").withColumn("signal", recording()).select("signal", F.floor(F.col("vec_id") / 100).alias("segment"), frame.alias("frame"), F.slice(F.col("embedding").cast("array<double>"), 1, 13).alias("mfcc"))
 
 
 def _samples(df: DataFrame, x) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkgrain.functions import vectors as V
 from talkgrain.operators import clusters
 from talkgrain.plans.register import registered
-from talkgrain.sources.tables import table
+from talkgrain.sources.tables import recording, table
 
 QUERIES, ORACLE_SQL = {}, {}
 query = registered(QUERIES, ORACLE_SQL)
@@ -115,15 +115,15 @@ def enrolments(spark, sf_dir):
 
 @query()
 def speaker_clusters(spark, sf_dir):
-    """S124: average-linkage clusters of each label's vectors (tested against merging by hand)."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return clusters.average_linkage(e, "label", "vec_id", "embedding")
+    """S124: average-linkage clusters of each recording's vectors (tested against merging by hand)."""
+    e = table(spark, sf_dir, "embeddings").select(recording().alias("recording"), "vec_id", "embedding")
+    return clusters.average_linkage(e, "recording", "vec_id", "embedding")
 
 
 @query()
 def aligned_speakers(spark, sf_dir):
-    """Speakers matched over successive chunks (tested on small cases by hand)."""
+    """Speakers matched over the successive chunks of a recording (tested on small cases by hand)."""
     from talkgrain.operators.joins import align_speakers
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("session"), F.floor(F.col("vec_id") / 50).alias("chunk"), (F.col("vec_id") % 50).alias("speaker"), "embedding", F.lit(1).alias("samples"))
+    e = table(spark, sf_dir, "embeddings").select(recording().alias("session"), F.floor(F.col("vec_id") / 50).alias("chunk"), (F.col("vec_id") % 50).alias("speaker"), "embedding", F.lit(1).alias("samples"))
     return align_speakers(e)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,12 @@ CHUNKS = (
     "chunks as (select l_orderkey as session_id, l_linenumber as idx, cast(l_quantity * 1000 as bigint) as duration, cast(trunc(l_extendedprice) as bigint) as size_bytes, "
     "case when l_returnflag = 'R' then 3 when l_linestatus = 'F' then 2 when l_returnflag = 'A' then 1 else 2 end as status from lineitem)"
 )
+
+
+#: a recording of the embeddings table: the vectors of one label (under 1,000) and of this many successive ids, at most; and its SQL
+PER_RECORDING = 2_000
+RECORDING = f"(vec_id // {PER_RECORDING}) * 1000 + label"
+
+
+def recording() -> Column:
+    return F.floor(F.col("vec_id") / PER_RECORDING) * 1000 + F.col("label").cast("long")

@@ -1,8 +1,9 @@
 """Joins against plain loops."""
 
+import math
 import random
 
-from talkgrain.operators import joins
+from talkgrain.operators import clusters, joins
 
 
 def _greedy(rows):
@@ -40,3 +41,21 @@ def test_no_task_holds_a_session(spark):
     pairs = spark.createDataFrame([(0, i, d, 0.5) for i in range(2) for d in range(50)], "session long, l long, r long, similarity double")
     plan = joins.greedy_in_order(pairs, ["session"])._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "hashpartitioning(session#" in plan and ", l#" in plan
+
+
+def test_identities_in_several_blocks_are_compared_as_in_one(spark, monkeypatch):
+    known = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(20)], "nearest long, centroid array<double>")
+    own = spark.createDataFrame([(i, [math.cos(i / 3), math.sin(i / 3)]) for i in range(30)], "vec_id long, v array<double>")
+    whole = sorted(map(tuple, clusters.identified(own, known).collect()))
+    monkeypatch.setattr(clusters, "ENROLLED", 3)
+    assert sorted(map(tuple, clusters.identified(own, known).collect())) == whole
+    assert [r[1] for r in whole[::3]] == list(range(10))
+
+
+def test_similar_texts_equal_all_pairs(spark):
+    rng = random.Random(4)
+    sets = [sorted(rng.sample("abcdefghijklmnop", rng.randint(1, 12))) for _ in range(80)]
+    left = spark.createDataFrame(list(enumerate(sets[:40])), "l long, set array<string>")
+    right = spark.createDataFrame(list(enumerate(sets[40:])), "r long, set array<string>")
+    want = {(i, j) for i, a in enumerate(sets[:40]) for j, b in enumerate(sets[40:]) if 10 * len(set(a) & set(b)) >= 3 * len(set(a) | set(b))}
+    assert {(x.l, x.r) for x in joins.similar_texts(left, right, 0.3).collect()} == want
