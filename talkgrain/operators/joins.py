@@ -63,16 +63,17 @@ def chunk_at(points: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame
 def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
     """(l, r, similarity) of texts whose word sets have a Jaccard similarity of `least` or more.
 
-    left: l, set; right: r, set. Candidates share one of the rarest words that a similar pair must share (prefix filter), so no
+    left: l, set; right: r, set. Candidates share one of the rarest words that a similar pair must share (prefix filter; the smaller side is best as left), so no
     pair without a common rare word is made. Of these, only pairs are compared whose sizes, and the words left after the
     common one in the order of rarity, still allow that similarity (size and position filters).
     """
-    both = left.select(F.explode("set").alias("w")).unionByName(right.select(F.explode("set").alias("w")))
-    df = both.groupBy("w").agg(F.count("*").alias("df"))
+    # any one order of words will do: by their number in `left`, so that words it hasn't come first and need not be looked at
+    df = left.select(F.explode("set").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
 
     def prefix(side, key):
         each = side.select(key, F.size("set").alias("n"), F.explode("set").alias("w")).join(df, "w")
-        place = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
+        own = Window.partitionBy(key)
+        place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "w"))
         near = each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
         return near.select(key, "w", F.col("n").alias(f"n_{key}"), (F.col("n") - F.col("place") + 1).alias(f"left_{key}"))
 
