@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.sources.scratch import discard, materialize
+
 #: intervals are joined by the buckets of so many milliseconds that they touch
 BUCKET = 60_000
 
@@ -85,14 +85,6 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
     return full.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).where(F.col("similarity") >= least).select("l", "r", "similarity")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """`df` written in the checkpoint folder, so that it is not computed again in every round."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talkgrain-"))
-    return df.checkpoint()
-
-
 def greedy_in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Records take, in their order, the most similar segment that no earlier record took. pairs: keys, l, r, similarity.
 
@@ -102,15 +94,18 @@ def greedy_in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
     proposals are the result. Nothing is final before: a record that is refused may still displace a later one elsewhere.
     No session goes through one task; there are at most as many rounds as records that compete for each other's segments.
     """
-    left = _stored(pairs.where("l is not null"))
+    left = materialize(pairs.where("l is not null"), "pairs")
     best = F.min_by(F.struct(*pairs.columns), F.struct(-F.col("similarity"), "r"))
     while True:
         proposed = left.groupBy(*keys, "l").agg(best.alias("best")).select("best.*")
         held = proposed.groupBy(*keys, "r").agg(F.min("l").alias("_held"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        held = _stored(held)
+        held = materialize(held, "held")
         if not held.limit(1).count():
             return proposed
-        left = _stored(left.join(held, [*keys, "r"], "left").where("_held is null or l <= _held").select(pairs.columns))
+        rest = left.join(held, [*keys, "r"], "left").where("_held is null or l <= _held").select(pairs.columns)
+        before, left = left, materialize(rest, "pairs")
+        discard(before)
+        discard(held)
 
 
 def align_speakers(profiles: DataFrame, threshold: float = 0.4) -> DataFrame:
