@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrain.sources.scratch import discard, materialize, scratch_root  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), else an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="talkgrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/talkgrain/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that `materialize` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    conf = spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/talkgrain/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def has_odd_ids(docs: DataFrame) -> bool:
     """Whether a doc_id is null or repeated."""
     return bool(docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count())
@@ -59,8 +29,3 @@ def keyed(docs: DataFrame, key: str, order: list | None = None) -> DataFrame:
         return docs.withColumn(key, F.col("doc_id").cast("long"))
     ordered = docs.withColumn(key, F.monotonically_increasing_id()).orderBy(*(order or [F.col("doc_id").asc_nulls_last()]), key)
     return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
-
-
-def lower_ascii(text):
-    """A-Z to a-z, other characters as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,16 +1,18 @@
-"""The queries opN_<name>: each applies its operator to the whole documents table."""
+"""The queries opN_<name>: each applies its operator to the whole documents or conversations table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talkgrain.llm import langid, licenses, pii, quality, secrets
+from talkgrain.llm import langid, licenses, pii, quality, secrets, toxicity
 from talkgrain.llm.common import documents
 from talkgrain.llm.decontaminate import leaks
 from talkgrain.llm.exact_substrings import remove_repeats
 from talkgrain.llm.fingerprints import fingerprints
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack
+from talkgrain.llm.prefix_trie import prefix_trie
+from talkgrain.llm.repair import repair
 from talkgrain.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -60,6 +62,21 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark, sf_dir):
+    """Learns from labels of documents whose crc32 leaves 0, 1 or 3 on division by 4."""
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    scored = toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits", "n_words")
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -71,4 +88,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
+    "op11_toxicity": op11_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
