@@ -74,25 +74,16 @@ def speech_frames(spark, sf_dir):
     return f.select("signal", "frame", F.round("rms", 6).alias("rms"), F.round("crossings", 6).alias("crossings"), S.is_speech(F.col("rms"), F.col("crossings")).alias("speech"))
 
 
-@query(
+_SPECTRA = (
     f"with {_S}, e as (select signal, i, x - 0.97 * coalesce(lag(x) over (partition by signal order by i), 0) as x from s), n as (select signal, count(*) as n from s group by 1), "
     "k as (select signal, unnest(range((n - 400) // 160 + 1)) as frame from n where n >= 400), w as (select k.signal, frame, i - frame * 160 as t, x * (0.54 - 0.46 * cos(2 * pi() * (i - frame * 160) / 400)) as x from k join e on e.signal = k.signal and i >= frame * 160 and i < frame * 160 + 400), "
-    "p as (select signal, frame, bin, sum(x * cos(2 * pi() * t * bin / 512)) as re, sum(x * sin(2 * pi() * t * bin / 512)) as im from w, (select unnest(range(0, 257, 32)) as bin) group by 1, 2, 3) "
+    "p as (select signal, frame, bin, sum(x * cos(2 * pi() * t * bin / 512)) as re, sum(x * sin(2 * pi() * t * bin / 512)) as im from w, (select unnest(range(0, 257)) as bin) group by 1, 2, 3) "
     "select signal, frame, bin, round(re * re + im * im, 4) as power from p"
 )
-def power_spectra(spark, sf_dir):
-    """S136: power of each frame; every 32nd bin only, the quick check of full_power_spectra."""
-    p = signals.spectra(_signals(spark, sf_dir)).select("signal", F.col("frame").cast("long").alias("frame"), F.posexplode("power").alias("bin", "power"))
-    return p.where("bin % 32 = 0").select("signal", "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
 
 
-@query(
-    f"with {_S}, e as (select signal, i, x - 0.97 * coalesce(lag(x) over (partition by signal order by i), 0) as x from s), n as (select signal, count(*) as n from s group by 1), "
-    "k as (select signal, unnest(range((n - 400) // 160 + 1)) as frame from n where n >= 400), w as (select k.signal, frame, i - frame * 160 as t, x * (0.54 - 0.46 * cos(2 * pi() * (i - frame * 160) / 400)) as x from k join e on e.signal = k.signal and i >= frame * 160 and i < frame * 160 + 400), "
-    "p as (select signal, frame, bin, sum(x * cos(2 * pi() * t * bin / 512)) as re, sum(x * sin(2 * pi() * t * bin / 512)) as im from w, (select unnest(range(0, 257)) as bin) group by 1, 2, 3) "
-    "select signal, frame, bin, round(re * re + im * im, 4) as power from p"
-)
-def full_power_spectra(spark, sf_dir):
+@query(_SPECTRA)
+def power_spectra(spark, sf_dir):
     """S136: power of each frame in all 257 bins, the Nyquist bin included."""
     p = signals.spectra(_signals(spark, sf_dir)).select("signal", F.col("frame").cast("long").alias("frame"), F.posexplode("power").alias("bin", "power"))
     return p.select("signal", "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
@@ -135,13 +126,59 @@ def segment_embeddings(spark, sf_dir):
     return s.select("signal", "segment", "part", F.col("i").cast("long").alias("i"), F.round("value", 5).alias("value"))
 
 
+#: a recording of talk is TALK documents in a row, a frame of it SLICE characters of a text; it is followed by a pause of PAUSE times its length
+TALK, SLICE, PAUSE = 20, 32, 0.6
+#: frames of a minute: longer recordings are cut, as they are when they are made
+MINUTE = 6000
+#: letters whose share is a coefficient; the 13th is that of characters beyond ASCII
+LETTERS = "aeiountsrdlh"
+
+_COUNTS = ", ".join(f"(length(x) - length(replace(x, '{c}', ''))) / {SLICE}" for c in LETTERS)
+_TALK = (
+    f"d as (select doc_id // {TALK} as rec, doc_id, lower(coalesce(text, '')) as t, ceil(length(lower(coalesce(text, ''))) / {SLICE})::bigint as n from documents where doc_id is not null), "
+    "o as (select *, coalesce(sum(n) over (partition by rec order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as o from d), "
+    f"said as (select rec, o + i as frame, substring(t, (i * {SLICE} + 1)::int, {SLICE}) as x from (select rec, o, t, unnest(range(n)) as i from o)), "
+    f"quiet as (select rec, unnest(range(n, round(n * {1 + PAUSE})::bigint)) as frame, '' as x from (select rec, sum(n)::bigint as n from d group by 1)), "
+    f"talk as (select rec * 1000000 + frame // {MINUTE} as signal, frame % {MINUTE} as frame, length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) / {SLICE} as energy, "
+    f"[{_COUNTS}, length(regexp_replace(x, '[\\x00-\\x7f]', '', 'g')) / {SLICE}] as mfcc from (from said union all from quiet))"
+)
+
+
+def _talk(spark, sf_dir) -> DataFrame:
+    """Rows (signal, frame, energy, mfcc): documents as talk, in pieces of a minute; a language is a voice."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(F.col("doc_id") / TALK).alias("rec"), "doc_id", text.alias("t"), F.ceil(F.length(text) / SLICE).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("rec").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))  # of at most TALK documents
+    said = docs.withColumn("o", F.coalesce(before, F.lit(0))).where("n > 0").select("rec", "o", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    said = said.select("rec", (F.col("o") + F.col("i")).alias("frame"), F.substring(F.col("t"), (F.col("i") * SLICE + 1).cast("int"), F.lit(SLICE)).alias("x"))
+    ends = docs.groupBy("rec").agg(F.sum("n").alias("n")).withColumn("e", F.round(F.col("n") * (1 + PAUSE)).cast("long")).where("e > n")
+    quiet = ends.select("rec", F.explode(F.sequence(F.col("n"), F.col("e") - 1)).alias("frame"), F.lit("").alias("x"))
+    x = F.col("x")
+    shares = [(F.length(x) - F.length(F.translate(x, c, ""))) / SLICE for c in LETTERS] + [F.length(F.regexp_replace(x, "[\\x00-\\x7f]", "")) / SLICE]
+    both = said.unionByName(quiet)
+    return both.select((F.col("rec") * 1_000_000 + F.floor(F.col("frame") / MINUTE)).alias("signal"), (F.col("frame") % MINUTE).alias("frame"), (F.length(F.regexp_replace(x, "[^\\p{L}]", "")) / SLICE).alias("energy"), F.array(*shares).alias("mfcc"))
+
+
+@query(f"with {_TALK} select signal, frame, round(energy, 6) as energy, array_to_string(list_transform(mfcc, lambda c: (c * {SLICE})::int), ',') as counts from talk")
+def talk_frames(spark, sf_dir):
+    """The frames that change detection and diarization listen to."""
+    counts = F.array_join(F.transform("mfcc", lambda c: (c * SLICE).cast("int").cast("string")), ",")
+    return _talk(spark, sf_dir).select("signal", "frame", F.round("energy", 6).alias("energy"), counts.alias("counts"))
+
+
 @query()
 def speaker_changes(spark, sf_dir):
-    """S131, S132: change points by the Bayesian information criterion."""
-    return signals.change_points(_frames(spark, sf_dir).withColumn("region", F.lit(0).cast("long")))
+    """S131, S132: change points by the Bayesian information criterion, in the parts of a minute that are not silent."""
+    return signals.change_points(_talk(spark, sf_dir).where("energy > 0").withColumn("region", F.lit(0).cast("long")))
 
 
 @query()
 def diarization(spark, sf_dir):
-    """S146: who speaks when, from samples."""
+    """S146: who speaks when, minute by minute."""
+    return signals.diarized(_talk(spark, sf_dir))
+
+
+@query()
+def signal_diarization(spark, sf_dir):
+    """S146 from samples: the signals are short, so each is one turn."""
     return signals.diarized(signals.mfcc(_signals(spark, sf_dir)))

@@ -53,12 +53,10 @@ def test_cepstra_by_definition(spark):
     assert [r.frame for r in have] == [0, 1]
 
 
-def test_full_power_spectra_have_every_bin(spark):
-    full = signal_queries.QUERIES["full_power_spectra"](spark, SF)
+def test_power_spectra_have_every_bin(spark):
+    full = signal_queries.QUERIES["power_spectra"](spark, SF)
     frames = full.groupBy("signal", "frame").agg(F.count("*").alias("n"), F.count_distinct("bin").alias("bins"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
     assert {tuple(r)[2:] for r in frames.collect()} == {(257, 257, 0, 256)}
-    quick = signal_queries.QUERIES["power_spectra"](spark, SF)
-    assert quick.subtract(full).count() == 0 and quick.count() * 257 == full.count() * 9
 
 
 def test_spectra_by_definition(spark):
@@ -97,3 +95,39 @@ def test_two_speakers_take_turns_and_silence_is_one_turn(spark):
     df = spark.createDataFrame(rows, "signal long, frame long, energy double, mfcc array<double>")
     rows = [tuple(r) for r in signals.diarized(df).select("signal", "start", "end", "label").orderBy("signal", "start").collect()]
     assert rows == [(0, 0, 1500, 0), (0, 3500, 5000, 1), (1, 0, 230, 0)]
+
+
+def _plain_splits(frames):
+    """Change detection with a fresh covariance of both sides at every split."""
+    def log_det(x):
+        return np.linalg.slogdet(np.cov(x.T) + 1e-6 * np.eye(x.shape[1]))[1]
+
+    found, start, end = [], 0, 100
+    while end <= len(frames):
+        x, d = frames[start:end], frames.shape[1]
+        n, best = len(x), (0, 0.0)
+        for at in range(33, n - 33, 10):
+            gain = 0.5 * (n * log_det(x) - at * log_det(x[:at]) - (n - at) * log_det(x[at:])) - 1.5 * 0.5 * (d + 0.5 * d * (d + 1)) * math.log(n)
+            best = (at, gain) if gain > best[1] else best
+        if best[1] > 0:
+            found.append((start + best[0], best[1]))
+            start, end = start + best[0], start + best[0] + 100
+        else:
+            end += 50
+    return found
+
+
+def test_change_points_of_the_table_equal_a_plain_loop(spark):
+    talk = signal_queries._talk(spark, SF).where("energy > 0").orderBy("signal", "frame").toPandas()
+    want = []
+    for signal, own in talk.groupby("signal"):
+        frames = np.array(own["mfcc"].tolist())
+        want += [(signal, own["frame"].iloc[at], gain) for at, gain in _plain_splits(frames)]
+    found = sorted((r.signal, r.frame, r.gain) for r in signal_queries.QUERIES["speaker_changes"](spark, SF).collect())
+    assert len(found) > 10 and [x[:2] for x in found] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in found] == pytest.approx([x[2] for x in sorted(want)], rel=1e-6)
+
+
+def test_talk_has_several_speakers(spark):
+    rows = signal_queries.QUERIES["diarization"](spark, SF).collect()
+    assert len({r.label for r in rows}) > 1 and all(r.start < r.end for r in rows)
