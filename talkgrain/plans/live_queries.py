@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkgrain.plans.register import registered
-from talkgrain.sources.tables import table
-from talkgrain.streaming import live
+from talkgrain.plans.text_queries import _SCORES
+from talkgrain.sources.scratch import scratch_root
+from talkgrain.sources.tables import CHUNKS, chunk_columns, table
+from talkgrain.streaming import live, upkeep
 
 QUERIES, ORACLE_SQL = {}, {}
 query = registered(QUERIES, ORACLE_SQL)
@@ -39,3 +43,16 @@ def live_segments(spark, sf_dir):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 10_000 + F.col("k"))
     partials = grown.select("session", at.alias("ts"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("text"), F.lit(False).alias("final"))
     return live.assemble_batch(partials)
+
+
+@query(
+    f"with {CHUNKS}, last as (select session_id, max(status) as status from chunks group by session_id, idx), states as (select session_id from last group by 1 having bool_and(status = 2)), {_SCORES}, r as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, i) as r from scores) "
+    "select doc_id as session_id, string_agg(sentence, ' ' order by i) as summary from r where r <= 3 and doc_id in (select session_id from states) group by 1"
+)
+def automatic_summaries(spark, sf_dir):
+    """S160, S162: a stream of chunk states; sessions that are finalised get a summary."""
+    source = table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{sf_dir}/lineitem.parquet*")  # a pattern may be a file or a folder
+    states = chunk_columns(stream).select("session_id", F.col("idx").cast("long").alias("idx"), F.col("status").cast("int").alias("status"), F.col("status").cast("long").alias("seq"))  # of the rows that the table has of a chunk, the furthest
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
+    return upkeep.run(states, texts, f"{scratch_root(spark)}/talkgrain/upkeep-{uuid.uuid4().hex}")

@@ -40,8 +40,12 @@ SEGMENTS = (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as audio chunks of an order's session."""
+    return chunk_columns(table(spark, sf_dir, "lineitem"))
+
+
+def chunk_columns(lines: DataFrame) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_linestatus") == "F", 2).otherwise(F.when(F.col("l_returnflag") == "A", 1).otherwise(2))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("idx"), (F.col("l_quantity") * 1000).cast("long").alias("duration"), F.col("l_extendedprice").cast("long").alias("size_bytes"), status.alias("status"))
+    return lines.select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("idx"), (F.col("l_quantity") * 1000).cast("long").alias("duration"), F.col("l_extendedprice").cast("long").alias("size_bytes"), status.alias("status"))
 
 
 CHUNKS = (
