@@ -10,7 +10,7 @@ may cross, so it does not matter which ones they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,13 @@ PER_EDIT = 10
 BLOCK_CHARS = 4_000_000
 #: characters of documents that are looked at together
 AT_ONCE = 2_000_000
+#: shared q-grams that are listed together, and cells of an alignment; what exceeds them is done in parts
+HITS, CELLS = 4_000_000, 2_000_000
 _BITS = 22
 #: the character between texts, and what it costs to align it: more than any budget
 _SEP, _NEVER = 1, 1 << 30
+#: a key of item and diagonal is item * _SHIFT + diagonal + _ZERO
+_SHIFT, _ZERO = np.int64(1) << 40, np.int64(1) << 24
 _P = 0x9E3779B97F4A7C15
 _TABLE: list[np.ndarray] = []
 
@@ -83,17 +87,72 @@ class Grams:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every shared q-gram."""
+    def met(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number of the q-gram) wherever the text has a q-gram of an item."""
         h = grams(codes, self.q)
         at = np.flatnonzero(self.sieve[self._slot(h)])
         g = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         same = self.keys[g] == h[at]
-        at, g = at[same], g[same]
+        return at[same], g[same]
+
+    def listed(self, at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of every shared q-gram of these positions."""
         n = self.count[g]
         entry = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return self.item[entry].astype(np.int64), np.repeat(at, n) - self.place[entry]
 
+    def groups(self, g: np.ndarray) -> Iterator[np.ndarray]:
+        """Items in groups that share at most HITS q-grams with the text, or alone if one shares more."""
+        times = np.bincount(g, minlength=len(self.keys))
+        hits = np.bincount(self.item, np.repeat(times, self.count))
+        items = np.flatnonzero(hits)
+        so_far, lo = np.cumsum(hits[items]), 0
+        while lo < len(items):
+            hi = max(lo + 1, int(np.searchsorted(so_far, (so_far[lo - 1] if lo else 0) + HITS, side="right")))
+            yield items[lo:hi]
+            lo = hi
+
+    def only(self, items: np.ndarray) -> Grams:
+        """The q-grams of some of the items; their numbers stay."""
+        part = object.__new__(Grams)
+        kept = np.isin(self.item, items)
+        part.q, part.keys, part.item, part.place = self.q, self.keys, self.item[kept], self.place[kept]
+        part.count = np.bincount(np.repeat(np.arange(len(self.keys)), self.count)[kept], minlength=len(self.keys))
+        part.first = np.cumsum(part.count) - part.count
+        return part
+
+    def diagonals(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, diagonal, shared q-grams on it) in parts; an item is in one part. No part lists more than about HITS q-grams at once."""
+        at, g = self.met(codes)
+        if self.count[g].sum() <= HITS:
+            yield self._summed(*self.listed(at, g))
+            return
+        for items in self.groups(g):
+            part = self.only(items)
+            here = part.count[g] > 0
+            own_at, own_g = at[here], g[here]
+            so_far = np.cumsum(part.count[own_g])
+            if len(items) > 1 or so_far[-1] <= HITS:
+                yield part._summed(*part.listed(own_at, own_g))
+                continue
+            low = int(own_at[0]) - int(part.place.max())
+            sums = np.zeros(int(own_at[-1]) - low + 1, np.int64)
+            lo = 0
+            while lo < len(own_at):
+                hi = max(lo + 1, int(np.searchsorted(so_far, (so_far[lo - 1] if lo else 0) + HITS, side="right")))
+                diagonal = part.listed(own_at[lo:hi], own_g[lo:hi])[1] - low
+                first = diagonal.min()
+                counted = np.bincount(diagonal - first)
+                sums[first : first + len(counted)] += counted
+                lo = hi
+            full = np.flatnonzero(sums)
+            yield np.full(len(full), items[0], np.int64), full + low, sums[full]
+
+    @staticmethod
+    def _summed(item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n = np.unique(item * _SHIFT + diagonal + _ZERO, return_counts=True)
+        return key // _SHIFT, key % _SHIFT - _ZERO, n
+
 
 class Index:
     """The q-grams of a block of benchmark items."""
@@ -121,30 +180,35 @@ class Index:
             own = np.unique(np.stack([np.searchsorted(ends, end - 1), item, edits]), axis=1)[:, ::-1]
             best.update({(d, k): min(x, best.get((d, k), x)) for d, k, x in own.T.tolist()})
 
-        hits = [part.hits(codes) for part in self.parts]
-        item, diagonal = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64), np.empty(0, np.int64))
-        if not len(item):
-            return best
-        shift, zero = np.int64(1) << 40, np.int64(1) << 24
-        exact, n = np.unique(item * shift + diagonal + zero, return_counts=True)
-        whole = n == (self.length - self.q + 1)[exact // shift]
-        exact = exact[whole]
-        k = exact // shift
-        keep(k, exact % shift - zero + self.length[k], np.zeros(len(k), np.int64))
+        for part in self.parts:
+            for item, diagonal, n in part.diagonals(codes):
+                if len(item):
+                    self._verified(codes, item, diagonal, n, keep)
+        return best
+
+    def _verified(self, codes: np.ndarray, item: np.ndarray, diagonal: np.ndarray, hits: np.ndarray, keep: Callable) -> None:
+        """Keep the regions, of all diagonals of some items, whose bands have enough hits and that align within the budget."""
+        whole = hits == (self.length - self.q + 1)[item]
+        k = item[whole]
+        exact = np.sort(k * _SHIFT + diagonal[whole] + _ZERO)
+        keep(k, diagonal[whole] + self.length[k], np.zeros(len(k), np.int64))
         band = diagonal // (self.edits[item] + 1)
-        bands, n = np.unique(np.concatenate([item * shift + band + zero, item * shift + band - 1 + zero]), return_counts=True)
-        i = bands // shift
+        bands, back = np.unique(np.concatenate([item * _SHIFT + band + _ZERO, item * _SHIFT + band - 1 + _ZERO]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([hits, hits]))
+        i = bands // _SHIFT
         dense = n >= self.least[i]
-        i, start = i[dense], (bands[dense] % shift - zero) * (self.edits[i[dense]] + 1)
+        i, start = i[dense], (bands[dense] % _SHIFT - _ZERO) * (self.edits[i[dense]] + 1)
         # a band around an exact passage has nothing to add
-        lo = np.searchsorted(exact, i * shift + start + zero)
-        hi = np.searchsorted(exact, i * shift + start + 2 * (self.edits[i] + 1) + zero)
+        lo = np.searchsorted(exact, i * _SHIFT + start + _ZERO)
+        hi = np.searchsorted(exact, i * _SHIFT + start + 2 * (self.edits[i] + 1) + _ZERO)
         i, start = i[lo == hi], start[lo == hi]
         for k in np.unique(i):
-            edits, end = self.align(codes, int(k), start[i == k])
-            near = edits <= self.edits[k]
-            keep(np.full(near.sum(), k), end[near], edits[near])
-        return best
+            own = start[i == k]
+            step = max(1, CELLS // int(self.length[k] + 4 * self.edits[k] + 2))
+            for at in range(0, len(own), step):
+                edits, end = self.align(codes, int(k), own[at : at + step])
+                near = edits <= self.edits[k]
+                keep(np.full(near.sum(), k), end[near], edits[near])
 
     def align(self, codes: np.ndarray, k: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits that turn item k into a part of the text on the bands that begin at diagonals `starts`, and where it ends."""

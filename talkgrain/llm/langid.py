@@ -15,13 +15,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.llm.common import discard, materialize
 
-#: training documents (about, by hash of doc_id), most words and most n-grams a language: bounds of the model
-SAMPLE, WORDS, GRAMS = 20_000, 20_000, 20_000
+#: labelled rows that are learnt from (about, by hash of doc_id); all their words and n-grams are kept
+SAMPLE = 20_000
 LONGEST = 4
 SMOOTH = 0.5
 #: mean log-likelihoods per word are multiplied by this before the softmax
@@ -42,24 +43,35 @@ def _letters() -> re.Pattern:
     return re.compile(rf"[^\W\d_{''.join(numerals)}]+")
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows (lang, t, n) of `counts` with n so large that at most `most` rows of their language have it.
+class Table:
+    """Log frequencies by language of words or n-grams, which are known by their 64-bit hashes."""
 
-    The least such n comes from a histogram of n by language, so no language's rows are sorted in one task. Of rows that
-    tie at the limit, all go or all stay.
-    """
-    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
-    so_far = F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    least = sizes.withColumn("m", so_far).where(F.col("m") <= most).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", "t", "n")  # one row a language
+    def __init__(self, hashes: np.ndarray, langs: np.ndarray, counts: np.ndarray, width: int):
+        self.keys, row = np.unique(hashes.astype(np.int64), return_inverse=True)
+        table = np.zeros((len(self.keys), width))
+        np.add.at(table, (row, langs), counts)
+        self.values = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * max(1, len(table))))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row of each word, or -1."""
+        if not len(self.keys):
+            return np.full(len(words), -1)
+        h = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+
+#: what Spark's xxhash64 begins with
+_SEED = 42
 
 
 def fit(labelled: DataFrame) -> dict:
     """Model from (doc_id, text, lang): word and n-gram log frequencies by language.
 
-    The sample is bounded by about SAMPLE documents and the tables by the WORDS most frequent words and the GRAMS most frequent
-    n-grams of each language, so the model's size does not grow with the corpus. Null texts and languages are left out; without any the model knows no language.
+    About SAMPLE labelled rows are learnt from, by hash of doc_id, and nothing of theirs is left out: the model holds 8 bytes and
+    8 a language for each of their words and n-grams. Languages are those of all labelled rows. Null texts and languages are left out; without any the model knows no language.
     """
+    langs = sorted(r.lang for r in labelled.where("lang is not null").select("lang").distinct().collect())
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     total = labelled.where("lang is not null").count()
     if total > SAMPLE:
@@ -69,18 +81,13 @@ def fit(labelled: DataFrame) -> dict:
     words = materialize(words, "words")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - k + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, k))))
     padded = words.select("lang", "n", F.concat(F.lit("<"), "t", F.lit(">")).alias("w"))
-    grams = materialize(padded.select("lang", "n", F.explode(grams).alias("t")).groupBy("lang", "t").agg(F.sum("n").alias("n")), "grams")
-    found = {name: most_frequent(df, most).collect() for name, df, most in (("words", words, WORDS), ("grams", grams, GRAMS))}
-    discard(words)
-    discard(grams)
-    langs = sorted({r.lang for r in found["words"]})
+    grams = padded.select("lang", "n", F.explode(grams).alias("t")).groupBy("lang", "t").agg(F.sum("n").alias("n"))
     model = {"langs": langs}
-    for name, rows in found.items():
-        table: dict[str, np.ndarray] = {}
-        for r in rows:
-            table.setdefault(r.t, np.zeros(len(langs)))[langs.index(r.lang)] = r.n
-        total = sum(table.values(), np.zeros(len(langs))) + SMOOTH * len(table)
-        model[name] = {t: np.log((v + SMOOTH) / total) for t, v in table.items()}
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1 if langs else F.lit(0).cast("long")
+    for name, df in (("words", words), ("grams", grams)):
+        found = df.select(F.xxhash64("t").alias("h"), number.cast("int").alias("lang"), "n").toArrow()
+        model[name] = Table(*(found[c].to_numpy() for c in ("h", "lang", "n")), len(langs))
+    discard(words)
     return model
 
 
@@ -89,43 +96,35 @@ def words_of(text: str) -> list[str]:
     return found if not found or "".join(found).isalpha() else _letters().findall(text.lower())
 
 
-class _Rows(dict):
-    """Word to its row in `table`; a word that is looked up first is scored by backoff and remembered while there is room."""
+class Scorer:
+    """Scores texts; words are looked up together, and remembered with their scores while there is room."""
 
     def __init__(self, model: dict):
-        super().__init__({w: i for i, w in enumerate(model["words"])})
-        self.known, self.width = len(self), len(model["langs"])
-        self.grams = {g: i for i, g in enumerate(model["grams"])}
-        self.gram_table = np.array(list(model["grams"].values())).reshape(len(self.grams), self.width)
-        self.table = np.zeros((self.known + REMEMBERED + 1, self.width))
-        if self.known:
-            self.table[: self.known] = list(model["words"].values())
+        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((REMEMBERED + AT_ONCE, len(self.langs)))
 
     def backoff(self, word: str) -> np.ndarray:
-        padded, get = f"<{word}>", self.grams.get
+        """Mean of the longest n-grams of an unseen word that are known."""
+        padded = f"<{word}>"
         for k in range(LONGEST, 0, -1):
-            own = [g for i in range(len(padded) - k + 1) if (g := get(padded[i : i + k])) is not None]
-            if own:
-                return np.add.reduce(self.gram_table[own]) / len(own)
-        return np.zeros(self.width)
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        self.table[row] = self.backoff(word)
-        self[word] = row
-        return row
-
-    def forget(self) -> None:
-        for word in list(self)[self.known :]:
-            del self[word]
-
-
-class Scorer:
-    def __init__(self, model: dict):
-        self.langs, self.rows = model["langs"], _Rows(model)
+            own = self.grams.rows([padded[i : i + k] for i in range(len(padded) - k + 1)])
+            own = own[own >= 0]
+            if len(own):
+                return self.grams.values[own].mean(axis=0)
+        return np.zeros(len(self.langs))
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        for w, row in zip(new, self.words.rows(new).tolist(), strict=True):
+            self.table[len(self.known)] = self.words.values[row] if row >= 0 else self.backoff(w)
+            self.known[w] = len(self.known)
 
     def total(self, words: list[str]) -> np.ndarray:
-        return self.rows.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        self.learn(words)
+        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
@@ -133,8 +132,6 @@ class Scorer:
             return UNKNOWN, 0.0
         mean = np.zeros(len(self.langs))
         for i in range(0, len(words), AT_ONCE):
-            if len(self.rows) + AT_ONCE > self.rows.known + REMEMBERED:
-                self.rows.forget()
             mean += self.total(words[i : i + AT_ONCE]) / len(words)
         share = np.exp(SHARP * (mean - mean.max()))
         best = int(share.argmax())
@@ -143,7 +140,7 @@ class Scorer:
 
 def judge(docs: DataFrame, model: dict) -> Column:
     """struct<lang_pred, score> of the text of each row, as a column of `docs`; see `predict`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS entries a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

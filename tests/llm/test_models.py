@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -144,11 +145,15 @@ def test_language_by_plain_backoff(spark):
     assert [got[i] for i in (6, 7, 8)] == [("und", 0.0)] * 3
 
 
-def test_most_frequent_keeps_ties_together(spark):
-    df = spark.createDataFrame([("x", f"t{i}", n) for i, n in enumerate([9, 5, 5, 3, 3, 3])] + [("y", "t", 1)], "lang string, t string, n long")
-    kept = lambda most: sorted((r.lang, r.n) for r in langid.most_frequent(df, most).collect())
-    assert kept(6) == sorted([("x", n) for n in (9, 5, 5, 3, 3, 3)] + [("y", 1)])
-    assert kept(5) == kept(3) == [("x", 5), ("x", 5), ("x", 9), ("y", 1)] and kept(2) == [("x", 9), ("y", 1)]
+def test_language_model_keeps_words_that_are_seen_once(spark):
+    """Many ties leave nothing out, and a language needs no words of its own."""
+    once = [cases.VOCABULARY[i % 360] + cases.VOCABULARY[i // 360] for i in range(20_050)]
+    rows = [(1, " ".join(once), "aa", "s", 1), (2, "kirk kirk blip", "bb", "s", 1), (3, "12 34", "cc", "s", 1)]
+    model = langid.fit(spark.createDataFrame(rows, cases.SCHEMA))
+    assert model["langs"] == ["aa", "bb", "cc"] and len(model["words"].keys) == 20_052
+    assert (model["words"].rows([*once, "kirk"]) >= 0).all() and model["words"].rows(["notaword", ""]).tolist() == [-1, -1]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate([once[0], once[-1], "blip", "kirkk"])], cases.SCHEMA)
+    assert [r.lang_pred for r in sorted(langid.predict(docs, model).collect(), key=lambda r: r.doc_id)] == ["aa", "aa", "bb", "bb"]
 
 
 def test_quality_scores_are_the_rules_over_the_statistics(spark):
@@ -217,3 +222,32 @@ def test_plan_uses_every_piece_and_few_sequences(n):
     over_half = sum(c for x, c in hist.items() if x > packing.SIZE // 2)
     least = max(-(-sum(x * c for x, c in hist.items()) // packing.SIZE), over_half)
     assert sequences <= 1.03 * least + 2
+
+
+@pytest.mark.parametrize("text", ["0" * 1_000_000, ("0" * 280 + "x") * 1_000, "ab" * 200_000])
+def test_repetitive_texts_take_bounded_memory(text):
+    """Every q-gram of the text is shared many times over with the item."""
+    items = [(1, "0" * 300), (2, "ab" * 150), (3, "0" * 290 + "y" * 10)]
+    index = decontaminate.Index(items)
+    codes, ends = decontaminate.normalise([decontaminate._codes(t) for t in (text, "and 0 more", "0" * 299)])
+    tracemalloc.start()
+    found = index.search(codes, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800e6
+    # item 3 ends in other characters: deleting or replacing ten is within its budget of 30
+    zeros = {(0, 0): 0, (0, 2): 10} if text[:2] == "00" and "x" not in text else {(0, 0): 1, (0, 2): 11} if "x" in text else {(0, 1): 0}
+    assert {k: v for k, v in found.items() if k[0] == 0} == zeros
+    assert found[2, 0] == 1
+
+
+def test_hits_listed_in_parts_are_the_same(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab ") for _ in range(r.randrange(300))) for _ in range(30)]
+    index = decontaminate.Index([(i, "".join(r.choice("ab") for _ in range(r.randrange(1, 60)))) for i in range(25)])
+    codes, ends = decontaminate.normalise([decontaminate._codes(t) for t in texts])
+    whole = index.search(codes, ends)
+    for hits in (1, 50, 2_000):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        monkeypatch.setattr(decontaminate, "CELLS", hits)
+        assert index.search(codes, ends) == whole
