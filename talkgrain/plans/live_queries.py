@@ -10,10 +10,12 @@ from talkgrain.plans.register import registered
 from talkgrain.plans.text_queries import _SCORES
 from talkgrain.sources.scratch import scratch_root
 from talkgrain.sources.tables import CHUNKS, chunk_columns, table
-from talkgrain.streaming import live, upkeep
+from talkgrain.streaming import live, recogniser, upkeep
 
 QUERIES, ORACLE_SQL = {}, {}
 query = registered(QUERIES, ORACLE_SQL)
+#: hypotheses of a turn
+STEPS = 16
 
 
 def _events(spark, sf_dir):
@@ -35,14 +37,38 @@ def live_sessions(spark, sf_dir):
     return live.session_activity(_events(spark, sf_dir), "6 hours")
 
 
-@query()
-def live_segments(spark, sf_dir):
-    """S149, S150, S151: confirmed segments from partial hypotheses: each turn's text grows word by word (tested on cases)."""
+def _hypotheses(spark, sf_dir):
+    """Partial hypotheses: each turn's text grows in STEPS parts at most, a second apart, a turn begins every 10,000 seconds."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.split("text", " ").alias("w"))
-    grown = turns.select("session", "turn", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
+    step = F.ceil(F.size("w") / STEPS)
+    grown = turns.select("session", "turn", "w", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(1).cast("long"), F.size("w").cast("long"), step), F.array(F.size("w").cast("long"))))).alias("k"))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 10_000 + F.col("k"))
-    partials = grown.select("session", at.alias("ts"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("text"), F.lit(False).alias("final"))
-    return live.assemble_batch(partials)
+    return grown.select("session", at.alias("ts"), F.array_join(F.slice("w", F.lit(1), F.col("k").cast("int")), " ").alias("text"), F.lit(False).alias("final"))
+
+
+@query()
+def live_segments(spark, sf_dir):
+    """S149, S150, S151: confirmed segments from partial hypotheses (tested on cases)."""
+    return live.assemble_batch(_hypotheses(spark, sf_dir))
+
+
+@query()
+def live_cycles(spark, sf_dir):
+    """S148 to S151: confirmed segments with recogniser cycles and timers, the batch twin of the stream (tested against a loop and the stream)."""
+    return recogniser.transcribed(_hypotheses(spark, sf_dir))
+
+
+@query(
+    "with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as back from conversations), "
+    "done as (select conv_id, string_agg(text, ' ' order by turn) as said, string_split(string_agg(text, ' ' order by turn) filter (back <= 4), ' ') as w from t where back > 1 group by 1), open as (select conv_id, array_to_string(string_split(text, ' ')[1:5], ' ') as partial from t where back = 1) "
+    "select conv_id as session, concat_ws(' ', said, partial) as text, array_to_string(w[greatest(len(w) - 99, 1):], ' ') as context from open left join done using (conv_id)"
+)
+def live_states(spark, sf_dir):
+    """S152, S153: the text of sessions whose last turn is still open, and the context for the next recogniser."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "text")
+    last = turns.groupBy("session").agg(F.max("seq").alias("seq"))
+    partial = turns.join(last, ["session", "seq"]).select("session", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("text"))
+    return recogniser.live_state(turns.join(last, ["session", "seq"], "left_anti"), partial)
 
 
 @query(
