@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.functions import text as T
 from talkgrain.operators.filters import contains_folded
+from talkgrain.sources.scratch import materialize
 
 K1, B = 1.2, 0.75
 #: hits that are kept before any filter
@@ -24,37 +26,50 @@ def postings(segments: DataFrame, key: list[str]) -> DataFrame:
 
 def phrases(query: list[str]) -> list[tuple[str, ...]]:
     """The distinct terms of a query as tokens, cut as texts are; a term with punctuation inside is a phrase."""
-    plain = str.maketrans(T.ACCENTED, T.PLAIN)
-    return list(dict.fromkeys(t for q in query if (t := tuple(w for w in re.split(r"[\W_]+", q.lower().translate(plain)) if w))))
+    return list(dict.fromkeys(t for q in query if (t := tuple(w for w in re.split(r"[\W_]+", T.folded(q)) if w))))
+
+
+def _counted(t: Column, phrase: tuple[str, ...]) -> Column:
+    """How often a phrase's tokens stand next to each other in the tokens `t`."""
+    if len(phrase) == 1:
+        return F.size(F.filter(t, lambda w: w == phrase[0]))
+    last = F.size(t) - len(phrase)
+    starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+    there = lambda i: reduce(lambda a, b: a & b, [F.get(t, i - 1 + k) == w for k, w in enumerate(phrase)])
+    return F.size(F.filter(starts, there))
 
 
 def occurrences(segments: DataFrame, key: list[str], asked: list[tuple[str, ...]]) -> DataFrame:
-    """key, phrase, tf, dl: how often each phrase's tokens stand next to each other in a segment of dl tokens.
+    """key, dl, tfs: the tokens of each segment, and how often it has each phrase; a row a segment, without a shuffle."""
+    listed = segments.select(*key, T.tokens(F.col("text")).alias("t"))
+    return listed.select(*key, F.size("t").cast("long").alias("dl"), F.array(*[_counted(F.col("t"), p).cast("long") for p in asked]).alias("tfs"))
+
+
+def ranked(found: DataFrame, key: list[str], n_phrases: int) -> DataFrame:
+    """key and rank from rows (key, dl, tfs) of all segments, of which those without all phrases only count in the totals.
 
-    Tokens that are in no phrase go before anything is shuffled; the others vote for the place where the phrase would begin.
+    `found` is read twice: for the totals, one row, and for the scores.
     """
-    spark = segments.sparkSession
-    parts = spark.createDataFrame([(i, k, len(p), w) for i, p in enumerate(asked) for k, w in enumerate(p)], "phrase int, k int, size int, token string")
-    listed = segments.select(*key, T.tokens(F.col("text")).alias("t")).select(*key, F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("pos", "token"))
-    votes = listed.join(F.broadcast(parts), "token").groupBy(*key, "dl", "phrase", "size", (F.col("pos") - F.col("k")).alias("begin")).agg(F.count("*").alias("n"))
-    return votes.where("n = size").groupBy(*key, "dl", "phrase").agg(F.count("*").alias("tf"))
+    ns = range(n_phrases)
+    stats = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.get("tfs", i) > 0) for i in ns]).alias("df"))
+    hits = found.where(reduce(lambda a, b: a & b, [F.get("tfs", i) > 0 for i in ns])).crossJoin(F.broadcast(stats))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    idf = lambda i: F.greatest(F.lit(1e-6), F.log((F.col("n") - F.get("df", i) + 0.5) / (F.get("df", i) + 0.5)))
+    score = reduce(lambda a, b: a + b, [idf(i) * F.get("tfs", i) * (K1 + 1) / (F.get("tfs", i) + norm) for i in ns])
+    return hits.select(*key, (-score).alias("rank"))
 
 
 def bm25(segments: DataFrame, key: list[str], query: list[str]) -> DataFrame:
     """key and rank (minus the BM25 score, so that better is less) of the segments that hold all terms.
 
     A term of several tokens, such as "e-mail" or a quoted phrase, must be there with its tokens next to each other. To search one
-    session, give its segments only. A query without a token finds nothing.
+    session, give its segments only. A query without a token finds nothing. The texts are cut once; what is counted is written
+    and read for totals and scores.
     """
     asked = phrases(query)
-    stats = segments.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = occurrences(segments, key, asked)
-    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    # one row of totals and at most one row a query term
-    scored = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy(*key).agg(F.sum(part).alias("score"), F.count("*").alias("matched")).where(F.col("matched") == len(asked)).select(*key, (-F.col("score")).alias("rank"))
+    if not asked:
+        return segments.select(*key, F.lit(0.0).alias("rank")).limit(0)
+    return ranked(materialize(occurrences(segments, key, asked), "occurrences"), key, len(asked))
 
 
 def capped(hits: DataFrame, key: list[str], cap: int = HIT_CAP) -> DataFrame:
@@ -75,15 +90,53 @@ def answers(segments: DataFrame, question: list[str], limit: int = 10) -> DataFr
     return first.orderBy("ord", "session_id", "ordinal").limit(limit)
 
 
-def snippet(text, term: str, width: int = 32):
-    """`width` tokens around the first match, the match in <b>."""
-    t = F.split(text, "\\s+")
-    at = F.array_position(F.transform(t, lambda w: T.fold(F.regexp_replace(w, T.EDGE, "")) == term), True)
-    start = F.greatest(at - width // 2, F.lit(1)).cast("int")
-    cut = F.slice(t, start, F.lit(width))
-    marked = F.transform(cut, lambda w: F.when(T.fold(F.regexp_replace(w, T.EDGE, "")) == term, F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-    body = F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(marked, " "), F.when(start + width - 1 < F.size(t), "...").otherwise(""))
-    return F.when(at > 0, body)
+def snippet(text: Column, query: list[str], width: int = 32) -> Column:
+    """The `width` words with most of the query's distinct terms, the first of equals, each term's places in <b>; null without any.
+
+    Words are what white space parts; a term's tokens may lie in several words or several in one. Windows begin at a term's
+    place, or earlier where the text ends. A window is compared with the places that can lie in it, so the work grows with
+    the places and not with their square.
+    """
+    asked = phrases(query)
+    one = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  computed once
+
+    def places(words: Column) -> Column:
+        """Places (word, last word, term) by word."""
+        cut = F.flatten(F.transform(words, lambda w, i: F.transform(T.tokens(w), lambda t: F.struct(i.alias("i"), t.alias("t")))))
+
+        def of(tokens: Column, q: int) -> Column:
+            phrase = asked[q]
+            last = F.size(tokens) - len(phrase)
+            there = lambda i: reduce(lambda a, b: a & b, [F.get(tokens, i + k)["t"] == w for k, w in enumerate(phrase)])
+            starts = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)")), there)
+            return F.transform(starts, lambda i: F.struct(F.get(tokens, i)["i"].alias("a"), F.get(tokens, i + len(phrase) - 1)["i"].alias("b"), F.lit(q).alias("q")))
+
+        return one(cut, lambda tokens: F.array_sort(F.concat(*[of(tokens, q) for q in range(len(asked))])))
+
+    def best(words: Column, hits: Column) -> Column:
+        """The first word of the window with most terms."""
+        n = F.size(words)
+        most = F.array_max(F.transform(words, lambda w: F.size(T.tokens(w)))) * width * len(asked)  # places that a window can hold
+        terms = lambda h, i, start: F.size(F.array_distinct(F.transform(F.filter(F.slice(hits, F.greatest(i + 1 - F.when(start < h["a"], most).otherwise(0), F.lit(1)), 2 * most), lambda x: (x["a"] >= start) & (x["b"] < start + width)), lambda x: x["q"])))
+        windows = F.transform(hits, lambda h, i: one(F.greatest(F.least(h["a"], n - width), F.lit(0)), lambda start: F.struct((-terms(h, i, start)).alias("c"), start.alias("s"))))
+        return F.array_min(windows)["s"]
+
+    def marked(words: Column, hits: Column, start: Column) -> Column:
+        shown = F.slice(words, start + 1, width)
+        inside = F.filter(hits, lambda x: (x["a"] >= start) & (x["b"] < start + width))
+
+        def mark(own: Column) -> Column:
+            opened = lambda w, i: F.when(F.exists(own, lambda x: x["a"] == i + start), F.concat(F.lit("<b>"), w)).otherwise(w)
+            closed = lambda w, i: F.when(F.exists(own, lambda x: x["b"] == i + start), F.concat(w, F.lit("</b>"))).otherwise(w)
+            body = F.array_join(F.transform(shown, lambda w, i: closed(opened(w, i), i)), " ")
+            return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + width < F.size(words), "...").otherwise(""))
+
+        return one(inside, mark)
+
+    if not asked:
+        return F.lit(None).cast("string")
+    whole = lambda words: one(places(words), lambda hits: F.when(F.size(hits) > 0, one(best(words, hits), lambda s: marked(words, hits, s))))
+    return one(F.filter(F.split(text, "\\s+"), lambda w: w != ""), whole)
 
 
 def union_in_order(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -91,7 +144,3 @@ def union_in_order(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     ranked = first.select(key, F.lit(0).alias("source"), "place").unionByName(second.select(key, F.lit(1).alias("source"), "place"))
     best = ranked.groupBy(key).agg(F.min(F.struct("source", "place")).alias("b"))
     return best.select(key, F.col("b.source").cast("long").alias("source"), F.col("b.place").cast("long").alias("place"))
-
-
-def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")

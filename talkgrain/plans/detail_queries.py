@@ -65,17 +65,19 @@ def session_matches(spark, sf_dir):
     return hits.select(F.col("session_id").alias("conv_id"), F.col("ordinal").alias("turn")).distinct()
 
 
-_BARE = "strip_accents(lower(regexp_replace(w, '^[\\p{P}\\p{S}]+|[\\p{P}\\p{S}]+$', '', 'g')))"
-
-
 @query(
-    "with t as (select doc_id, regexp_split_to_array(text, '\\s+') as t from documents), "
-    f"a as (select doc_id, t, list_position(list_transform(t, lambda w: {_BARE} = 'the'), true) as pos from t), s as (select *, greatest(pos - 16, 1) as s from a where pos > 0) "
-    f"select doc_id, case when s > 1 then '...' else '' end || array_to_string(list_transform(t[s:s + 31], lambda w: case when {_BARE} = 'the' then '<b>' || w || '</b>' else w end), ' ') || case when s + 31 < len(t) then '...' else '' end as snippet from s"
+    "with t as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from documents), p as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from t), "
+    "k0 as (select doc_id, i, unnest(c) as t, generate_subscripts(c, 1) as j from (select doc_id, i, list_filter(regexp_split_to_array(strip_accents(lower(word)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as c from p)), "
+    "k as (select doc_id, i as a, t, lead(t) over o as t2, lead(i) over o as b2 from k0 window o as (partition by doc_id order by i, j)), "
+    "h as (select doc_id, a, b2 as b, 0 as q from k where t = 'of' and t2 = 'the' union all select doc_id, a, a, 1 from k where t = 'and' union all select doc_id, a, a, 2 from k where t = 'in'), "
+    "s as (select distinct doc_id, greatest(least(a, len(w) - 32), 0) as s from h join t using (doc_id)), c as (select s.doc_id, s, count(distinct q) as c from s join h on h.doc_id = s.doc_id and a >= s and b < s + 32 group by 1, 2), "
+    "best as (select doc_id, min(s) as s from (select *, max(c) over (partition by doc_id) as m from c) where c = m group by 1), "
+    "shown as (select doc_id, s, i, case when exists (select 1 from h where h.doc_id = p.doc_id and a = i and b < s + 32) then '<b>' else '' end || word || case when exists (select 1 from h where h.doc_id = p.doc_id and b = i and a >= s) then '</b>' else '' end as word from p join best using (doc_id) where i >= s and i < s + 32) "
+    "select doc_id, case when any_value(s) > 0 then '...' else '' end || string_agg(word, ' ' order by i) || case when any_value(s) + 32 < any_value(len(w)) then '...' else '' end as snippet from shown join t using (doc_id) group by 1"
 )
 def snippets(spark, sf_dir):
-    """S107: 32 tokens around the first match, matches marked."""
-    cut = table(spark, sf_dir, "documents").select("doc_id", search.snippet(F.col("text"), "the").alias("snippet"))
+    """S107: the 32 words with most terms of a query, one of them a phrase; its places are marked."""
+    cut = table(spark, sf_dir, "documents").select("doc_id", search.snippet(F.col("text"), ["of-the", "and", "in"]).alias("snippet"))
     return cut.where("snippet is not null")
 
 

@@ -251,7 +251,7 @@ def segment_substring(spark, sf_dir):
     return search.substring_hits(segments(spark, sf_dir), "tion").select("session_id", "ordinal", "speaker").orderBy("session_id", "ordinal")
 
 
-TOK = "list_filter(regexp_split_to_array(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+TOK = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _POSTINGS = f"tok as (select doc_id, {TOK.format('text')} as t from documents), stat as (select count(*) as n, avg(len(t)) as avgdl from tok), post as (select doc_id, len(t) as dl, unnest(t) as term from tok), tf as (select doc_id, dl, term, count(*) as tf from post group by all)"
 _RANK = f"{_POSTINGS}, hit as (select * from tf where term in ('the', 'with')), d as (select term, count(*) as df from hit group by 1), ranked as (select doc_id, -sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as rank, count(*) as c from hit join d using (term) cross join stat group by 1 having count(*) = 2)"
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -97,7 +98,7 @@ def test_why_a_diarized_text_is_not_complete(spark):
 def test_phrases_need_their_tokens_next_to_each_other(spark):
     texts = ["my e-mail is here", "e and mail", "mail e", "no hit", "E MAIL e mail", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    found = {r.i: r.tf for r in search.occurrences(df, ["i"], search.phrases(["e-mail"])).collect()}
+    found = {r.i: r.tfs[0] for r in search.occurrences(df, ["i"], search.phrases(["e-mail"])).collect() if r.tfs[0]}
     assert found == {0: 1, 4: 2}
     assert {r.i for r in search.bm25(df, ["i"], ["e-mail", "here"]).collect()} == {0}
     assert search.bm25(df, ["i"], ["--"]).count() == 0
@@ -125,3 +126,38 @@ def test_nearest_and_holding_intervals_against_plain_loops(spark):
                 break
             begin += d
     assert found == want
+
+
+def _plain_snippet(text, terms, width):
+    words = text.split()
+    tokens = [(i, t) for i, w in enumerate(words) for t in re.findall(r"[a-z0-9]+", w.lower())]
+    hits = [(tokens[k][0], tokens[k + len(p) - 1][0], q) for q, p in enumerate(terms) for k in range(len(tokens) - len(p) + 1) if [t for _, t in tokens[k : k + len(p)]] == p]
+    if not hits:
+        return None
+    starts = {max(min(a, len(words) - width), 0) for a, _, _ in hits}
+    inside = lambda s: [h for h in hits if h[0] >= s and h[1] < s + width]
+    s = min(starts, key=lambda s: (-len({q for _, _, q in inside(s)}), s))
+    a, b = {h[0] for h in inside(s)}, {h[1] for h in inside(s)}
+    body = " ".join(("<b>" if i in a else "") + w + ("</b>" if i in b else "") for i, w in enumerate(words) if s <= i < s + width)
+    return ("..." if s else "") + body + ("..." if s + width < len(words) else "")
+
+
+def test_snippets_against_a_plain_version(spark):
+    r = random.Random(12)
+    vocabulary = ["of", "the", "and", "of-the", "x", "y", "z", "e-mail", "mail.", "The-of-the", "--", "a-a-a-a"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(60))) for _ in range(120)] + ["", "   ", "nothing here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for width in (3, 8, 32):
+        got = {x.i: x.s for x in df.select("i", search.snippet(F.col("text"), ["of-the", "and", "e-mail", "a"], width).alias("s")).collect()}
+        assert got == {i: _plain_snippet(t, [["of", "the"], ["and"], ["e", "mail"], ["a"]], width) for i, t in enumerate(texts)}
+
+
+def test_tokens_without_diacritics(spark):
+    from talkgrain.functions import text as T
+
+    words = ["Nguyễn", "Łódź", "İstanbul", "ĞÜŞ", "Ἀθῆναι", "Ёлка", "ガラス", "naïve", "Z\u0335alg\u0301o", "한국어", "ǅ", "ﬁ"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, text string")
+    got = {r.i: r.t for r in df.select("i", T.tokens(F.col("text")).alias("t")).collect()}
+    assert [got[i][0] for i in range(10)] == ["nguyen", "łodz", "istanbul", "gus", "αθηναι", "елка", "ガラス", "naive", "zalgo", "한국어"]
+    assert all(got[i] == [T.folded(w)] for i, w in enumerate(words))
+    assert {r.i for r in search.bm25(df, ["i"], ["nguyen"]).collect()} == {0} and {r.i for r in search.bm25(df, ["i"], ["İstanbul"]).collect()} == {2}
