@@ -41,17 +41,19 @@ def _counted(t: Column, phrase: tuple[str, ...]) -> Column:
 
 def occurrences(segments: DataFrame, key: list[str], asked: list[tuple[str, ...]]) -> DataFrame:
     """key, dl, tfs: the tokens of each segment, and how often it has each phrase; a row a segment, without a shuffle."""
-    listed = segments.select(*key, T.tokens(F.col("text")).alias("t"))
+    listed = segments.select(*key, T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return listed.select(*key, F.size("t").cast("long").alias("dl"), F.array(*[_counted(F.col("t"), p).cast("long") for p in asked]).alias("tfs"))
 
 
-def ranked(found: DataFrame, key: list[str], n_phrases: int) -> DataFrame:
+def ranked(found: DataFrame, key: list[str], n_phrases: int, totals: DataFrame | None = None) -> DataFrame:
     """key and rank from rows (key, dl, tfs) of all segments, of which those without all phrases only count in the totals.
 
-    `found` is read twice: for the totals, one row, and for the scores.
+    `totals` (n, avgdl) is a row for all segments where `found` has only those with a phrase. `found` is read twice: for the
+    totals, one row, and for the scores.
     """
     ns = range(n_phrases)
-    stats = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.get("tfs", i) > 0) for i in ns]).alias("df"))
+    df = F.array(*[F.count_if(F.get("tfs", i) > 0) for i in ns]).alias("df")
+    stats = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), df) if totals is None else totals.crossJoin(found.agg(df))
     hits = found.where(reduce(lambda a, b: a & b, [F.get("tfs", i) > 0 for i in ns])).crossJoin(F.broadcast(stats))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     idf = lambda i: F.greatest(F.lit(1e-6), F.log((F.col("n") - F.get("df", i) + 0.5) / (F.get("df", i) + 0.5)))

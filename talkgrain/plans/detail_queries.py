@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
 from talkgrain.operators import clusters, filters, lifecycle, search
+from talkgrain.operators.index import SearchIndex
 from talkgrain.plans.register import registered
 from talkgrain.plans.vector_queries import acoustic_profiles
+from talkgrain.sources.scratch import scratch_root
 from talkgrain.sources.tables import CHUNKS, SEGMENTS, SESSIONS, chunks, segments, sessions, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -44,9 +48,9 @@ def filter_states(spark, sf_dir):
 _TOK = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 _PHRASE = (
     f"tok as (select doc_id, source, {_TOK} as t from documents), stat as (select count(*) as n, avg(len(t)) as avgdl from tok), "
-    "occ as (select doc_id, len(t) as dl, 0 as phrase, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) as tf from tok union all select doc_id, len(t), 1, len(list_filter(t, lambda w: w = 'and')) from tok), "
+    "occ as (select doc_id, source, len(t) as dl, 0 as phrase, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) as tf from tok union all select doc_id, source, len(t), 1, len(list_filter(t, lambda w: w = 'and')) from tok), "
     "hit as (select * from occ where tf > 0), d as (select phrase, count(*) as df from hit group by 1), "
-    "ranked as (select doc_id, -sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as rank from hit join d using (phrase) cross join stat group by 1 having count(*) = 2)"
+    "ranked as (select doc_id, source, -sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as rank from hit join d using (phrase) cross join stat group by 1, 2 having count(*) = 2)"
 )
 
 
@@ -57,6 +61,35 @@ def phrase_search(spark, sf_dir):
     return hits.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+#: the documents after the changes that kept_index makes
+_CHANGED = "changed as (select source, doc_id, case when doc_id % 7 = 0 then 'of the and news ' || text else text end as text from documents where doc_id % 11 <> 3 and coalesce(source, '') <> 'src1' union all select 'new', doc_id, 'and of the ' || lang from documents where doc_id % 13 = 0)"
+
+
+def kept_index(spark, sf_dir) -> SearchIndex:
+    """Documents as segments of their source: indexed, a seventh edited, an eleventh removed, a session removed, new ones added."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
+    index = SearchIndex(spark, f"{scratch_root(spark)}/talkgrain/index-{uuid.uuid4().hex}", ("source", "doc_id"))
+    index.rebuild(docs)
+    index.upsert(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("of the and news "), "text")), 1)
+    index.remove(docs.where("doc_id % 11 = 3"), 2)
+    index.remove_sessions(docs.where("source = 'src1'").select("source").distinct(), 3)
+    index.upsert(docs.where("doc_id % 13 = 0").select(F.lit("new").alias("source"), "doc_id", F.concat(F.lit("and of the "), "lang").alias("text")), 4)
+    return index
+
+
+@query(f"with {_CHANGED}, {_PHRASE.replace('from documents', 'from changed')} select doc_id, source, round(rank, 6) as rank from ranked")
+def kept_index_search(spark, sf_dir):
+    """S104, S108: search in an index that was changed, by BM25: base and later generations, without what was removed."""
+    return kept_index(spark, sf_dir).search(["of-the", "and"]).select("doc_id", "source", F.round("rank", 6).alias("rank"))
+
+
+@query(f"with {_CHANGED}, tok as (select source, doc_id, {_TOK} as t from changed), p as (select source, doc_id, unnest(t) as term, unnest(range(len(t))) as i from tok) select source, doc_id, term, count(*) as tf, array_to_string(list(i order by i), ',') as places from p where term in ('the', 'news', 'and', 'of', 'der') group by 1, 2, 3")
+def kept_index_postings(spark, sf_dir):
+    """S05, S108: live postings of some terms after the changes, and their places."""
+    found = kept_index(spark, sf_dir).postings(["the", "news", "and", "of", "der"])
+    return found.select("source", "doc_id", "term", F.size("places").cast("long").alias("tf"), F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
 @query(f"with tok as (select conv_id, turn, {_TOK} as t from conversations where conv_id = 7) select conv_id, turn from tok where list_contains(t, 'the') or list_contains(t, 'is')")
 def session_matches(spark, sf_dir):
     """S104: segments of one session that hold either of two terms, each searched for in that session only."""
