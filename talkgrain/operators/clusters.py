@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
+from talkgrain.operators.ranks import running
 
 #: fixed values: distances of embeddings, and of six acoustic features, up to which an identity is accepted, left open, adapted
 ACCEPT, REVIEW, ADAPT = 0.30, 0.40, 0.22
@@ -46,33 +49,79 @@ def adapted(centroid, vector, alpha: float = 0.2):
     return V.normalised(F.zip_with(centroid, vector, lambda x, y: (1 - a) * x + a * y))
 
 
+def trimmed(members: DataFrame, group: str, d: str, item: str, least: int = 6, share: float = 0.1) -> DataFrame:
+    """Members of groups without the `share` (one at least) that is farthest off; groups of fewer than `least` stay whole.
+
+    Places are counted in two levels, so a group that holds most members is not one task's.
+    """
+    placed = running(members, [group], [F.desc(d), F.col(item)], place="_place")
+    sizes = members.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_n"))
+    kept = (F.col("_n") < least) | (F.col("_place") > F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
+    return placed.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).where(kept).select(*members.columns)
+
+
+def merges(d: np.ndarray) -> list[tuple[float, int, int]]:
+    """Average-linkage merges (distance, a member of each side) in the order of their distances, by chains of nearest neighbours.
+
+    A chain goes from a cluster to its nearest one until two are each other's nearest; merging those leaves the rest of the chain
+    as it is. Every step looks at one row, so n items take time and memory in proportion to n squared.
+    """
+    n = len(d)
+    d = d.copy()
+    np.fill_diagonal(d, np.inf)
+    size, live = np.ones(n), np.ones(n, bool)
+    found, chain = [], []
+    while len(found) < n - 1:
+        if not chain:
+            chain.append(int(live.argmax()))
+        while True:
+            a = chain[-1]
+            row = d[a]
+            b = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[b]:  # of equally near ones the one that it came from, else the chain may go round
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        a, b = sorted((a, b))
+        found.append((float(d[a, b]), a, b))
+        d[a] = d[:, a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a, a] = np.inf
+        d[b] = d[:, b] = np.inf
+        size[a] += size[b]
+        live[b] = False
+    return sorted(found, key=lambda m: m[0])
+
+
+def labelled(n: int, found: list[tuple[float, int, int]], most: int, apart: float) -> np.ndarray:
+    """Clusters, numbered by their least members, after the merges up to `apart`, or more while there are over `most` clusters."""
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for done, (distance, a, b) in enumerate(found):
+        if n - done <= most and distance > apart:
+            break
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1]
+
+
 def average_linkage(df: DataFrame, group: str, item: str, vector: str, most: int = MOST, apart: float = APART) -> DataFrame:
     """group, item, cluster: the nearest clusters merge while there are over `most` or the least mean distance is at most `apart`.
 
     Merging is sequential within a group, here a recording of bounded length; groups run in parallel.
     """
-    import numpy as np
-    import pandas as pd
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
         v = np.array(pdf[vector].tolist(), float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-        d, size = 1 - v @ v.T, np.ones(len(v))
-        np.fill_diagonal(d, np.inf)
-        label = np.arange(len(v))
-        live = len(v)
-        while live > 1:
-            i, j = sorted(divmod(int(d.argmin()), len(v)))
-            if live <= most and d[i, j] > apart:
-                break
-            d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            d[i, i] = np.inf
-            d[j] = d[:, j] = np.inf
-            size[i] += size[j]
-            label[label == j] = i
-            live -= 1
-        return pd.DataFrame({group: pdf[group], item: pdf[item], "cluster": np.unique(label, return_inverse=True)[1]})
+        return pd.DataFrame({group: pdf[group], item: pdf[item], "cluster": labelled(len(v), merges(1 - v @ v.T), most, apart)})
 
     kind = dict(df.dtypes)
     return df.groupBy(group).applyInPandas(merge, f"{group} {kind[group]}, {item} {kind[item]}, cluster long")

@@ -47,6 +47,19 @@ class SearchFilter:
         return out
 
 
+#: a stored filter; keys that are missing ask for nothing
+STORED = "query string, date_from string, date_to string, language string, folder string, audio_kept boolean, highlights_only boolean, tag string, sort string"
+
+
+def stored_states(json: Column) -> tuple[Column, Column]:
+    """(is_empty, is_active) of a filter that is stored as JSON; null and broken JSON is a filter that asks for nothing."""
+    f = F.from_json(json, STORED)
+    said = lambda c: F.coalesce(f[c], F.lit("")) != ""
+    facets = [said(c) for c in ("date_from", "date_to", "language", "folder", "tag")] + [f["audio_kept"].isNotNull(), F.coalesce(f["highlights_only"], F.lit(False))]
+    active = reduce(lambda a, b: a | b, facets)
+    return ~active & (F.trim(F.coalesce(f["query"], F.lit(""))) == ""), active
+
+
 def all_of(predicates: list[Column]) -> Column:
     """AND of any number of predicates; none at all lets everything pass."""
     return reduce(and_, predicates, F.lit(True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
@@ -37,12 +38,20 @@ def sessions_by_ids(spark, sf_dir):
     return sessions(spark, sf_dir).where(F.col("session_id").isin(IDS)).select("session_id", "folder", "size_bytes")
 
 
-@query("select * from (values ('blank', true, false), ('words', false, false), ('sort_only', true, false), ('language', false, true), ('words_and_dates', false, true)) t(name, is_empty, is_active)")
+@query(
+    "select doc_id as filter_id, case doc_id % 7 when 0 then true when 1 then false when 2 then true when 3 then false when 4 then coalesce(lang, '') = '' when 5 then true else doc_id % 2 = 0 end as is_empty, "
+    "case doc_id % 7 when 0 then false when 1 then false when 2 then false when 3 then true when 4 then coalesce(lang, '') <> '' when 5 then false else doc_id % 2 = 1 end as is_active from documents"
+)
 def filter_states(spark, sf_dir):
-    """Whether a filter asks for nothing, and whether a facet is set; the sort order is none."""
-    asked = {"blank": {"query": "  "}, "words": {"query": "x"}, "sort_only": {"sort": "oldest"}, "language": {"language": "fr"}, "words_and_dates": {"query": "x", "date_from": "2024-01-01"}}
-    states = [(name, f.is_empty, f.is_active) for name, f in ((name, filters.SearchFilter(**a)) for name, a in asked.items())]
-    return spark.createDataFrame(states, "name string, is_empty boolean, is_active boolean")
+    """Whether stored filters ask for nothing, and whether they have a facet; the sort order is none. A filter for each document."""
+    kind, lang = F.col("doc_id") % 7, F.col("lang")
+    body = lambda **c: F.to_json(F.struct(*[(F.lit(v) if not isinstance(v, Column) else v).alias(k) for k, v in c.items()]))
+    json = (
+        F.when(kind == 0, body(query="  ", sort="oldest")).when(kind == 1, body(query=F.concat(F.lit("w"), "doc_id"))).when(kind == 2, F.lit(None)).when(kind == 3, body(query="x", date_from="2024-01-01", audio_kept=False))
+        .when(kind == 4, body(language=lang, sort="newest")).when(kind == 5, F.lit('{"tag": "x')).otherwise(body(highlights_only=F.col("doc_id") % 2 == 1))
+    )
+    empty, active = filters.stored_states(F.col("json"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filter_id"), json.alias("json")).select("filter_id", empty.alias("is_empty"), active.alias("is_active"))
 
 
 _TOK = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from talkgrain.functions import text as T
 from talkgrain.operators import lifecycle
 from talkgrain.plans.register import registered
 from talkgrain.sources import exports
+from talkgrain.sources.scratch import scratch_root
 from talkgrain.sources.tables import SEGMENTS, SESSIONS, chunks, segments, sessions, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -70,7 +73,7 @@ _BUDGET = f"{SESSIONS}, r as (select session_id, folder, size_bytes, sum(size_by
 def cleaned_up(spark, sf_dir):
     """S172: the oldest sessions of each folder, down to 85 % of its budget."""
     s = sessions(spark, sf_dir).select("session_id", "folder", "size_bytes", "started_at")
-    return lifecycle.to_clean_up(s, ["folder"], "size_bytes", ["started_at", "session_id"], F.lit(20000)).select("session_id", "folder", "size_bytes")
+    return lifecycle.to_clean_up(s, ["folder"], "size_bytes", [F.col("started_at"), F.col("session_id")], F.lit(20000)).select("session_id", "folder", "size_bytes")
 
 
 @query("select source as folder, sum(n_chars)::bigint as used, case when sum(n_chars) * 100.0 / 50000 >= 100 then 'exceeded' when sum(n_chars) * 100.0 / 50000 >= 90 then 'warning' else 'ok' end as state from documents group by 1")
@@ -95,14 +98,43 @@ def upserted_rows(spark, sf_dir):
     return lifecycle.upsert(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), changes, ["doc_id"])
 
 
-@query("select c_custkey as session_id, case when c_custkey % 3 = 0 then 'x=1' else 'a=Old,x=1' end as names from customer")
+def _names(spark, sf_dir):
+    """Name maps as they may be stored: whole, with a key twice, with keys that are no numbers, broken, null."""
+    c = F.col("c_custkey") % 5
+    q = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    json = F.when(c == 0, q('{"0":"', name, '","1":"', segment, '"}')).when(c == 1, q('{"0":"first","0":"', name, '"}')).when(c == 2, q('{"a":"x","2":"', name, '","1.5":"y"}')).when(c == 3, q('{"0":"', name))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), name.alias("name"), json.alias("json"))
+
+
+@query(
+    "select c_custkey as session_id, case c_custkey % 5 when 0 then case c_custkey % 3 when 0 then '{\"0\":\"' || c_name || '\"}' when 1 then '{\"0\":\"' || c_name || '\",\"1\":\"Guest ' || c_custkey || '\"}' else '{\"0\":\"' || c_name || '\",\"1\":\"' || c_mktsegment || '\"}' end "
+    "when 1 then case c_custkey % 3 when 1 then '{\"0\":\"' || c_name || '\",\"1\":\"Guest ' || c_custkey || '\"}' else '{\"0\":\"' || c_name || '\"}' end "
+    "when 2 then case c_custkey % 3 when 1 then '{\"1\":\"Guest ' || c_custkey || '\",\"2\":\"' || c_name || '\"}' else '{\"2\":\"' || c_name || '\"}' end else case c_custkey % 3 when 1 then '{\"1\":\"Guest ' || c_custkey || '\"}' else '{}' end end as names from customer"
+)
 def renamed_speakers(spark, sf_dir):
-    """S101, S164, S178: a name map as JSON, with a key set and one removed."""
-    read = F.from_json(F.lit('{"a": "Old"}'), "map<string,string>")
-    put = F.map_concat(read, F.create_map(F.lit("x"), F.lit("1")))
-    cut = F.map_filter(put, lambda k, v: ~((k == "a") & (F.col("c_custkey") % 3 == 0)))
-    listed = F.array_join(F.transform(F.array_sort(F.map_entries(cut)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), listed.alias("names"))
+    """S101, S164: stored name maps, broken ones among them, after speaker 1 was renamed, or its name taken away."""
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")  # stored objects may have a key twice
+    third = F.col("session_id") % 3
+    new = F.when(third == 0, "  ").when(third == 1, F.concat(F.lit(" Guest "), "session_id", F.lit(" ")))
+    names = lifecycle.put(lifecycle.name_map(F.col("json")), F.when(third < 2, F.lit(1)), new)
+    return _names(spark, sf_dir).select("session_id", lifecycle.as_json(names).alias("names"))
+
+
+@query(
+    "with p as (select user_id as session_id, event_type as chunk, count(*) as samples, round(avg(value), 4) as pitch from events group by 1, 2), q as (select user_id as session_id, 'click' as chunk, count(*) as samples, round(max(value), 4) as pitch from events group by 1), "
+    "kept as (select * from p where chunk <> 'click' union all select * from q) select session_id, string_agg(chunk || ':' || samples || ':' || printf('%.4f', pitch), ',' order by chunk) as profiles from kept group by 1"
+)
+def put_profiles(spark, sf_dir):
+    """S178: maps of profiles by chunk, with one chunk's replaced; a user's events for a session, their kinds for chunks."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id")
+    profile = lambda pitch: F.struct(F.count("*").alias("samples"), F.round(pitch, 4).alias("pitch")).alias("p")
+    each = e.groupBy("session_id", F.col("event_type").alias("chunk")).agg(profile(F.avg("value")))
+    maps = each.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "p"))).alias("m"))
+    new = e.groupBy("session_id").agg(profile(F.max("value")))
+    merged = maps.join(new, "session_id").withColumn("m", F.map_concat(F.map_filter("m", lambda k, v: k != "click"), F.create_map(F.lit("click"), F.col("p"))))
+    shown = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat_ws(":", k, F.element_at("m", k)["samples"], F.format_string("%.4f", F.element_at("m", k)["pitch"])))
+    return merged.select("session_id", F.array_join(shown, ",").alias("profiles"))
 
 
 @query(
@@ -148,6 +180,15 @@ def backup_round_trip(spark, sf_dir):
     return exports.restored(m).select("session_id", "ordinal", "start_ms", "end_ms", "speaker", "text")
 
 
+@query("select coalesce(source, 'none') as folder, (sum(strlen(lang || chr(10) || text) + 1))::bigint as bytes from documents group by 1")
+def export_folder_bytes(spark, sf_dir):
+    """Texts written to files by folder, and the bytes below each, from the files' metadata alone."""
+    named = sessions(spark, sf_dir).select(F.coalesce("folder", F.lit("none")).alias("name"), F.concat_ws("\n", "language", "text").alias("body"))
+    path = f"{scratch_root(spark)}/talkgrain/exports-{uuid.uuid4().hex}"
+    exports.write_texts(named, path)
+    return exports.folder_bytes(spark, path, "name").withColumnRenamed("name", "folder").select("folder", "bytes")
+
+
 @query("select o_orderkey as session_id, greatest(0, epoch_ms(timestamp '1998-12-01') - epoch_ms(o_orderdate)) as elapsed_ms from orders")
 def elapsed_times(spark, sf_dir):
     """Time since the start, never below 0."""

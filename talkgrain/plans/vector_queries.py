@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
@@ -48,9 +47,7 @@ def centroid_distances(spark, sf_dir):
 @query(f"with {_D}, r as (select *, row_number() over (partition by label order by d desc, vec_id) as r, count(*) over (partition by label) as n from d) select vec_id, label from r where n < 6 or r > greatest(1, floor(n * 0.1))")
 def trimmed_members(spark, sf_dir):
     """S127: labels without their tenth of outliers."""
-    r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("d"), "vec_id"))
-    ranked = _distances(spark, sf_dir).withColumn("r", r).withColumn("n", F.count("*").over(Window.partitionBy("label")))
-    return ranked.where((F.col("n") < 6) | (F.col("r") > F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)))).select("vec_id", "label")
+    return clusters.trimmed(_distances(spark, sf_dir).select("vec_id", "label", "d"), "label", "d", "vec_id").select("vec_id", "label")
 
 
 @query(

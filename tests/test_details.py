@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -161,3 +162,56 @@ def test_tokens_without_diacritics(spark):
     assert [got[i][0] for i in range(10)] == ["nguyen", "łodz", "istanbul", "gus", "αθηναι", "елка", "ガラス", "naive", "zalgo", "한국어"]
     assert all(got[i] == [T.folded(w)] for i, w in enumerate(words))
     assert {r.i for r in search.bm25(df, ["i"], ["nguyen"]).collect()} == {0} and {r.i for r in search.bm25(df, ["i"], ["İstanbul"]).collect()} == {2}
+
+
+def test_clusters_of_many_vectors_take_seconds():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 20))
+    v = centres[rng.integers(0, 12, 2_000)] + rng.normal(size=(2_000, 20)) * 0.1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    start = time.perf_counter()
+    label = clusters.labelled(len(v), clusters.merges(1 - v @ v.T), 20, 0.3)
+    assert time.perf_counter() - start < 20 and label.max() <= 11
+    same = 1 - v @ v.T < 0.05
+    assert all(len(set(label[row])) == 1 for row in same[::97])
+
+
+def test_merges_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 30, 60):
+        v = rng.normal(size=(n, 4))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for most, apart in ((10, 0.6), (2, 0.1), (100, 0.3)):
+            label = clusters.labelled(n, clusters.merges(1 - v @ v.T), most, apart)
+            assert {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label.tolist())} == _linkage(v, most, apart)
+            firsts = [int(np.flatnonzero(label == k)[0]) for k in range(label.max() + 1)]
+            assert firsts == sorted(firsts)
+
+
+def test_groups_of_any_size_are_trimmed_and_cleaned(spark):
+    r = random.Random(3)
+    rows = [(None if i % 9 == 0 else "big" if i % 3 else f"g{i % 5}", i, r.randrange(50)) for i in range(400)] + [("five", 1_000 + i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, i long, d long")
+    own = {}
+    for g, i, d in rows:
+        own.setdefault(g, []).append((-d, i))
+    want = {(g, i) for g, x in own.items() for k, (_, i) in enumerate(sorted(x)) if len(x) < 6 or k >= max(1, int(len(x) * 0.1))}
+    assert {(x.g, x.i) for x in clusters.trimmed(df, "g", "d", "i").collect()} == want
+    gone = set()
+    for g, x in own.items():
+        total = sum(-d for d, _ in x)
+        left = total
+        for i, d in sorted((i, -d) for d, i in x):
+            if total > 300 and left > 0.85 * 300:
+                gone.add((g, i))
+            left -= d
+    assert {(x.g, x.i) for x in lifecycle.to_clean_up(df, ["g"], "d", [F.col("i")], F.lit(300)).collect()} == gone
+
+
+def test_folder_bytes_reads_no_content(spark, tmp_path):
+    from talkgrain.sources import exports
+
+    exports.write_texts(spark.createDataFrame([("a b", "x\ny"), ("a b", "é"), ("c", "")], "name string, body string"), str(tmp_path))
+    found = exports.folder_bytes(spark, str(tmp_path), "name")
+    assert {r["name"]: r.bytes for r in found.collect()} == {"a b": 4 + 3, "c": 1}
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
