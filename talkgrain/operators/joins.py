@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.functions import vectors as V
 from talkgrain.sources.scratch import discard, materialize
 
 #: intervals are joined by the buckets of so many milliseconds that they touch
@@ -108,35 +109,57 @@ def greedy_in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
         discard(held)
 
 
-def align_speakers(profiles: DataFrame, threshold: float = 0.4) -> DataFrame:
+def align_speakers(profiles: DataFrame, threshold: float = 0.4, acoustic: float = 2.0) -> DataFrame:
     """session, chunk, speaker, global_speaker: local speakers of successive chunks matched one to one with global ones.
 
-    profiles: session, chunk, speaker, embedding, samples. Pairs are taken by ascending cosine distance up to `threshold`,
-    against the profiles as they were before the chunk; a speaker without a match is new. A session's chunks are a fold in order.
+    profiles: session, chunk, speaker, embedding, samples, and features (six acoustic ones) if there are any. Pairs are taken by ascending
+    distance: cosine distance up to `threshold` where both have an embedding, else the distance of the features up to
+    `acoustic`; against the profiles as they were before the chunk. A speaker without a match is new; the first chunk's keep their
+    numbers. A matched profile takes in the new samples, twice where they have an embedding, as the feature does. A session's chunks are a fold in order.
     """
     import numpy as np
     import pandas as pd
 
+    scales, weights = np.array(V.SCALES), np.array(V.WEIGHTS)
+
+    def unit(v):
+        if v is None:
+            return None
+        v = np.asarray(v, float)
+        return v / n if (n := np.linalg.norm(v)) > 1e-10 else v
+
+    def distance(own, known) -> tuple[float, float]:
+        if own["v"] is not None and known["v"] is not None:
+            return 1 - float(own["v"] @ known["v"]) if len(own["v"]) == len(known["v"]) else 1.0, threshold
+        if own["f"] is None or known["f"] is None:
+            return np.inf, acoustic
+        return float(np.sqrt((weights * ((own["f"] - known["f"]) / scales) ** 2).sum())), acoustic
+
+    def merged(known: dict, own: dict) -> dict:
+        n, m = known["n"], own["n"]
+        f, v, n = (known["f"] * n + own["f"] * m) / max(n + m, 1) if own["f"] is not None and known["f"] is not None else known["f"], known["v"], n + m
+        if own["v"] is not None and (v is None or len(v) == len(own["v"])):
+            v, n = (own["v"] if v is None else unit((v * n + own["v"] * m) / max(n + m, 1))), n + m
+        return known | {"f": f, "v": v, "n": n}
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: list[list] = []  # global index, vector, samples
+        known: list[dict] = []
         out = []
-        for chunk, own in pdf.sort_values(["chunk", "speaker"]).groupby("chunk", sort=True):
-            vectors = [np.asarray(v, float) for v in own["embedding"]]
-            vectors = [v / n if (n := np.linalg.norm(v)) > 1e-10 else v for v in vectors]
-            pairs = sorted((1 - float(v @ g[1]), i, k) for i, v in enumerate(vectors) for k, g in enumerate(known))
+        for place, (chunk, rows) in enumerate(pdf.sort_values(["chunk", "speaker"]).groupby("chunk", sort=True)):
+            features = rows["features"] if "features" in rows else [None] * len(rows)
+            local = [{"s": s, "v": unit(v), "f": None if f is None else np.asarray(f, float), "n": int(n)} for s, v, f, n in zip(rows["speaker"], rows["embedding"], features, rows["samples"], strict=True)]
+            pairs = sorted((*distance(x, g), i, k) for i, x in enumerate(local) for k, g in enumerate(known))
             to: dict[int, int] = {}
-            for d, i, k in pairs:
-                if d <= threshold and i not in to and k not in to.values():
+            for d, most, i, k in sorted(pairs, key=lambda p: (p[0], p[2], p[3])):
+                if d <= most and i not in to and k not in to.values():
                     to[i] = k
-            for i, (speaker, samples) in enumerate(zip(own["speaker"], own["samples"], strict=True)):
-                if i in to:
-                    g = known[to[i]]
-                    merged = (g[1] * g[2] + vectors[i] * samples) / (g[2] + samples)
-                    g[1], g[2] = merged / max(np.linalg.norm(merged), 1e-10), g[2] + samples
-                else:
+            for i, k in to.items():
+                known[k] = merged(known[k], local[i])
+            for i, x in enumerate(local):
+                if i not in to:
                     to[i] = len(known)
-                    known.append([max((g[0] for g in known), default=-1) + 1, vectors[i], samples])
-                out.append((pdf["session"].iloc[0], chunk, speaker, known[to[i]][0]))
+                    known.append(x | {"s": len(known)})
+                out.append((pdf["session"].iloc[0], chunk, x["s"], x["s"] if not place else known[to[i]]["s"]))
         return pd.DataFrame(out, columns=["session", "chunk", "speaker", "global_speaker"])
 
     return profiles.groupBy("session").applyInPandas(fold, "session long, chunk long, speaker long, global_speaker long")

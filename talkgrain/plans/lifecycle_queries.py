@@ -91,6 +91,53 @@ def reset_for_retry(spark, sf_dir):
     return lifecycle.set_where(o, "state", F.lit("processing"), F.col("state").isin("O", "F"))
 
 
+@query(
+    "with r as (select l_orderkey as session_id, l_linenumber as idx, max(case when l_returnflag = 'R' then 1 else 0 end) as again from lineitem group by 1, 2), c as (select session_id, idx, again from r join orders on o_orderkey = session_id), "
+    "s as (select session_id, bool_or(again = 1) as reset, any_value(o_orderstatus) as state from c join orders on o_orderkey = session_id group by 1) "
+    "select session_id, case when reset and state in ('O', 'F') then 'processing' else state end as state, (select count(*) from c where c.session_id = s.session_id and again = 1) as pending_chunks, (select count(*) from c where c.session_id = s.session_id and again = 0) as segments_left from s"
+)
+def retried_chunks(spark, sf_dir):
+    """S173: chunks are transcribed anew: their segments go, they are pending, their sessions are processed. A segment a chunk."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("idx")).agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("again"))
+    states = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderstatus").alias("state"))
+    own = lines.join(states.select("session_id"), "session_id", "left_semi").select("session_id", "idx", "again", F.lit("done").alias("status"))
+    state, chunk, seg = lifecycle.retry(states, own.drop("again"), own.select("session_id", "idx"), own.where("again = 1").select("session_id", "idx"), F.col("state").isin("O", "F"))
+    counts = chunk.groupBy("session_id").agg(F.count_if(F.col("status") == "pending").alias("pending_chunks"))
+    left = seg.groupBy("session_id").agg(F.count("*").alias("segments_left"))
+    return state.join(counts, "session_id").join(left, "session_id", "left").withColumn("segments_left", F.coalesce("segments_left", F.lit(0).cast("long")))
+
+
+@query(
+    "select o_orderkey as session_id, l_linenumber as idx, greatest(0, epoch_ms(l_shipdate) - epoch_ms(o_orderdate))::bigint as start_offset_ms, (l_quantity * 1000)::bigint as duration_ms from lineitem join orders on o_orderkey = l_orderkey "
+    "where o_orderstatus <> 'P' and l_returnflag <> 'A' and l_quantity * 1000 > 5000"
+)
+def playable_chunks(spark, sf_dir):
+    """S96, S179: chunks that can be played, with their offsets from the session's start, never below 0; short ones stand for those without length."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("began"), (F.col("o_orderstatus") != "P").alias("audio_kept"))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("idx"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("at"), ((F.col("l_quantity") * 1000).cast("long") - 5000).alias("spare"), (F.col("l_returnflag") == "A").alias("deleted"))
+    play = lifecycle.playable(c.join(o, "session_id"), F.col("audio_kept"), F.col("deleted"), F.col("spare"))
+    return play.select("session_id", "idx", F.greatest(F.lit(0).cast("long"), F.col("at") - F.col("began")).alias("start_offset_ms"), (F.col("spare") + 5000).alias("duration_ms"))
+
+
+@query(
+    f"with {SESSIONS} select session_id, case when session_id % 4 = 1 then 'error' else 'ready' end as state, case when session_id % 4 = 2 then 'Title ' || session_id end as title, case when session_id % 3 = 0 then 48.85 end as latitude, case when session_id % 3 = 0 then 'Paris' end as place, "
+    "case when session_id % 4 = 1 then started_at + interval 1 hour end as ended_at, (select count(*) from events where user_id = session_id and event_type = 'click') as highlights from sessions"
+)
+def session_setters(spark, sf_dir):
+    """S176, S177: single fields set: state, title, location, end; highlights added, one for each click."""
+    s = sessions(spark, sf_dir).select("session_id", "started_at", F.lit("ready").alias("state"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("timestamp").alias("ended_at"))
+    i = F.col("session_id")
+    for column, value, test in (
+        ("state", F.lit("error"), i % 4 == 1), ("title", F.concat_ws(" ", F.lit("Title"), "session_id"), i % 4 == 2), ("latitude", F.lit(48.85), i % 3 == 0), ("place", F.lit("Paris"), i % 3 == 0),
+        ("ended_at", F.col("started_at") + F.expr("interval 1 hour"), i % 4 == 1),
+    ):
+        s = lifecycle.set_where(s, column, value, test)
+    marks = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("highlight_id"))
+    none = marks.limit(0)
+    counts = lifecycle.upsert(none, marks, ["session_id", "highlight_id"]).groupBy("session_id").agg(F.count("*").alias("highlights"))
+    return s.join(counts, "session_id", "left").withColumn("highlights", F.coalesce("highlights", F.lit(0).cast("long"))).drop("started_at")
+
+
 @query("select doc_id, quality, toxic from labels where doc_id % 5 <> 0 union all select doc_id, 9, 9 from documents where doc_id % 5 = 0")
 def upserted_rows(spark, sf_dir):
     """S108, S162: rows replaced by key, new ones added."""
@@ -141,14 +188,14 @@ def put_profiles(spark, sf_dir):
     f"with {SEGMENTS}, r as (select session_id, ordinal, trim(regexp_replace(text, '\\s+', ' ', 'g')) as full_text from segments), t as (select *, lag(full_text) over (partition by session_id order by ordinal) as d from r), "
     "m as (select *, 400 * len(string_split(full_text, ' ')) as words, 300 * len(string_split(d, ' ')) as spans from t where d is not null) "
     "select session_id, ordinal, case when length(full_text) = 0 then null when length(d) = 0 then 'diarized_text_empty' when length(full_text) >= 20 and length(full_text) - length(d) >= 12 and length(d) / length(full_text) < 0.55 then 'diarized_text_much_shorter_than_full_text' "
-    "when words >= 10000 and spans / words < 0.55 then 'diarized_time_coverage_too_small' when length(full_text) >= 20 and length(d) <= 8 then 'chunk_long_but_diarized_text_too_short' end as reason from m"
+    "when words >= 10000 and spans / words < 0.55 then 'diarized_time_coverage_too_small' when 10000 * (ordinal + 1) >= 20000 and length(full_text) >= 20 and length(d) <= 8 then 'chunk_long_but_diarized_text_too_short' end as reason from m"
 )
 def completeness_reasons(spark, sf_dir):
     """S163: why a diarized text does not stand for the full one."""
     d = F.lag("text").over(Window.partitionBy("session_id").orderBy("ordinal"))
     t = segments(spark, sf_dir).withColumn("d", d).where("d is not null")
     words = lambda c: F.size(F.split(T.collapse(F.col(c)), " "))
-    return t.select("session_id", "ordinal", lifecycle.completeness(F.col("text"), F.col("d"), 400 * words("text"), 300 * words("d"), F.lit(30000)).alias("reason"))
+    return t.select("session_id", "ordinal", lifecycle.completeness(F.col("text"), F.col("d"), 400 * words("text"), 300 * words("d"), 10_000 * (F.col("ordinal") + 1)).alias("reason"))
 
 
 @query(f"with {SESSIONS} select session_id, '{{\"folder\":\"' || folder || '\",\"language\":\"' || language || '\",\"sizeBytes\":' || size_bytes || ',\"version\":1}}' as json from sessions")
@@ -165,12 +212,95 @@ def markdown_export(spark, sf_dir):
     return sessions(spark, sf_dir).select("session_id", body.alias("markdown"))
 
 
-@query(f"with {SESSIONS} select session_id, folder || chr(10) || chr(10) || '- Date: ' || strftime(started_at, '%Y-%m-%d %H:%M') || chr(10) || '- Language: ' || language as plain from sessions")
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M')"
+_CLOCK = "lpad(({0} // 60000)::varchar, 2, '0') || ':' || lpad(({0} // 1000 % 60)::varchar, 2, '0')"
+#: sessions with all that an export shows
+_MODELS = (
+    f"{SESSIONS}, {SEGMENTS}, t as (select doc_id, list_sort(list_filter([case when quality = 1 then 'good' end, case when toxic = 1 then 'flagged' end], lambda x: x is not null)) as tags from labels), "
+    f"seg as (select session_id, list(struct_pack(start_ms, speaker, name := case when speaker = 0 and session_id % 2 = 0 then 'Guest' end, text, at := {_CLOCK.format('start_ms')}) order by ordinal) filter (speaker >= 0) as segments, list(struct_pack(at := {_CLOCK.format('start_ms')}, label := case when session_id % 3 = 0 then role end) order by ordinal) filter (speaker < 0) as highlights from segments group by 1), "
+    "m as (select session_id, folder || ' ' || session_id as title, started_at, case when session_id % 4 <> 0 then started_at + interval 1 hour end as ended_at, language, audio_kept, case when session_id % 5 <> 1 then folder end as folder, coalesce(tags, []) as tags, case when session_id % 6 = 0 then 'Paris' end as location, "
+    "case when session_id % 5 = 0 then 'Note ' || session_id end as body, case when session_id % 2 = 0 then '# Summary' || chr(10) || '- ' || folder || chr(10) || '## End' end as summary, coalesce(highlights, []) as highlights, coalesce(segments, []) as segments, text as transcript "
+    "from sessions left join t on doc_id = session_id left join seg using (session_id))"
+)
+
+
+def _facts_sql(lead: str, after: str) -> str:
+    facts = [("Started", _STAMP.format("started_at"), "true"), ("Ended", _STAMP.format("ended_at"), "ended_at is not null"), ("Language", "language", "true"), ("Audio", "case when audio_kept then 'kept' else 'deleted' end", "true")]
+    facts += [("Folder", "folder", "folder is not null"), ("Tags", "array_to_string(tags, ', ')", "len(tags) > 0"), ("Location", "location", "location is not null")]
+    return "list_filter([" + ", ".join(f"case when {test} then '{lead}{name}{after}' || {value} end" for name, value, test in facts) + "], lambda x: x is not null)"
+
+
+_NAME = "coalesce(x.name, 'Speaker ' || (x.speaker + 1))"
+_N = "chr(10)"
+_OPTIONS = {"full": exports.FULL, "minimal": exports.MINIMAL, "bare": exports.ExportOptions(metadata=False, summary=False, highlights=False), "outline": exports.ExportOptions(transcript=False)}
+
+
+def _markdown_sql(o: exports.ExportOptions) -> str:
+    parts = [f"'# ' || title || {_N} || {_N}"]
+    if o.metadata:
+        parts.append(f"array_to_string({_facts_sql('- **', '**: ')}, {_N}) || {_N} || {_N}")
+    parts.append(f"case when body is not null then '## Notes' || {_N} || {_N} || body || {_N} || {_N} else '' end")
+    if o.summary:
+        parts.append(f"case when summary is not null then summary || {_N} || {_N} else '' end")
+    if o.highlights:
+        parts.append(f"case when len(highlights) > 0 then '## Highlights' || {_N} || {_N} || array_to_string(list_transform(highlights, lambda x: '- `' || x.at || '`' || case when x.label is not null then ' - ' || x.label else '' end || {_N}), '') || {_N} else '' end")
+    if o.transcript:
+        parts.append(f"'## Transcript' || {_N} || {_N} || case when len(segments) > 0 then array_to_string(list_transform(segments, lambda x: '**' || {_NAME} || '** [' || x.at || ']: ' || x.text || {_N} || {_N}), '') else transcript || {_N} end")
+    return " || ".join(parts)
+
+
+def _text_sql(o: exports.ExportOptions) -> str:
+    parts = ["[title, repeat('=', length(title)), '']"]
+    if o.metadata:
+        parts.append(f"{_facts_sql('', ': ')} || ['']")
+    parts.append("case when body is not null then ['--- Notes ---', body, ''] else [] end")
+    if o.summary:
+        parts.append(f"case when summary is not null then ['--- Summary ---', replace(replace(replace(summary, '## ', ''), '# ', ''), '- ', '  * '), ''] else [] end")
+    if o.highlights:
+        parts.append("case when len(highlights) > 0 then ['--- Highlights ---'] || list_transform(highlights, lambda x: '  [' || x.at || '] ' || coalesce(x.label, '')) || [''] else [] end")
+    if o.transcript:
+        parts.append(f"['--- Transcript ---'] || case when len(segments) > 0 then list_transform(segments, lambda x: '[' || {_NAME} || '] [' || x.at || '] ' || x.text) else [transcript] end")
+    return f"array_to_string({' || '.join(f'({p})' for p in parts)}, {_N})"
+
+
+def _models(spark, sf_dir):
+    s, seg = sessions(spark, sf_dir), segments(spark, sf_dir)
+    i = F.col("session_id")
+    sort = lambda test, *cols: F.array_sort(F.collect_list(F.when(test, F.struct(*cols))))
+    told = seg.groupBy("session_id").agg(
+        sort(F.col("speaker") >= 0, "start_ms", "speaker", F.when((F.col("speaker") == 0) & (i % 2 == 0), "Guest").alias("name"), "text").alias("segments"),
+        sort(F.col("speaker") < 0, F.col("start_ms").alias("at_ms"), F.when(i % 3 == 0, F.col("role")).alias("label")).alias("highlights"),
+    )
+    labels = table(spark, sf_dir, "labels")
+    tags = labels.select(F.col("doc_id").alias("session_id"), F.array_compact(F.array(F.when(F.col("toxic") == 1, "flagged"), F.when(F.col("quality") == 1, "good"))).alias("tags"))
+    whole = s.join(tags, "session_id", "left").join(told, "session_id", "left")
+    return whole.select(
+        "session_id", F.concat_ws(" ", "folder", "session_id").alias("title"), "started_at", F.when(i % 4 != 0, F.col("started_at") + F.expr("interval 1 hour")).alias("ended_at"), "language", "audio_kept", F.when(i % 5 != 1, F.col("folder")).alias("folder"),
+        "tags", F.when(i % 6 == 0, "Paris").alias("location"), F.when(i % 5 == 0, F.concat_ws(" ", F.lit("Note"), "session_id")).alias("body"), F.when(i % 2 == 0, F.concat(F.lit("# Summary\n- "), "folder", F.lit("\n## End"))).alias("summary"), "highlights", "segments", F.col("text").alias("transcript"),
+    )
+
+
+def _documents(spark, sf_dir, render):
+    kinds = F.explode(F.array(*[F.struct(F.lit(name).alias("options"), render(o).alias("body")) for name, o in _OPTIONS.items()])).alias("x")
+    return _models(spark, sf_dir).select("session_id", kinds).select("session_id", "x.*")
+
+
+@query(f"with {_MODELS} " + " union all ".join(f"select session_id, '{name}' as options, {_markdown_sql(o)} as body from m" for name, o in _OPTIONS.items()))
+def markdown_documents(spark, sf_dir):
+    """Markdown of whole sessions, with four sets of options."""
+    return _documents(spark, sf_dir, exports.markdown_document)
+
+
+@query(f"with {_MODELS} " + " union all ".join(f"select session_id, '{name}' as options, {_text_sql(o)} as body from m" for name, o in _OPTIONS.items()))
+def text_documents(spark, sf_dir):
+    """Plain text of whole sessions, with four sets of options."""
+    return _documents(spark, sf_dir, exports.text_document)
+
+
+@query(f"with {_MODELS} select session_id, {_text_sql(exports.FULL)} as plain from m")
 def text_export(spark, sf_dir):
-    """Plain text, without Markdown's marks."""
-    options = exports.ExportOptions(summary=False, transcript=False)
-    body = exports.plain(exports.markdown(F.col("folder"), F.col("started_at"), F.col("language"), F.lit(""), F.lit(""), options))
-    return sessions(spark, sf_dir).select("session_id", body.alias("plain"))
+    """Plain text of whole sessions, transcript and summary included."""
+    return _models(spark, sf_dir).select("session_id", exports.text_document().alias("plain"))
 
 
 @query(f"with {SEGMENTS} select session_id, ordinal, start_ms, end_ms, speaker, text from segments where session_id in (select doc_id from documents)")

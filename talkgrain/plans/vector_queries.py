@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
@@ -16,11 +17,11 @@ _E = "e as (select vec_id, label, embedding::double[] as v from embeddings)"
 _C = f"{_E}, m as (select label, i, avg(x) as x from (select label, unnest(v) as x, generate_subscripts(v, 1) as i from e) group by 1, 2), c0 as (select label, list(x order by i) as c from m group by 1), c as (select label, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) as c from c0)"
 
 
-@query(f"with {_E} select vec_id, round(sqrt(list_inner_product(v, v)), 5) as norm, round(v[1] / sqrt(list_inner_product(v, v)), 5) as first from e")
+@query(f"with {_E} select vec_id, i, round(x / n, 5) as x from (select vec_id, sqrt(list_inner_product(v, v)) as n, unnest(v) as x, generate_subscripts(v, 1) as i from e)")
 def unit_vectors(spark, sf_dir):
-    """S118: vectors of unit length."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.round(F.element_at(V.normalised(F.col("embedding")), 1), 5).alias("first"))
+    """S118: vectors of unit length, all their numbers."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.normalised(F.col("embedding"))).alias("i", "x"))
+    return e.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
 @query(f"with {_C} select label, i, round(x, 5) as x from (select label, unnest(c) as x, generate_subscripts(c, 1) as i from c)")
@@ -119,8 +120,11 @@ def speaker_clusters(spark, sf_dir):
 
 @query()
 def aligned_speakers(spark, sf_dir):
-    """Speakers matched over the successive chunks of a recording (tested on small cases by hand)."""
+    """S44, S122: speakers matched over the successive chunks of a recording, a third of them by acoustic features (tested against a plain fold)."""
     from talkgrain.operators.joins import align_speakers
 
-    e = table(spark, sf_dir, "embeddings").select(recording().alias("session"), F.floor(F.col("vec_id") / 50).alias("chunk"), (F.col("vec_id") % 50).alias("speaker"), "embedding", F.lit(1).alias("samples"))
-    return align_speakers(e)
+    speaker = F.row_number().over(Window.partitionBy("session", "chunk").orderBy("vec_id")).cast("long") - 1  # of at most 50 successive ids
+    e = table(spark, sf_dir, "embeddings").withColumn("session", recording()).withColumn("chunk", F.floor(F.col("vec_id") / 50)).withColumn("speaker", speaker)
+    number = F.col("embedding").cast("array<double>")
+    features = F.array(*[100 * F.element_at(number, i + 1) * scale / 50 for i, scale in enumerate(V.SCALES)])
+    return align_speakers(e.select("session", "chunk", "speaker", F.when(F.col("vec_id") % 3 != 0, number).alias("embedding"), features.alias("features"), F.lit(1).alias("samples")))

@@ -215,3 +215,61 @@ def test_folder_bytes_reads_no_content(spark, tmp_path):
     found = exports.folder_bytes(spark, str(tmp_path), "name")
     assert {r["name"]: r.bytes for r in found.collect()} == {"a b": 4 + 3, "c": 1}
     assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_speakers_without_an_embedding_match_by_features(spark):
+    low, high = [120.0, 20.0, 0.5, 1500.0, 0.01, 0.02], [300.0, 60.0, 0.5, 2500.0, 0.02, 0.03]
+    near = lambda f: [f[0] + 5, *f[1:]]
+    rows = [(1, 0, 0, None, low, 5), (1, 0, 1, [1.0, 0.0], high, 5)]
+    rows += [(1, 1, 0, None, near(high), 5), (1, 1, 1, [0.0, 1.0], near(low), 5)]  # by features, as one of each pair has no embedding
+    rows += [(1, 2, 0, [0.1, 1.0], [900.0] * 6, 1), (1, 2, 1, [-1.0, 0.0], high, 1)]  # by the embeddings they have by now; the other is new
+    rows += [(2, 3, 4, None, low, 1), (2, 5, 0, None, None, 1)]  # the first chunk's keep their numbers
+    df = spark.createDataFrame(rows, "session long, chunk long, speaker long, embedding array<double>, features array<double>, samples long")
+    got = {(r.session, r.chunk, r.speaker): r.global_speaker for r in joins.align_speakers(df).collect()}
+    assert got == {(1, 0, 0): 0, (1, 0, 1): 1, (1, 1, 0): 1, (1, 1, 1): 0, (1, 2, 0): 0, (1, 2, 1): 2, (2, 3, 4): 4, (2, 5, 0): 1}
+
+
+def test_speakers_of_the_table_against_a_plain_fold(spark):
+    from talkgrain.functions.vectors import SCALES, WEIGHTS
+    from talkgrain.plans import vector_queries
+
+    seen = {}
+    real = joins.align_speakers
+    try:
+        joins.align_speakers = lambda df, *a: real(seen.setdefault("df", df), *a)
+        got = sorted(map(tuple, vector_queries.QUERIES["aligned_speakers"](spark, "/root/testdata/sf0.001").collect()))
+    finally:
+        joins.align_speakers = real
+    want = []
+    rows = seen["df"].collect()
+    assert any(r.embedding is None for r in rows) and any(r.embedding is not None for r in rows)
+    for session in {r.session for r in rows}:
+        known = []
+        for place, chunk in enumerate(sorted({r.chunk for r in rows if r.session == session})):
+            own = sorted((r for r in rows if (r.session, r.chunk) == (session, chunk)), key=lambda r: r.speaker)
+            unit = lambda v: None if v is None else np.array(v) / np.linalg.norm(v)
+            pairs = []
+            for i, r in enumerate(own):
+                for k, (v, f, _) in enumerate(known):
+                    if r.embedding is not None and v is not None:
+                        pairs.append((1 - unit(r.embedding) @ v, i, k, 0.4))
+                    else:
+                        pairs.append((sum(w * ((x - y) / s) ** 2 for x, y, s, w in zip(r.features, f, SCALES, WEIGHTS, strict=True)) ** 0.5, i, k, 2.0))
+            to = {}
+            for d, i, k, most in sorted(pairs):
+                if d <= most and i not in to and k not in to.values():
+                    to[i] = k
+            fresh = len(known)
+            for i, k in to.items():
+                v, f, n = known[k]
+                f, n = (f * n + np.array(own[i].features)) / (n + 1), n + 1
+                if own[i].embedding is not None:
+                    v = unit(own[i].embedding) if v is None else unit(v * n / (n + 1) + unit(own[i].embedding) / (n + 1))
+                    n += 1
+                known[k] = (v, f, n)
+            for i, r in enumerate(own):
+                if i not in to:
+                    to[i], fresh = fresh, fresh + 1
+                    known.append((unit(r.embedding), np.array(r.features), 1))
+                want.append((session, chunk, r.speaker, to[i] if place else r.speaker))
+    assert got == sorted(want)
