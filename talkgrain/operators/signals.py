@@ -130,37 +130,59 @@ def window_features(signals: DataFrame, rate: float = 16_000.0) -> DataFrame:
     return out.select("signal", "pitch", "pitch_std", "energy", "centroid", F.when(F.col("_p") > 1, F.col("jitter")).alias("jitter"), F.when(F.col("_n") > 1, F.col("shimmer")).alias("shimmer"))
 
 
-def log_det(frames: np.ndarray) -> float:
-    """Of the covariance (n - 1, plus 1e-6 on the diagonal), by Cholesky; -inf if that fails."""
-    d = frames.shape[1]
-    cov = (np.cov(frames.T).reshape(d, d) if len(frames) > 1 else np.zeros((d, d))) + 1e-6 * np.eye(d)
-    try:
-        return 2 * float(np.log(np.diag(np.linalg.cholesky(cov))).sum())
-    except np.linalg.LinAlgError:
-        return -np.inf
-
-
-def best_split(frames: np.ndarray) -> tuple[int, float]:
-    """Offset with the largest gain of two Gaussians over one, and the gain less its penalty (0 if there is none)."""
-    n, d = frames.shape
-    whole = log_det(frames)
-    if n < WINDOW or whole == -np.inf:
+def log_det(cov: np.ndarray) -> np.ndarray:
+    """Of one covariance or of a stack of them; -inf where it is not positive."""
+    sign, value = np.linalg.slogdet(cov)
+    return np.where(sign > 0, value, -np.inf)
+
+
+class Moments:
+    """Running sums of frames and of their outer products: the covariance of any stretch is a difference of two of them."""
+
+    def __init__(self, frames: np.ndarray):
+        self.n, self.d = frames.shape
+        x = frames - frames.mean(axis=0)  # small numbers lose less in differences
+        self.first = np.zeros((self.n + 1, self.d))
+        self.second = np.zeros((self.n + 1, self.d, self.d))
+        np.cumsum(x, axis=0, out=self.first[1:])
+        np.cumsum(x[:, :, None] * x[:, None, :], axis=0, out=self.second[1:])
+
+    def log_dets(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the covariances (n - 1, plus 1e-6 on the diagonal) of the stretches from `start` to before `end`."""
+        start, end = np.broadcast_arrays(np.atleast_1d(start), np.atleast_1d(end))
+        n = (end - start).astype(float)[:, None, None]
+        sums = self.first[end] - self.first[start]
+        scatter = self.second[end] - self.second[start] - sums[:, :, None] * sums[:, None, :] / n
+        return log_det(scatter / np.maximum(n - 1, 1) + 1e-6 * np.eye(self.d))
+
+
+def best_split(moments: Moments, start: int, end: int) -> tuple[int, float]:
+    """Offset in the window with the largest gain of two Gaussians over one, and the gain less its penalty (0 if there is none)."""
+    n, d = end - start, moments.d
+    at = np.arange(start + MARGIN, end - MARGIN, STRIDE)
+    if n < WINDOW or not len(at):
+        return 0, 0.0
+    whole, left, right = moments.log_dets(start, end)[0], moments.log_dets(start, at), moments.log_dets(at, end)
+    known = np.minimum(left, right) > -np.inf
+    if whole == -np.inf or not known.any():
         return 0, 0.0
     penalty = PENALTY * 0.5 * (d + 0.5 * d * (d + 1)) * np.log(n)
-    gains = {}
-    for at in range(MARGIN, n - MARGIN, STRIDE):
-        left, right = log_det(frames[:at]), log_det(frames[at:])
-        if min(left, right) > -np.inf:
-            gains[at] = 0.5 * (n * whole - at * left - (n - at) * right) - penalty
-    at = max(gains, key=gains.get, default=0)
-    return at, max(gains.get(at, 0.0), 0.0)
+    at, left, right = at[known], left[known], right[known]
+    gains = 0.5 * (n * whole - (at - start) * left - (end - at) * right) - penalty
+    best = int(gains.argmax())
+    return int(at[best]) - start, max(float(gains[best]), 0.0)
 
 
 def splits(frames: np.ndarray) -> list[tuple[int, float]]:
-    """Change points: a window grows until it holds one, and the search starts again from there."""
-    found, start, end = [], 0, WINDOW
+    """Change points: a window grows until it holds one, and the search starts again from there.
+
+    Each split of a window costs two differences of running sums, whatever the window's length.
+    """
+    if len(frames) < WINDOW:
+        return []
+    moments, found, start, end = Moments(frames), [], 0, WINDOW
     while end <= len(frames):
-        at, gain = best_split(frames[start:end])
+        at, gain = best_split(moments, start, end)
         if gain > 0:
             found.append((start + at, gain))
             start, end = start + at, start + at + WINDOW
@@ -191,6 +213,23 @@ def covariances(frames: DataFrame, keys: list[str], column: str = "mfcc") -> Dat
     return pairs.groupBy(*keys, "i", "j").agg(cov.alias("cov"))
 
 
+def log_dets(cov: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, log_det of covariances (keys, i, j, cov) as `covariances` gives them; -inf where one is not positive."""
+
+    @F.pandas_udf("double")
+    def of(cells: pd.Series) -> pd.Series:
+        def one(own) -> float:
+            d = max(c["j"] for c in own) + 1
+            full = np.zeros((d, d))
+            for c in own:
+                full[c["i"], c["j"]] = full[c["j"], c["i"]] = c["cov"]
+            return float(log_det(full))
+
+        return cells.map(one)
+
+    return cov.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "cov")).alias("_c")).select(*keys, of("_c").alias("log_det"))
+
+
 def segment_statistics(frames: DataFrame, keys: list[str]) -> DataFrame:
     """keys, segment, part, i, value from frames (keys, segment, frame, mfcc).
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
 from talkgrain.operators import clusters, filters, lifecycle, search
 from talkgrain.operators.index import SearchIndex
+from talkgrain.operators.ranks import running
 from talkgrain.plans.register import registered
 from talkgrain.plans.vector_queries import acoustic_profiles
 from talkgrain.sources.scratch import scratch_root
@@ -228,3 +230,65 @@ def adapted_identities(spark, sf_dir):
     near = F.col("d") <= clusters.ADAPT
     moved = F.when(near, clusters.adapted(F.col("c"), F.col("v"))).otherwise(F.col("c"))
     return best.select("label", "vec_id", near.alias("adapted"), F.transform(moved, lambda x: F.round(x, 5)).alias("centroid"))
+
+
+@query("with t as (select case when toxic = 1 then 'flagged' when quality = 1 then 'good' when quality = 0 then 'low' end as tag, doc_id from labels) select tag, count(*) as sessions, row_number() over (order by tag) as place from t where tag is not null group by 1")
+def tag_scan(spark, sf_dir):
+    """Tags by name, with the number of their sessions."""
+    tag = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
+    found = table(spark, sf_dir, "labels").select(tag.alias("tag"), "doc_id").where("tag is not null").groupBy("tag").agg(F.count("*").alias("sessions"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy("tag")).cast("long"))  # a row a tag, of three
+
+
+@query("with f as (select source as folder, (count(*) * 7 % 5)::bigint as sort_order, count(*) as sessions from documents where source is not null group by 1) select folder, sort_order, sessions from f order by sort_order, folder")
+def folders_in_order(spark, sf_dir):
+    """Folders by their own order, then by name."""
+    f = sessions(spark, sf_dir).where("folder is not null").groupBy("folder").agg((F.count("*") * 7 % 5).alias("sort_order"), F.count("*").alias("sessions"))
+    return f.select("folder", "sort_order", "sessions").orderBy("sort_order", "folder")
+
+
+@query(
+    f"with {SEGMENTS}, {CHUNKS}, kids as (select session_id, 'segment' as kind, start_ms as at_ms, ordinal as id, role as label from segments union all select session_id, 'highlight', start_ms, ordinal, case when ordinal > 0 then role end from segments where speaker < 0 "
+    "union all select session_id, 'chunk', idx, size_bytes, status::varchar from chunks where session_id in (select conv_id from conversations) union all select doc_id, 'tag', 0, 0, case when toxic = 1 then 'flagged' else 'fine' end from labels where doc_id in (select conv_id from conversations)) "
+    "select session_id, kind, row_number() over (partition by session_id, kind order by at_ms, label nulls first, id) as place, at_ms, id, label from kids"
+)
+def session_children(spark, sf_dir):
+    """What belongs to a session, in its own order: segments and highlights by time, chunks by index, tags by name."""
+    seg = segments(spark, sf_dir)
+    own = seg.select("session_id").distinct()
+    some = lambda df, kind, at, id_, label: df.select("session_id", F.lit(kind).alias("kind"), at.cast("long").alias("at_ms"), id_.cast("long").alias("id"), label.cast("string").alias("label"))
+    tag = F.when(F.col("toxic") == 1, "flagged").otherwise("fine")
+    kids = [
+        some(seg, "segment", F.col("start_ms"), F.col("ordinal"), F.col("role")),
+        some(seg.where("speaker < 0"), "highlight", F.col("start_ms"), F.col("ordinal"), F.when(F.col("ordinal") > 0, F.col("role"))),
+        some(chunks(spark, sf_dir).join(own, "session_id", "left_semi"), "chunk", F.col("idx"), F.col("size_bytes"), F.col("status")),
+        some(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "session_id").join(own, "session_id", "left_semi"), "tag", F.lit(0), F.lit(0), tag),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b), kids)
+    return running(every, ["session_id", "kind"], [F.col("at_ms"), F.col("label").asc_nulls_first(), F.col("id")]).select("session_id", "kind", "place", "at_ms", "id", "label")
+
+
+@query(
+    f"with {SEGMENTS}, {SESSIONS}, p as (select session_id, text, row_number() over (partition by session_id order by start_ms, ordinal) as r from segments where length(text) > 0), v as (select session_id, nullif(substr(string_agg(text, ' ' order by r), 1, 200), '') as preview from p where r <= 3 group by 1), "
+    "c as (select l_orderkey as session_id, count(*) as n from lineitem group by 1), t as (select doc_id, case when toxic = 1 and quality = 1 then 'flagged,good' when toxic = 1 then 'flagged' when quality = 1 then 'good' else '' end as tags from labels) "
+    "select session_id, folder, started_at, audio_kept, preview, coalesce(n, 0) as chunk_count, coalesce(tags, '') as tags from sessions left join v using (session_id) left join c using (session_id) left join t on doc_id = session_id"
+)
+def session_summaries(spark, sf_dir):
+    """What a list shows of each session: a preview of its first three segments, the number of chunks, tags."""
+    seg = segments(spark, sf_dir).where("length(text) > 0")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("start_ms", "ordinal", F.left("text", F.lit(200)).alias("text")))), 1, 3)  # what is beyond 200 characters is not shown
+    shown = seg.groupBy("session_id").agg(F.nullif(F.left(F.array_join(first["text"], " "), F.lit(200)), F.lit("")).alias("preview"))
+    counts = chunks(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("chunk_count"))
+    tags = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id"), F.array_join(F.array_compact(F.array(F.when(F.col("toxic") == 1, "flagged"), F.when(F.col("quality") == 1, "good"))), ",").alias("tags"))
+    s = sessions(spark, sf_dir).select("session_id", "folder", "started_at", "audio_kept")
+    whole = s.join(shown, "session_id", "left").join(counts, "session_id", "left").join(tags, "session_id", "left")
+    return whole.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0).cast("long")), "tags": F.coalesce("tags", F.lit(""))})
+
+
+@query("with p as (select user_id, avg(value) as a, coalesce(stddev_pop(value), 0) as s, min(value) as lo, max(value) as hi, avg(abs(value - 50)) / 1000 as j from events group by 1), f as (select user_id % 10 as speaker, [a, s, lo, 10 * hi, j, s / 1000] as f from p), l as (select speaker, unnest(f) as x, generate_subscripts(f, 1) as i from f) select speaker, i, round(avg(x), 6) as x from l group by 1, 2")
+def acoustic_centroids(spark, sf_dir):
+    """S122: the mean of six acoustic features of each speaker; ten speakers of users' profiles."""
+    v = F.col("value")
+    p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(v).alias("a"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi"), (F.avg(F.abs(v - 50)) / 1000).alias("j"))
+    each = p.select((F.col("user_id") % 10).alias("speaker"), F.posexplode(F.array("a", "s", "lo", 10 * F.col("hi"), "j", F.col("s") / 1000)).alias("i", "x"))
+    return each.groupBy("speaker", (F.col("i") + 1).cast("long").alias("i")).agg(F.round(F.avg("x"), 6).alias("x"))

@@ -89,6 +89,12 @@ def power_spectra(spark, sf_dir):
     return p.select("signal", "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
 
 
+@query(_SPECTRA)
+def full_power_spectra(spark, sf_dir):
+    """S136: the same under its earlier name."""
+    return power_spectra(spark, sf_dir)
+
+
 @query()
 def cepstral_frames(spark, sf_dir):
     """S137, S138: 13 coefficients a frame."""
@@ -166,6 +172,16 @@ def talk_frames(spark, sf_dir):
     return _talk(spark, sf_dir).select("signal", "frame", F.round("energy", 6).alias("energy"), counts.alias("counts"))
 
 
+@query(
+    f"with {_TALK}, x as (select signal, mfcc[1] as a, mfcc[2] as b, mfcc[3] as c from talk where energy > 0), k as (select signal, coalesce(var_samp(a), 0) + 1e-6 as aa, coalesce(var_samp(b), 0) + 1e-6 as bb, coalesce(var_samp(c), 0) + 1e-6 as cc, coalesce(covar_samp(a, b), 0) as ab, coalesce(covar_samp(a, c), 0) as ac, coalesce(covar_samp(b, c), 0) as bc from x group by 1) "
+    "select signal, round(ln(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)), 5) as log_det from k"
+)
+def frame_log_dets(spark, sf_dir):
+    """S131: log-determinants of the covariances of a recording's first three coefficients."""
+    few = _talk(spark, sf_dir).where("energy > 0").withColumn("mfcc", F.slice("mfcc", 1, 3))
+    return signals.log_dets(signals.covariances(few, ["signal"]), ["signal"]).select("signal", F.round("log_det", 5).alias("log_det"))
+
+
 @query()
 def speaker_changes(spark, sf_dir):
     """S131, S132: change points by the Bayesian information criterion, in the parts of a minute that are not silent."""
