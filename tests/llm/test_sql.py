@@ -12,6 +12,9 @@ ODD = [
 ]
 
 
+ROLES = ["system", "user", "assistant"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     have, want = both(spark, "/root/testdata/sf0.001", QUERIES[name], ORACLE_SQL[name])
@@ -22,5 +25,7 @@ def test_query_equals_sql(spark, name):
 def test_odd_texts(spark, name, tmp_path):
     rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(ODD)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(c, None if t == 3 else t, None if ((c or 0) + t) % 5 == 0 else ROLES[(t + (c or 0) // 40) % 3], ODD[(t * t + (c or 0) // 60) % len(ODD)]) for c in [*range(95, 140), 200, 205, 300, None] for t in range(c % 9 if c else 2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     have, want = both(spark, str(tmp_path), QUERIES[name], ORACLE_SQL[name])
     assert have == want
