@@ -9,34 +9,53 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions import vectors as V
 from talkgrain.operators.ranks import running
+from talkgrain.sources.scratch import materialize
 
 #: fixed values: distances of embeddings, and of six acoustic features, up to which an identity is accepted, left open, adapted
 ACCEPT, REVIEW, ADAPT = 0.30, 0.40, 0.22
 ACOUSTIC = (1.30, 2.00, 0.90)
 MOST, APART = 10, 0.6
-#: enrolled identities of one block
-ENROLLED = 10_000
+#: identities that are broadcast; centres of blocks where there are more
+ENROLLED, CENTRES = 10_000, 1_000
 
 
 def identified(vectors: DataFrame, known: DataFrame) -> DataFrame:
     """vec_id, nearest, d, verdict, confidence: the nearest of the enrolled identities (nearest, centroid).
 
-    The identities are a query set: every vector is compared with all of them, in broadcast blocks of about ENROLLED.
+    The identities are a query set. Up to ENROLLED of them are broadcast; more are put in blocks around some of them, and a
+    vector is compared with the blocks only that may hold a nearer one than the best of its nearest block.
     """
-    blocks = -(-known.count() // ENROLLED) or 1
-    best = None
-    for b in range(blocks):
-        own = known.where(F.pmod(F.xxhash64("nearest"), F.lit(blocks)) == b) if blocks > 1 else known
-        d = F.round(V.distance(F.col("v"), F.col("centroid")), 5)
-        least = vectors.crossJoin(F.broadcast(own)).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), "nearest")).alias("b"))
-        best = least if best is None else best.unionByName(least)
-    best = best.groupBy("vec_id").agg(F.min("b").alias("b")) if blocks > 1 else best
-    best = best.select("vec_id", "b.nearest", "b.d")
+    few = known.limit(ENROLLED + 1).count() <= ENROLLED
+    pairs = vectors.crossJoin(F.broadcast(known)) if few else _near_pairs(vectors, known)
+    d = F.round(V.distance(F.col("v"), F.col("centroid")), 5)
+    best = pairs.groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), "nearest")).alias("b")).select("vec_id", "b.nearest", "b.d")
     verdict = F.when(F.col("d") <= ACCEPT, "accepted").when(F.col("d") <= REVIEW, "review").otherwise("rejected")
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("d") / max(ACCEPT + 0.01, REVIEW)))
     return best.select("vec_id", "nearest", "d", verdict.alias("verdict"), F.round(sure, 5).alias("confidence"))
 
 
+def _near_pairs(vectors: DataFrame, known: DataFrame) -> DataFrame:
+    """vec_id, v, nearest, centroid: pairs among which each vector's nearest identities are, by the triangle inequality of angles.
+
+    Vectors and identities have unit length. Centres are the CENTRES identities of the least hashes, so what is broadcast is
+    bounded. An identity belongs to its nearest centre, and a block's radius is the largest angle in it. A block can't hold
+    an identity that is nearer than the angle to its centre less its radius; the distances are compared with a margin for their rounding.
+    """
+    angle = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col(a), F.col(b)))))
+    centres = materialize(known.orderBy(F.xxhash64("nearest")).limit(CENTRES).select(F.col("centroid").alias("c")).withColumn("block", F.monotonically_increasing_id()), "centres")
+    placed = known.crossJoin(F.broadcast(centres)).withColumn("t", angle("centroid", "c")).groupBy("nearest", "centroid").agg(F.min(F.struct("t", "block")).alias("x"))
+    placed = materialize(placed.select("nearest", "centroid", "x.*"), "placed")
+    blocks = centres.join(placed.groupBy("block").agg(F.max("t").alias("r")), "block")  # CENTRES rows
+    ways = F.array_sort(F.collect_list(F.struct("t", "block", "r")))
+    seen = vectors.crossJoin(F.broadcast(blocks)).withColumn("t", angle("v", "c")).groupBy("vec_id", "v").agg(ways.alias("ways"))
+    seen = materialize(seen.withColumn("first", F.get("ways", 0)["block"]), "seen")
+    bound = seen.join(placed.select(F.col("block").alias("first"), "centroid"), "first").groupBy("vec_id").agg(F.min(V.distance(F.col("v"), F.col("centroid"))).alias("most"))
+    bent = V.dot(F.col("v"), F.col("v")) < 0.99  # no direction, so all distances are alike
+    near = F.filter("ways", lambda w: bent | (1 - F.cos(F.greatest(w["t"] - w["r"], F.lit(0.0))) <= F.col("most") + 2e-5))
+    asked = seen.join(bound, "vec_id").select("vec_id", "v", F.explode(near).alias("w")).select("vec_id", "v", F.col("w.block").alias("block"))
+    return asked.join(placed.select("block", "nearest", "centroid"), "block")
+
+
 def verdict(d: Column, accept: float = ACCEPT, review: float = REVIEW) -> tuple[Column, Column]:
     """(reason, confidence) of the distance to the nearest identity; the reasons are fixed values."""
     reason = F.when(d <= accept, "accepted_within_threshold").when(d <= review, "uncertain_between_accept_and_review").otherwise("distance_too_far")

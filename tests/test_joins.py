@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from talkgrain.operators import clusters, joins
 
 
@@ -48,10 +50,24 @@ def test_identities_in_several_blocks_are_compared_as_in_one(spark, monkeypatch)
     own = spark.createDataFrame([(i, [math.cos(i / 3), math.sin(i / 3)]) for i in range(30)], "vec_id long, v array<double>")
     whole = sorted(map(tuple, clusters.identified(own, known).collect()))
     monkeypatch.setattr(clusters, "ENROLLED", 3)
+    monkeypatch.setattr(clusters, "CENTRES", 4)
     assert sorted(map(tuple, clusters.identified(own, known).collect())) == whole
     assert [r[1] for r in whole[::3]] == list(range(10))
 
 
+def test_blocks_leave_pairs_out_but_no_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    points = unit(rng.normal(size=(300, 3)))
+    known = spark.createDataFrame([(i, v) for i, v in enumerate(points + points[:5])], "nearest long, centroid array<double>")  # some twice
+    own = spark.createDataFrame([(i, v) for i, v in enumerate([*unit(rng.normal(size=(120, 3))), *points[:7], [0.0, 0.0, 0.0]])], "vec_id long, v array<double>")
+    whole = sorted(map(tuple, clusters.identified(own, known).collect()))
+    monkeypatch.setattr(clusters, "ENROLLED", 10)
+    monkeypatch.setattr(clusters, "CENTRES", 20)
+    assert sorted(map(tuple, clusters.identified(own, known).collect())) == whole
+    assert clusters._near_pairs(own, known).count() < 128 * 305 / 3
+
+
 def test_similar_texts_equal_all_pairs(spark):
     rng = random.Random(4)
     sets = [sorted(rng.sample("abcdefghijklmnop", rng.randint(1, 12))) for _ in range(80)]
