@@ -36,8 +36,8 @@ def position(i: Column, n: Column) -> Column:
 
 
 def length_score(words: Column) -> Column:
-    """Best between 10 and 40 words."""
-    return F.when(words < 5, 0.0).when(words < 10, (words - 5) / 5.0).when(words <= 40, 1.0).when(words <= 80, 1 - (words - 40) / 40.0).otherwise(0.0)
+    """1 from 10 to 40 words; from 0.6 at 5 up to it and down to 0.6 at 80; in proportion below and beyond."""
+    return F.when(words < 5, words / 5.0).when(words < 10, 0.6 + 0.4 * (words - 5) / 5.0).when(words <= 40, 1.0).when(words <= 80, 0.6 + 0.4 * (1 - (words - 40) / 40.0)).otherwise(80.0 / words)
 
 
 def extractive(sent: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ _TFIDF = (
     "d as (select *, count(*) over (partition by doc_id, term) as df from tf), raw as (select doc_id, i, sum(tf / w * ln(n / df)) as raw from d group by 1, 2), "
     "tfidf as (select doc_id, i, case when max(raw) over (partition by doc_id) > 0 then raw / max(raw) over (partition by doc_id) else 0 end as tfidf from raw)"
 )
-_LENGTH = "case when w < 5 then 0 when w < 10 then (w - 5) / 5.0 when w <= 40 then 1 when w <= 80 then 1 - (w - 40) / 40.0 else 0 end"
+_LENGTH = "case when w < 5 then w / 5.0::double when w < 10 then 0.6::double + 0.4::double * (w - 5) / 5 when w <= 40 then 1 when w <= 80 then 0.6::double + 0.4::double * (1 - (w - 40) / 40.0::double) else 80.0::double / w end"
 _POSITION = "case when i = 0 then 1 when i = n - 1 then 0.8 else 1 - 0.5 * i / n end"
 _SCORES = f"{_TFIDF}, scores as (select doc_id, i, sentence, case when n = 1 then 1.0 else 0.4 * tfidf + 0.3 * {_POSITION} + 0.15 * {_LENGTH} end as score from sent join tfidf using (doc_id, i))"
 

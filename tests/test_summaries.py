@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talkgrain.operators import summaries
 
@@ -44,3 +45,11 @@ def test_text_rank_of_a_long_document(spark):
     n = 60_000  # a matrix would have 29 GB
     got = _ranks(spark, [[[f"w{i}", f"w{i + 1}", "a", "b", "c"] for i in range(n)]])
     assert len(got) == n and sum(got.values()) == pytest.approx(1, abs=1e-6)
+
+
+def test_length_scores(spark):
+    """0.6 at 5 and just below 10 words it rises to 1; beyond 80 it falls in proportion."""
+    words = [1, 4, 5, 7, 9, 10, 40, 41, 60, 80, 81, 160]
+    df = spark.createDataFrame([(w,) for w in words], "w int")
+    got = [r.s for r in df.select(summaries.length_score(F.col("w")).alias("s")).collect()]
+    assert got == pytest.approx([0.2, 0.8, 0.6, 0.76, 0.92, 1, 1, 0.99, 0.8, 0.6, 80 / 81, 0.5])
