@@ -40,16 +40,23 @@ def length_score(words: Column) -> Column:
     return F.when(words < 5, words / 5.0).when(words < 10, 0.6 + 0.4 * (words - 5) / 5.0).when(words <= 40, 1.0).when(words <= 80, 0.6 + 0.4 * (1 - (words - 40) / 40.0)).otherwise(80.0 / words)
 
 
-def extractive(sent: DataFrame) -> DataFrame:
-    """doc_id, i, score: 0.4 TF-IDF + 0.3 position + 0.15 length; a single sentence scores 1. No entity term: there is no tagger."""
-    joined = sent.select("doc_id", "i", "n", F.size("words").alias("w")).join(tf_idf(sent), ["doc_id", "i"])
-    score = 0.4 * F.col("tfidf") + 0.3 * position(F.col("i"), F.col("n")) + 0.15 * length_score(F.col("w"))
+def density(sentence: Column, words: Column) -> Column:
+    """Names by word, 1 at most."""
+    return F.least(F.lit(1.0), F.size(T.names(sentence)) / F.greatest(words, F.lit(1)))
+
+
+def extractive(sent: DataFrame, entities: bool = False) -> DataFrame:
+    """doc_id, i, score: 0.4 TF-IDF + 0.3 position + 0.15 length, and 0.15 density of names if `entities`; a single sentence scores 1."""
+    named = density(F.col("sentence"), F.size("words")) if entities else F.lit(0.0)
+    joined = sent.select("doc_id", "i", "n", F.size("words").alias("w"), named.alias("e")).join(tf_idf(sent), ["doc_id", "i"])
+    score = 0.4 * F.col("tfidf") + 0.3 * position(F.col("i"), F.col("n")) + 0.15 * length_score(F.col("w")) + 0.15 * F.col("e")
     return joined.select("doc_id", "i", F.when(F.col("n") == 1, 1.0).otherwise(score).alias("score"))
 
 
-def lead(sent: DataFrame) -> DataFrame:
-    """doc_id, i, score: 0.8 max(0, 1 - 0.15 i) + 0.1 length; a single sentence scores 1."""
+def lead(sent: DataFrame, entities: bool = False) -> DataFrame:
+    """doc_id, i, score: 0.8 max(0, 1 - 0.15 i) + 0.1 length, and 0.1 density of names if `entities`; a single sentence scores 1."""
     score = 0.8 * F.greatest(F.lit(0.0), 1 - 0.15 * F.col("i")) + 0.1 * length_score(F.size("words"))
+    score = score + 0.1 * density(F.col("sentence"), F.size("words")) if entities else score
     return sent.select("doc_id", "i", F.when(F.col("n") == 1, 1.0).otherwise(score).alias("score"))
 
 
@@ -113,6 +120,25 @@ def top_keywords(docs: DataFrame, k: int = 15) -> DataFrame:
     return keyword_counts(docs).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def named_entities(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n, kind: how often each name occurs in a document; its kind is that of its first place."""
+    each = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", "p", F.explode(T.names(F.col("sentence"))).alias("x"))
+    return each.groupBy("doc_id", F.col("x.text").alias("text")).agg(F.count("*").alias("n"), F.min_by("x.kind", F.struct("p", "x.at")).alias("kind"))
+
+
+def top_entities(docs: DataFrame, k: int = 15) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "text")
+    return named_entities(docs).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def top_terms(docs: DataFrame, k: int = 15) -> DataFrame:
+    """doc_id, word, n, place: keywords by their counts, names (of two letters or more) among them by twice theirs."""
+    names = named_entities(docs).where(F.length("text") >= 2).select("doc_id", F.col("text").alias("word"), (2 * F.col("n")).alias("n"))
+    both = keyword_counts(docs).unionByName(names).groupBy("doc_id", "word").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
+    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def co_occurring(docs: DataFrame, k: int = 20, reach: int = 49) -> DataFrame:
     """doc_id, a, b: pairs of a document's top keywords that stand within `reach` of each other in its keyword stream."""
     top = top_keywords(docs, k).select("doc_id", "word")

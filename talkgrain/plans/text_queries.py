@@ -162,6 +162,46 @@ def keyword_list(spark, sf_dir):
     return summaries.top_keywords(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("place", F.col("place").cast("long"))
 
 
+#: names in all sentences (x of _SENT): runs of capitalised words, their first words' places and kinds
+_NAMES = (
+    "nw as (select doc_id, p, unnest(regexp_split_to_array(sentence, '\\s+')) as w, generate_subscripts(regexp_split_to_array(sentence, '\\s+'), 1) as k from x), "
+    "nb as (select doc_id, p, k, regexp_replace(w, '^[\\p{P}\\p{S}]+|[\\p{P}\\p{S}]+$', '', 'g') as bare, regexp_matches(w, '[\\p{P}\\p{S}]$') as ends, regexp_matches(w, '^[\\p{P}\\p{S}]') as begins from nw), "
+    "nf as (select *, k > 1 and regexp_matches(bare, '^\\p{Lu}[\\p{Ll}\\p{M}''’]+(?:-\\p{Lu}?[\\p{Ll}\\p{M}''’]+)*$') as named from nb), "
+    "nj as (select *, named and coalesce(lag(named) over o, false) and not coalesce(lag(ends) over o, false) and not begins as joined, lower(lag(bare) over o) as before from nf window o as (partition by doc_id, p order by k)), "
+    "nr as (select *, sum(case when named and not joined then 1 else 0 end) over (partition by doc_id, p order by k) as run from nj), nn as (select *, row_number() over (partition by doc_id, p, run order by k) as r from nr where named), "
+    f"names as (select doc_id, p, run, min(k) as k, string_agg(bare, ' ' order by k) as text, case when list_contains({_listed(T.TITLES)}, min_by(before, k)) then 'person' when list_contains({_listed(T.ORGANISATIONS)}, max_by(bare, k)) then 'organization' "
+    f"when list_contains({_listed(T.PLACES)}, min_by(before, k)) then 'place' else 'name' end as kind from nn where r <= {T.NAME_WORDS} group by 1, 2, 3)"
+)
+_ENTITIES = f"{_NAMES}, entities as (select doc_id, text, count(*) as n, min_by(kind, struct_pack(p, k)) as kind from names group by 1, 2)"
+#: _SENT with each sentence's density of names
+_DENSE = f"{_NAMES}, ps as (select doc_id, p, row_number() over (partition by doc_id order by p) - 1 as i, len(words) as w from y where len(words) >= 5), dense as (select doc_id, i, least(1.0::double, (select count(*) from names m where m.doc_id = ps.doc_id and m.p = ps.p) / w) as e from ps)"
+
+
+@query(f"with {_SENT}, {_ENTITIES}, r as (select *, row_number() over (partition by doc_id order by n desc, text) as place from entities) select doc_id, text, n, kind, place from r where place <= 15")
+def named_entities(spark, sf_dir):
+    """S76, S117: the fifteen most frequent names of each document and their kinds, by a stand-in for a tagger."""
+    found = summaries.top_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n", "kind", F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {_SENT}, {_ENTITIES}, {_KEYWORDS}, b as (select doc_id, word, sum(n)::bigint as n from (select doc_id, word, n from k union all select doc_id, text, 2 * n from entities where length(text) >= 2) group by 1, 2), r as (select *, row_number() over (partition by doc_id order by n desc, word) as place from b) select * from r where place <= 15")
+def keywords_with_names(spark, sf_dir):
+    """S117: the fifteen best keywords of each document, names counted twice."""
+    return summaries.top_terms(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"with {_SCORES}, {_DENSE} select doc_id, i, {_settled('case when n = 1 then score else score + 0.15 * e end')} as score from scores join dense using (doc_id, i) join (select doc_id, count(*) as n from scores group by 1) using (doc_id)")
+def extractive_scores_with_names(spark, sf_dir):
+    """S113: composite scores of sentences with their density of names."""
+    return summaries.extractive(_sentences(spark, sf_dir), entities=True).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("score")).alias("score"))
+
+
+@query(f"with {_SENT}, {_DENSE} select doc_id, i, floor(1000000 * (case when n = 1 then 1.0::double else 0.8::double * greatest(0, 1 - 0.15::double * i) + 0.1::double * {_LENGTH} + 0.1::double * e end) + 0.5001) / 1000000 as score from (select sent.*, e from sent join dense using (doc_id, i))")
+def lead_scores_with_names(spark, sf_dir):
+    """S115: lead scores of sentences with their density of names."""
+    return summaries.lead(_sentences(spark, sf_dir), entities=True).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("score")).alias("score"))
+
+
 @query(
     f"with {_KEYWORDS}, top as (select doc_id, word from (select *, row_number() over (partition by doc_id order by n desc, word) as place from k) where place <= 20), "
     f"s as (select doc_id, unnest({_words('text')}) as word, generate_subscripts({_words('text')}, 1) as p from documents), q as (select doc_id, word, row_number() over (partition by doc_id order by p) as p from s join top using (doc_id, word)), "

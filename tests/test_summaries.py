@@ -53,3 +53,19 @@ def test_length_scores(spark):
     df = spark.createDataFrame([(w,) for w in words], "w int")
     got = [r.s for r in df.select(summaries.length_score(F.col("w")).alias("s")).collect()]
     assert got == pytest.approx([0.2, 0.8, 0.6, 0.76, 0.92, 1, 1, 0.99, 0.8, 0.6, 80 / 81, 0.5])
+
+
+def test_names(spark):
+    from talkgrain.functions import text as T
+
+    cases = {
+        "Yesterday Anna Maria met Dr Smith in New York.": [(1, "Anna Maria", "name"), (4, "Dr Smith", "name"), (7, "New York", "place")],
+        "The talk by prof. Jones, Brown and (Green) Hill": [(4, "Jones", "person"), (5, "Brown", "name"), (7, "Green", "name"), (8, "Hill", "name")],
+        "Bank": [],
+        "we asked Deutsche Bank, ACME and Élan-Vital Ltd": [(2, "Deutsche Bank", "organization"), (6, "Élan-Vital Ltd", "organization")],
+        "x " + " ".join(["Word"] * 20): [(1, " ".join(["Word"] * 8), "name")],
+        "": [],
+    }
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    got = {r.s: [tuple(x) for x in r.n] for r in df.select("s", T.names(F.col("s")).alias("n")).collect()}
+    assert got == cases
