@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: language, near duplicates, benchmark leaks, secrets, packing."""
+"""Documents to packed training sequences: language, near duplicates, benchmark leaks, secrets, packing.
+
+Every stage takes the columns of documents and leaves others, whatever their names, behind. An empty table gives an empty result; texts
+are taken whole, however long; null and empty texts have no letter and go in the first stage, later ones would keep them.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,10 @@ SURE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is not told apart from the others, go; decided row by row."""
+    """Documents without a letter, or whose language is not told apart from the others, go; decided row by row.
+
+    Rows that repeat a doc_id, or have none, are judged by their own texts; rows of one text share their fate.
+    """
     docs = docs.select(COLUMNS)
     found = langid.judge(docs, langid.fit(docs))
     return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= SURE))
@@ -37,18 +44,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; decided row by row."""
+    """Documents that hold a benchmark item go; decided row by row, without a join. Null texts hold none."""
     return without_leaks(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are replaced in the texts; every document stays."""
+    """Live-looking secrets are replaced in the texts; every document stays, a null text as it is. n_chars is that of the new text."""
     clean = redact(docs.select(COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its place in a training sequence."""
+    """One row per piece of a document with its place in a training sequence; rows that repeat a doc_id are packed one by one."""
     return pack(docs)
 
 
