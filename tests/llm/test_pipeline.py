@@ -32,6 +32,14 @@ def test_stages_on_odd_rows_and_nothing(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
 
 
+def test_stages_leave_clashing_columns_behind(spark):
+    docs = cases.odd(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == corpus_pipeline.COLUMNS
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() >= docs.count() and dict(packed.dtypes)["length"] == "bigint"
+
+
 def test_stages_decide_row_by_row(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     a, b, c = (cases.prose(i, 60) for i in (11, 12, 13))
