@@ -118,10 +118,20 @@ def snippet(text: Column, query: list[str], width: int = 32) -> Column:
     def best(words: Column, hits: Column) -> Column:
         """The first word of the window with most terms."""
         n = F.size(words)
-        most = F.array_max(F.transform(words, lambda w: F.size(T.tokens(w)))) * width * len(asked)  # places that a window can hold
-        terms = lambda h, i, start: F.size(F.array_distinct(F.transform(F.filter(F.slice(hits, F.greatest(i + 1 - F.when(start < h["a"], most).otherwise(0), F.lit(1)), 2 * most), lambda x: (x["a"] >= start) & (x["b"] < start + width)), lambda x: x["q"])))
-        windows = F.transform(hits, lambda h, i: one(F.greatest(F.least(h["a"], n - width), F.lit(0)), lambda start: F.struct((-terms(h, i, start)).alias("c"), start.alias("s"))))
-        return F.array_min(windows)["s"]
+
+        def inside(h: Column, i: Column, start: Column, most: Column) -> Column:
+            """Terms in the window from `start`, of which h, the i-th place, is one; it can hold `most` places."""
+            first = F.greatest(i + 1 - F.when(start < h["a"], most).otherwise(0), F.lit(1))
+            own = F.filter(F.slice(hits, first, 2 * most), lambda x: (x["a"] >= start) & (x["b"] < start + width))
+            return F.size(F.array_distinct(F.transform(own, lambda x: x["q"])))
+
+        def windows(most: Column) -> Column:
+            start = lambda h: F.greatest(F.least(h["a"], n - width), F.lit(0))
+            return F.array_min(F.transform(hits, lambda h, i: one(start(h), lambda at: F.struct((-inside(h, i, at, most)).alias("c"), at.alias("s")))))["s"]
+
+        # the most tokens of a word, for each of `width` words and each term; computed once for all windows
+        held = F.array_max(F.transform(words, lambda w: F.greatest(F.length(w) - F.length(F.regexp_replace(w, "[^\\p{L}\\p{N}]", "")) + 1, F.lit(1)))) * width * len(asked)
+        return one(held, windows)
 
     def marked(words: Column, hits: Column, start: Column) -> Column:
         shown = F.slice(words, start + 1, width)

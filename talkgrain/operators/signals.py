@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions import signals as S
 from talkgrain.operators import clusters, turns
+from talkgrain.sources.scratch import materialize
 
 #: fixed values: frames of 25 ms every 10 ms at 16 kHz, filters, coefficients; frames for pitch and spectral centroid
 SIZE, HOP, FFT, MELS, CEPSTRA = 400, 160, 512, 26, 13
@@ -256,6 +257,36 @@ def embeddings(statistics: DataFrame, keys: list[str]) -> DataFrame:
     return statistics.groupBy(*keys, "segment").agg(F.transform(put, lambda s: s["value"]).alias("v"))
 
 
+def _slopes(x: np.ndarray) -> np.ndarray:
+    """Slope over two frames on either side, the first and the last one standing for those beyond."""
+    at = lambda k: x[np.clip(np.arange(len(x)) + k, 0, len(x) - 1)]
+    return (at(1) - at(-1) + 2 * (at(2) - at(-2))) / 10
+
+
+def segment_vectors(frames: DataFrame) -> DataFrame:
+    """signal, segment, v: `embeddings` of `segment_statistics`, with a signal's frames (of a minute at most) in one task."""
+    kind = dict(frames.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        x = np.array(pdf["mfcc"].tolist(), float)
+        d = _slopes(x)
+        dd, segment, out = _slopes(d), pdf["segment"].to_numpy(float), []
+        i, j = np.triu_indices(x.shape[1], 1)
+        for k in np.unique(segment[~np.isnan(segment)]):
+            own = segment == k
+            y = x[own]
+            cov = np.cov(y.T) if len(y) > 1 else np.zeros((x.shape[1],) * 2)
+            std = np.sqrt(np.maximum(np.diag(cov), 0))
+            size = std[i] * std[j]
+            corr = np.where(size > 1e-10, cov[i, j] / np.maximum(size, 1e-10), 0)
+            out.append((pdf["signal"].iloc[0], int(k), np.concatenate([y.mean(axis=0), std, d[own].mean(axis=0), dd[own].mean(axis=0), corr])))
+        return pd.DataFrame(out, columns=["signal", "segment", "v"])
+
+    schema = f"signal {kind['signal']}, segment {kind['segment']}, v array<double>"
+    return frames.select("signal", "segment", "frame", "mfcc").groupBy("signal").applyInPandas(run, schema)
+
+
 def diarized(frames: DataFrame, least_ms: int = 500) -> DataFrame:
     """signal, start, end (ms), label: who speaks when, from frames (signal, frame, energy, mfcc).
 
@@ -266,14 +297,15 @@ def diarized(frames: DataFrame, least_ms: int = 500) -> DataFrame:
     mask = frames.join(level, "signal").select("signal", "frame", (F.col("energy") > F.col("threshold")).alias("on"))
     mask = turns.close_open(mask, ["signal"])
     place = F.row_number().over(Window.partitionBy("signal").orderBy("frame"))
-    marked = mask.where("on").withColumn("region", F.col("frame") - place).select("signal", "frame", "region")
+    marked = materialize(mask.where("on").withColumn("region", F.col("frame") - place).select("signal", "frame", "region"), "speech")  # read three times
     speech = frames.join(marked, ["signal", "frame"])
     cut = change_points(speech).select("signal", "frame", F.lit(1).alias("cut"))
     order = Window.partitionBy("signal").orderBy("frame")
     fresh = F.when(F.col("cut").isNotNull() | F.coalesce(F.col("region") != F.lag("region").over(order), F.lit(True)), 1).otherwise(0)
     cuts = marked.join(cut, ["signal", "frame"], "left").withColumn("_f", fresh).select("signal", "frame", F.sum("_f").over(order).alias("segment"))
+    cuts = materialize(cuts, "segments")  # read three times, and change points are not looked for again
     numbered = frames.join(cuts, ["signal", "frame"], "left")
-    vectors = embeddings(segment_statistics(numbered, ["signal"]), ["signal"])
+    vectors = segment_vectors(numbered)
     speakers = clusters.average_linkage(vectors, "signal", "segment", "v").withColumnRenamed("cluster", "label")
     spans = cuts.groupBy("signal", "segment").agg((F.min("frame") * 10).alias("start"), ((F.max("frame") + 1) * 10).alias("end"))
     said = turns.smooth(spans.join(speakers, ["signal", "segment"]).select("signal", "start", "end", "label"), ["signal"], least_ms)

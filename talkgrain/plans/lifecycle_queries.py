@@ -169,18 +169,18 @@ def renamed_speakers(spark, sf_dir):
 
 
 @query(
-    "with p as (select user_id as session_id, event_type as chunk, count(*) as samples, round(avg(value), 4) as pitch from events group by 1, 2), q as (select user_id as session_id, 'click' as chunk, count(*) as samples, round(max(value), 4) as pitch from events group by 1), "
-    "kept as (select * from p where chunk <> 'click' union all select * from q) select session_id, string_agg(chunk || ':' || samples || ':' || printf('%.4f', pitch), ',' order by chunk) as profiles from kept group by 1"
+    "with p as (select user_id as session_id, event_type as chunk, count(*) as samples, floor(avg(value) * 1000000 + 0.5001) / 1000000 as pitch from events group by 1, 2), q as (select user_id as session_id, 'click' as chunk, count(*) as samples, floor(max(value) * 1000000 + 0.5001) / 1000000 as pitch from events group by 1), "
+    "kept as (select * from p where chunk <> 'click' union all select * from q) select session_id, string_agg(chunk || ':' || samples || ':' || printf('%.6f', pitch), ',' order by chunk) as profiles from kept group by 1"
 )
 def put_profiles(spark, sf_dir):
     """S178: maps of profiles by chunk, with one chunk's replaced; a user's events for a session, their kinds for chunks."""
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id")
-    profile = lambda pitch: F.struct(F.count("*").alias("samples"), F.round(pitch, 4).alias("pitch")).alias("p")
+    profile = lambda pitch: F.struct(F.count("*").alias("samples"), T.settled(pitch).alias("pitch")).alias("p")
     each = e.groupBy("session_id", F.col("event_type").alias("chunk")).agg(profile(F.avg("value")))
     maps = each.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "p"))).alias("m"))
     new = e.groupBy("session_id").agg(profile(F.max("value")))
     merged = maps.join(new, "session_id").withColumn("m", F.map_concat(F.map_filter("m", lambda k, v: k != "click"), F.create_map(F.lit("click"), F.col("p"))))
-    shown = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat_ws(":", k, F.element_at("m", k)["samples"], F.format_string("%.4f", F.element_at("m", k)["pitch"])))
+    shown = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat_ws(":", k, F.element_at("m", k)["samples"], F.format_string("%.6f", F.element_at("m", k)["pitch"])))
     return merged.select("session_id", F.array_join(shown, ",").alias("profiles"))
 
 

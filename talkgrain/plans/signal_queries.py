@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talkgrain.functions import signals as S
 from talkgrain.operators import signals
 from talkgrain.plans.register import registered
+from talkgrain.sources.scratch import materialize
 from talkgrain.sources.tables import RECORDING, recording, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -153,10 +154,11 @@ _TALK = (
 def _talk(spark, sf_dir) -> DataFrame:
     """Rows (signal, frame, energy, mfcc): documents as talk, in pieces of a minute; a language is a voice."""
     text = F.lower(F.coalesce("text", F.lit("")))
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(F.col("doc_id") / TALK).alias("rec"), "doc_id", text.alias("t"), F.ceil(F.length(text) / SLICE).alias("n"))
+    # cut in one pass over a text; a slice by its place would be looked for from the beginning
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(F.col("doc_id") / TALK).alias("rec"), "doc_id", cut.alias("cut"), F.ceil(F.length(text) / SLICE).alias("n"))
     before = F.sum("n").over(Window.partitionBy("rec").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))  # of at most TALK documents
-    said = docs.withColumn("o", F.coalesce(before, F.lit(0))).where("n > 0").select("rec", "o", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    said = said.select("rec", (F.col("o") + F.col("i")).alias("frame"), F.substring(F.col("t"), (F.col("i") * SLICE + 1).cast("int"), F.lit(SLICE)).alias("x"))
+    said = docs.withColumn("o", F.coalesce(before, F.lit(0))).select("rec", "o", F.posexplode("cut").alias("i", "x")).select("rec", (F.col("o") + F.col("i")).alias("frame"), "x")
     ends = docs.groupBy("rec").agg(F.sum("n").alias("n")).withColumn("e", F.round(F.col("n") * (1 + PAUSE)).cast("long")).where("e > n")
     quiet = ends.select("rec", F.explode(F.sequence(F.col("n"), F.col("e") - 1)).alias("frame"), F.lit("").alias("x"))
     x = F.col("x")
@@ -191,7 +193,7 @@ def speaker_changes(spark, sf_dir):
 @query()
 def diarization(spark, sf_dir):
     """S146: who speaks when, minute by minute."""
-    return signals.diarized(_talk(spark, sf_dir))
+    return signals.diarized(materialize(_talk(spark, sf_dir), "talk"))  # read several times
 
 
 @query()

@@ -131,3 +131,13 @@ def test_change_points_of_the_table_equal_a_plain_loop(spark):
 def test_talk_has_several_speakers(spark):
     rows = signal_queries.QUERIES["diarization"](spark, SF).collect()
     assert len({r.label for r in rows}) > 1 and all(r.start < r.end for r in rows)
+
+
+def test_segment_vectors_equal_the_statistics(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, None if i % 37 == 0 else i // 25 % 5, i, [float(v) for v in rng.normal(size=5)] if s else [0.5] * 5) for s in range(3) for i in range(130 + s)]
+    rows.append((9, 4, 0, [1.0, 2.0, 3.0, 4.0, 5.0]))
+    df = spark.createDataFrame(rows, "signal long, segment long, frame long, mfcc array<double>")
+    want = {(r.signal, r.segment): r.v for r in signals.embeddings(signals.segment_statistics(df, ["signal"]), ["signal"]).collect()}
+    got = {(r.signal, r.segment): r.v for r in signals.segment_vectors(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
