@@ -5,30 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.functions import terms
 from talkgrain.functions import text as T
 
 LEAST_WORDS = 5
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """doc_id, texts: a row a doc_id, so that what concerns one document is done in its row and no word is shuffled.
+
+    The texts of a repeated doc_id are one document's; only then are texts shuffled.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs.groupBy("doc_id").agg(F.collect_list(text).alias("texts"))
+    return docs.select("doc_id", F.array(text).alias("texts"))
+
+
+def by_document(docs: DataFrame) -> DataFrame:
+    """doc_id, sents: array of (sentence, words), the sentences of five words or more in their order."""
+    cut = lambda t, k: F.transform(T.sentences(t), lambda s, p: F.struct(p.alias("p"), k.alias("k"), s.alias("sentence"), T.words(s).alias("words")))
+    each = F.flatten(F.transform("texts", lambda t, k: F.filter(cut(t, k), lambda x: F.size(x["words"]) >= LEAST_WORDS)))
+    one = F.when(F.size("texts") > 1, F.array_sort(each)).otherwise(each)
+    return whole(docs).select("doc_id", F.transform(one, lambda x: F.struct(x["sentence"].alias("sentence"), x["words"].alias("words"))).alias("sents"))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, i (from 0, among kept ones), n, sentence, words: sentences of five words or more."""
-    each = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "sentence"))
-    kept = each.withColumn("words", T.words(F.col("sentence"))).where(F.size("words") >= LEAST_WORDS)
-    return kept.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("p")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).drop("p")
+    each = by_document(docs).select("doc_id", F.size("sents").cast("long").alias("n"), F.posexplode("sents").alias("i", "x"))
+    return each.select("doc_id", "i", "n", "x.*")
+
 
+def _gathered(sent: DataFrame) -> DataFrame:
+    """Rows by document (doc_id, sents), as they are or from rows by sentence (doc_id, i, words and more)."""
+    if "sents" in sent.columns:
+        return sent
+    rest = [c for c in sent.columns if c not in ("doc_id", "i", "n")]
+    put = F.array_sort(F.collect_list(F.struct("i", F.struct(*rest).alias("x"))))
+    return sent.groupBy("doc_id").agg(F.transform(put, lambda s: s["x"]).alias("sents"))
 
-def term_counts(sent: DataFrame) -> DataFrame:
-    """doc_id, i, n, len, term, tf."""
-    each = sent.select("doc_id", "i", "n", F.size("words").alias("len"), F.explode("words").alias("term"))
-    return each.groupBy("doc_id", "i", "n", "len", "term").agg(F.count("*").alias("tf"))
+
+def _each(docs: DataFrame, name: str) -> DataFrame:
+    return docs.select("doc_id", F.posexplode("scores").alias("i", name))
+
+
+def _words() -> Column:
+    return F.transform("sents", lambda s: s["words"]).alias("words")
 
 
 def tf_idf(sent: DataFrame) -> DataFrame:
-    """doc_id, i, tfidf: sum of tf / len * ln(n / df), as a share of the document's largest."""
-    counts = term_counts(sent).withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
-    raw = counts.groupBy("doc_id", "i").agg(F.sum(F.col("tf") / F.col("len") * F.log(F.col("n") / F.col("df"))).alias("raw"))
-    top = F.max("raw").over(Window.partitionBy("doc_id"))
-    return raw.withColumn("tfidf", F.when(top > 0, F.col("raw") / top).otherwise(0.0)).select("doc_id", "i", "tfidf")
+    """doc_id, i, tfidf: sum of tf / len * ln(n / df), as a share of the document's largest; from `by_document` or `sentences`."""
+    docs = _gathered(sent).select("doc_id", _words())
+    return _each(terms.with_arrays(docs, "scores", "array<double>", lambda words: terms.scores_of(words, terms.Sentences.tf_idf), "words"), "tfidf")
 
 
 def position(i: Column, n: Column) -> Column:
@@ -42,82 +70,85 @@ def length_score(words: Column) -> Column:
 
 def density(sentence: Column, words: Column) -> Column:
     """Names by word, 1 at most."""
-    return F.least(F.lit(1.0), F.size(T.names(sentence)) / F.greatest(words, F.lit(1)))
+    return F.least(F.lit(1.0), T.name_count(sentence) / F.greatest(words, F.lit(1)))
 
 
-def extractive(sent: DataFrame, entities: bool = False) -> DataFrame:
-    """doc_id, i, score: 0.4 TF-IDF + 0.3 position + 0.15 length, and 0.15 density of names if `entities`; a single sentence scores 1."""
-    named = density(F.col("sentence"), F.size("words")) if entities else F.lit(0.0)
-    joined = sent.select("doc_id", "i", "n", F.size("words").alias("w"), named.alias("e")).join(tf_idf(sent), ["doc_id", "i"])
-    score = 0.4 * F.col("tfidf") + 0.3 * position(F.col("i"), F.col("n")) + 0.15 * length_score(F.col("w")) + 0.15 * F.col("e")
-    return joined.select("doc_id", "i", F.when(F.col("n") == 1, 1.0).otherwise(score).alias("score"))
+def extractive_scored(docs: DataFrame, entities: bool = False) -> DataFrame:
+    """doc_id, sents, scores: 0.4 TF-IDF + 0.3 position + 0.15 length, and 0.15 density of names if `entities`; a single sentence scores 1."""
+    n = F.size("sents")
 
+    def score(s: Column, i: Column) -> Column:
+        w = s["w"]
+        named = density(s["sentence"], w) if entities else F.lit(0.0)
+        return F.when(n == 1, 1.0).otherwise(0.4 * F.get("tfidf", i) + 0.3 * position(i, n) + 0.15 * length_score(w) + 0.15 * named)
 
-def lead(sent: DataFrame, entities: bool = False) -> DataFrame:
-    """doc_id, i, score: 0.8 max(0, 1 - 0.15 i) + 0.1 length, and 0.1 density of names if `entities`; a single sentence scores 1."""
-    score = 0.8 * F.greatest(F.lit(0.0), 1 - 0.15 * F.col("i")) + 0.1 * length_score(F.size("words"))
-    score = score + 0.1 * density(F.col("sentence"), F.size("words")) if entities else score
-    return sent.select("doc_id", "i", F.when(F.col("n") == 1, 1.0).otherwise(score).alias("score"))
+    short = F.transform("sents", lambda s: F.struct(s["sentence"].alias("sentence"), F.size(s["words"]).alias("w")))
+    known = docs.where("doc_id is not null").select("doc_id", short.alias("sents"), _words())
+    known = terms.with_arrays(known, "tfidf", "array<double>", lambda words: terms.scores_of(words, terms.Sentences.tf_idf), "words")
+    return known.select("doc_id", "sents", F.transform("sents", score).alias("scores"))
 
 
-def text_rank(sent: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """doc_id, i, score by power iteration on cosine similarities of term counts; rows without neighbours leak their mass.
+def lead_scored(docs: DataFrame, entities: bool = False) -> DataFrame:
+    """doc_id, sents, scores: 0.8 max(0, 1 - 0.15 i) + 0.1 length, and 0.1 density of names if `entities`; a single sentence scores 1."""
 
-    Similarities are the products of the sentences' unit vectors of terms, so a round multiplies by these vectors and their
-    transpose: the work and memory of a document are in proportion to its term counts, without a matrix of its sentences.
-    """
-    import numpy as np
-    import pandas as pd
+    def score(s: Column, i: Column) -> Column:
+        w = F.size(s["words"])
+        own = 0.8 * F.greatest(F.lit(0.0), 1 - 0.15 * i) + 0.1 * length_score(w)
+        return F.when(F.size("sents") == 1, 1.0).otherwise(own + 0.1 * density(s["sentence"], w) if entities else own)
+
+    return docs.select("doc_id", "sents", F.transform("sents", score).alias("scores"))
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        term, row = pd.factorize(pdf["term"])[0], pdf["i"].to_numpy()
-        tf = pdf["tf"].to_numpy(float)
-        terms = int(term.max()) + 1
-        unit = tf / np.sqrt(np.bincount(row, tf**2, n))[row]
 
-        def weighed(x: np.ndarray) -> np.ndarray:
-            """Sums of x over the other sentences by their similarity."""
-            shared = np.bincount(term, unit * x[row], terms)
-            return np.bincount(row, unit * (shared[term] - unit * x[row]), n)
+def text_rank_scored(docs: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """doc_id, sents, scores by power iteration on cosine similarities of term counts (`terms.Sentences.ranks`)."""
+    own = docs.select("doc_id", F.transform("sents", lambda s: s.dropFields("words")).alias("sents") if "sentence" in docs.schema["sents"].dataType.elementType.names else F.lit(None).alias("sents"), _words())
+    return terms.with_arrays(own, "scores", "array<double>", lambda words: terms.scores_of(words, lambda s: s.ranks(damping, rounds, tolerance)), "words")
 
-        linked = np.bincount(row, np.bincount(term, minlength=terms)[term] > 1, n) > 0
-        total = np.where(linked, weighed(np.ones(n)), 1.0)
-        score = np.full(n, 1 / n)
-        for _ in range(rounds):
-            new = (1 - damping) / n + damping * weighed(np.where(linked, score / total, 0.0))
-            done = np.abs(new - score).sum() < tolerance
-            score = new
-            if done:
-                break
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "i": np.arange(n), "score": score if n > 1 else [1.0]})
 
-    return term_counts(sent).groupBy("doc_id").applyInPandas(rank, "doc_id long, i long, score double")
+def extractive(sent: DataFrame, entities: bool = False) -> DataFrame:
+    """doc_id, i, score of `extractive_scored`, from `by_document` or `sentences`."""
+    return _each(extractive_scored(_gathered(sent), entities), "score")
 
 
-#: an algorithm is a function of `sentences` that returns doc_id, i, score; more may be added
-ALGORITHMS = {"extractive": extractive, "lead": lead, "textrank": text_rank}
+def lead(sent: DataFrame, entities: bool = False) -> DataFrame:
+    """doc_id, i, score of `lead_scored`, from `by_document` or `sentences`."""
+    return _each(lead_scored(_gathered(sent), entities), "score")
+
+
+def text_rank(sent: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """doc_id, i, score of `text_rank_scored`, from `by_document` or `sentences`."""
+    scored = _each(text_rank_scored(_gathered(sent), damping, rounds, tolerance), "score")
+    return scored.select("doc_id", F.col("i").cast("long").alias("i"), "score")
+
+
+#: an algorithm is a function of `by_document` that adds scores, a number a sentence; more may be added
+ALGORITHMS = {"extractive": extractive_scored, "lead": lead_scored, "textrank": text_rank_scored}
 
 
 def summary(docs: DataFrame, algorithm: str = "extractive", k: int = 5) -> DataFrame:
     """doc_id, summary: the k best sentences in their order."""
-    sent = sentences(docs)
-    scored = ALGORITHMS[algorithm](sent).join(sent.select("doc_id", "i", "sentence"), ["doc_id", "i"])
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "i"))).where(F.col("r") <= k)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda s: s["sentence"]), " ")
-    return best.groupBy("doc_id").agg(listed.alias("summary"))
+    scored = ALGORITHMS[algorithm](by_document(docs).where("doc_id is not null"))
+    ranked = F.array_sort(F.transform("sents", lambda s, i: F.struct((-F.round(F.get("scores", i), 9)).alias("s"), i.alias("i"), s["sentence"].alias("sentence"))))
+    best = F.array_sort(F.transform(F.slice(ranked, 1, k), lambda x: F.struct(x["i"].alias("i"), x["sentence"].alias("sentence"))))
+    return scored.where(F.size("sents") > 0).select("doc_id", F.array_join(F.transform(best, lambda x: x["sentence"]), " ").alias("summary"))
+
+
+def _all_words(docs: DataFrame) -> DataFrame:
+    """doc_id, texts, words: all words of a document in their order."""
+    return whole(docs).select("doc_id", "texts", F.flatten(F.transform("texts", T.words)).alias("words"))
+
+
+_TOP = "array<struct<word: string, n: long>>"
 
 
-def keyword_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, word, n: words of two letters or more that are no stop words."""
-    each = docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
-    stop = F.col("word").isin(T.TOPIC_STOP_WORDS)
-    return each.where((F.length("word") >= 2) & ~stop).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode("top").alias("p", "x")).select("doc_id", "x.word", "x.n", (F.col("p") + 1).alias("place"))
 
 
 def top_keywords(docs: DataFrame, k: int = 15) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
-    return keyword_counts(docs).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    """doc_id, word, n, place: a document's most frequent words of two letters or more that are no stop words."""
+    found = terms.with_arrays(_all_words(docs).drop("texts"), "top", _TOP, lambda words: terms.top_of(words, k, T.TOPIC_STOP_WORDS), "words")
+    return _placed(found)
 
 
 def named_entities(docs: DataFrame) -> DataFrame:
@@ -133,48 +164,25 @@ def top_entities(docs: DataFrame, k: int = 15) -> DataFrame:
 
 def top_terms(docs: DataFrame, k: int = 15) -> DataFrame:
     """doc_id, word, n, place: keywords by their counts, names (of two letters or more) among them by twice theirs."""
-    names = named_entities(docs).where(F.length("text") >= 2).select("doc_id", F.col("text").alias("word"), (2 * F.col("n")).alias("n"))
-    both = keyword_counts(docs).unionByName(names).groupBy("doc_id", "word").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
-    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    found = F.flatten(F.transform("texts", lambda t: F.flatten(F.transform(T.sentences(t), lambda s: F.transform(T.names(s), lambda x: x["text"])))))
+    both = _all_words(docs).select("doc_id", "words", found.alias("names"))
+    return _placed(terms.with_arrays(both, "top", _TOP, lambda words, names: terms.top_of(words, k, T.TOPIC_STOP_WORDS, names), "words", "names"))
 
 
 def co_occurring(docs: DataFrame, k: int = 20, reach: int = 49) -> DataFrame:
     """doc_id, a, b: pairs of a document's top keywords that stand within `reach` of each other in its keyword stream."""
-    top = top_keywords(docs, k).select("doc_id", "word")
-    stream = docs.select("doc_id", F.posexplode(T.words(F.col("text"))).alias("p", "word")).join(top, ["doc_id", "word"])
-    placed = stream.withColumn("p", F.row_number().over(Window.partitionBy("doc_id").orderBy("p")))
-    near = Window.partitionBy("doc_id").orderBy("p").rowsBetween(1, reach)
-    # what follows within reach is a bounded frame, at most k distinct words of it: no self-join of the stream
-    met = placed.withColumn("later", F.collect_set("word").over(near)).select("doc_id", "word", F.explode("later").alias("other"))
-    return met.where("word <> other").select("doc_id", F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
+    known = _all_words(docs).where("doc_id is not null").drop("texts")
+    known = terms.with_arrays(known, "pairs", "array<struct<a: string, b: string>>", lambda words: terms.pairs_of(words, k, reach, T.TOPIC_STOP_WORDS), "words")
+    return known.select("doc_id", F.explode("pairs").alias("x")).select("doc_id", "x.*")
 
 
-def topics(docs: DataFrame, k: int = 20, most: int = 5) -> DataFrame:
+def topics(docs: DataFrame, k: int = 20, most: int = 5, reach: int = 49) -> DataFrame:
     """doc_id, place, label, members, weight: clusters of a document's top keywords, in the order of their counts.
 
     A keyword that is in no cluster yet takes all such keywords that stand near it, itself among them; a cluster weighs the
-    sum of their counts, as a share of the document's largest. A document has at most `k` rows here, however long it is.
+    sum of their counts, as a share of the document's largest.
     """
-    import pandas as pd
-
-    near = co_occurring(docs, k)
-    both = near.unionByName(near.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    mates = both.groupBy("doc_id", F.col("a").alias("word")).agg(F.collect_set("b").alias("mates"))
-    rows = top_keywords(docs, k).join(mates, ["doc_id", "word"], "left").select("doc_id", "place", "word", "n", "mates")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        count = dict(zip(pdf["word"], pdf["n"].tolist(), strict=True))
-        free, found = dict.fromkeys(count), []
-        for word, mates in zip(pdf["word"], pdf["mates"], strict=True):
-            if word in free:
-                near = {word, *(mates if mates is not None else [])}
-                own = [w for w in free if w in near]
-                found.append((word, own, sum(count[w] for w in own)))
-                free = {w: None for w in free if w not in near}
-        top = max(total for *_, total in found)
-        out = [(pdf["doc_id"].iloc[0], i, label, own, total / top) for i, (label, own, total) in enumerate(found[:most])]
-        return pd.DataFrame(out, columns=["doc_id", "place", "label", "members", "weight"])
-
-    return rows.groupBy("doc_id").applyInPandas(cluster, "doc_id long, place long, label string, members array<string>, weight double")
+    kind = "array<struct<label: string, members: array<string>, weight: double>>"
+    found = terms.with_arrays(_all_words(docs).drop("texts"), "found", kind, lambda words: terms.topics_of(words, k, most, reach, T.TOPIC_STOP_WORDS), "words")
+    each = found.select("doc_id", F.posexplode("found").alias("place", "x"))
+    return each.select("doc_id", F.col("place").cast("long").alias("place"), "x.*")

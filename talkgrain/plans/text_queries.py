@@ -114,13 +114,14 @@ _SCORES = f"{_TFIDF}, scores as (select doc_id, i, sentence, case when n = 1 the
 
 
 def _sentences(spark, sf_dir):
-    return summaries.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return summaries.by_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"with {_SENT} select doc_id, i, n, w as words, sentence from sent")
 def sentence_list(spark, sf_dir):
     """S111: sentences of five words or more."""
-    return _sentences(spark, sf_dir).select("doc_id", F.col("i").cast("long").alias("i"), "n", F.size("words").cast("long").alias("words"), "sentence")
+    found = summaries.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("i").cast("long").alias("i"), "n", F.size("words").cast("long").alias("words"), "sentence")
 
 
 @query(f"with {_TFIDF} select doc_id, i, {_settled('tfidf')} as tfidf from tfidf")
