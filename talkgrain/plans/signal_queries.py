@@ -6,6 +6,10 @@ label for frames of coefficients.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,17 +158,37 @@ _TALK = (
 def _talk(spark, sf_dir) -> DataFrame:
     """Rows (signal, frame, energy, mfcc): documents as talk, in pieces of a minute; a language is a voice."""
     text = F.lower(F.coalesce("text", F.lit("")))
-    # cut in one pass over a text; a slice by its place would be looked for from the beginning
-    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(F.col("doc_id") / TALK).alias("rec"), "doc_id", cut.alias("cut"), F.ceil(F.length(text) / SLICE).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("rec").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))  # of at most TALK documents
-    said = docs.withColumn("o", F.coalesce(before, F.lit(0))).select("rec", "o", F.posexplode("cut").alias("i", "x")).select("rec", (F.col("o") + F.col("i")).alias("frame"), "x")
-    ends = docs.groupBy("rec").agg(F.sum("n").alias("n")).withColumn("e", F.round(F.col("n") * (1 + PAUSE)).cast("long")).where("e > n")
-    quiet = ends.select("rec", F.explode(F.sequence(F.col("n"), F.col("e") - 1)).alias("frame"), F.lit("").alias("x"))
-    x = F.col("x")
-    shares = [(F.length(x) - F.length(F.translate(x, c, ""))) / SLICE for c in LETTERS] + [F.length(F.regexp_replace(x, "[\\x00-\\x7f]", "")) / SLICE]
-    both = said.unionByName(quiet)
-    return both.select((F.col("rec") * 1_000_000 + F.floor(F.col("frame") / MINUTE)).alias("signal"), (F.col("frame") % MINUTE).alias("frame"), (F.length(F.regexp_replace(x, "[^\\p{L}]", "")) / SLICE).alias("energy"), F.array(*shares).alias("mfcc"))
+    # a byte a character: beyond ASCII a letter is one sign and anything else another, and that is all that frames tell of them
+    plain = F.regexp_replace(F.regexp_replace(text, "[\\p{L}&&[^\\x00-\\x7f]]", "é"), "[^\\x00-\\x7fé]", "·")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(F.col("doc_id") / TALK).alias("rec"), "doc_id", plain.alias("t"))
+    docs = docs.withColumn("n", F.ceil(F.length("t") / SLICE))
+    own = Window.partitionBy("rec").orderBy("doc_id")  # of at most TALK documents
+    o = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.lead("rec").over(own).isNull()
+    end = o + F.col("n")  # that of the recording, in its last document
+    docs = docs.select("rec", "t", o.alias("o"), F.when(last, F.round(end * (1 + PAUSE)).cast("long") - end).otherwise(0).alias("pause"))
+    return docs.mapInArrow(_framed_talk, "signal long, frame long, energy double, mfcc array<double>")
+
+
+def _framed_talk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames of documents (rec, t, o, pause), o their first frame's place in the recording and pause the silent ones that follow them."""
+    signs = [ord(c) for c in LETTERS]
+    for b in batches:
+        recs, starts, pauses = (b.column(c).to_pylist() for c in ("rec", "o", "pause"))
+        for rec, t, o, pause in zip(recs, b.column("t"), starts, pauses, strict=True):
+            x = np.frombuffer(t.as_py().encode("latin-1"), np.uint8)
+            x = np.concatenate([x, np.zeros(-len(x) % SLICE, np.uint8)]).reshape(-1, SLICE)
+            for first in range(0, len(x) + pause, 100_000):  # a long text's frames come in parts
+                y = x[first : first + 100_000]
+                n = min(100_000, len(x) + pause - first)
+                counts = np.zeros((n, len(signs) + 1))
+                counts[: len(y)] = np.stack([*((y == c).sum(axis=1) for c in signs), (y > 127).sum(axis=1)], axis=1)
+                energy = np.zeros(n)
+                energy[: len(y)] = (((y >= 97) & (y <= 122)) | (y == 0xE9)).sum(axis=1) / SLICE
+                frame = o + first + np.arange(n)
+                values = pa.array((counts / SLICE).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * counts.shape[1], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([pa.array(rec * 1_000_000 + frame // MINUTE), pa.array(frame % MINUTE), pa.array(energy), lists], names=["signal", "frame", "energy", "mfcc"])
 
 
 @query(f"with {_TALK} select signal, frame, round(energy, 6) as energy, array_to_string(list_transform(mfcc, lambda c: (c * {SLICE})::int), ',') as counts from talk")

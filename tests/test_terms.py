@@ -66,3 +66,10 @@ def test_snippets_with_folded_and_plain_words(spark):
     df = spark.createDataFrame([("one Thé of-the e-mail x2 THE, and",)], "t string")
     got = df.select(search.snippet(F.col("t"), ["of-the", "the"]).alias("s")).first().s
     assert got == "one <b>Thé</b> <b>of-the</b> e-mail x2 <b>THE,</b> and"
+
+
+def test_talk_reads_the_documents_once(spark):
+    from talkgrain.plans import signal_queries
+
+    plan = signal_queries._talk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
