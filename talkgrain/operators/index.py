@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrain.functions import terms
 from talkgrain.functions import text as T
 from talkgrain.operators import search
 
@@ -36,10 +37,16 @@ class SearchIndex:
         return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}/gen=*")
 
     def _add(self, segments: DataFrame, gen: int) -> None:
-        """Docs and postings of segments (key, text); the texts are cut once for each of the two."""
+        """Docs and postings of segments (key, text); the texts are cut once for each of the two.
+
+        Places are gathered in a segment's row, so no token is shuffled; only postings of repeated keys are put together after that.
+        """
         listed = segments.select(*self.key, T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
         self._write(listed.select(*self.key, F.size("t").cast("long").alias("dl")), "docs", gen)
-        each = listed.select(*self.key, F.posexplode("t").alias("place", "term")).groupBy(*self.key, "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+        own = terms.with_arrays(listed, "own", "array<struct<term: string, places: array<int>>>", terms.places_of, "t")
+        each = own.select(*self.key, F.explode("own").alias("x")).select(*self.key, "x.*")
+        if segments.groupBy(*self.key).count().where("count > 1").limit(1).count():
+            each = each.groupBy(*self.key, "term").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         self._write(each.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")), "postings", gen, ["bucket"])
 
     def rebuild(self, segments: DataFrame, gen: int = 0) -> None:
@@ -77,11 +84,11 @@ class SearchIndex:
     def docs(self) -> DataFrame:
         return self._live(self._read("docs")).select(*self.key, "dl")
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
+    def postings(self, asked: list[str] | None = None) -> DataFrame:
         """key, term, places; of some terms only, whose buckets alone are read."""
         rows = self._read("postings")
-        if terms is not None:
-            rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms}))).where(F.col("term").isin(terms))
+        if asked is not None:
+            rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in asked}))).where(F.col("term").isin(asked))
         return self._live(rows).select(*self.key, "term", "places")
 
     def search(self, query: list[str]) -> DataFrame:
