@@ -102,9 +102,13 @@ def snippet(text: Column, query: list[str], width: int = 32) -> Column:
     asked = phrases(query)
     one = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  computed once
 
+    def tokens(w: Column) -> Column:
+        """T.tokens of a word; most words are one token as they stand."""
+        return F.when(w.rlike("^[a-z0-9]+$"), F.array(w)).otherwise(T.tokens(w))
+
     def places(words: Column) -> Column:
         """Places (word, last word, term) by word."""
-        cut = F.flatten(F.transform(words, lambda w, i: F.transform(T.tokens(w), lambda t: F.struct(i.alias("i"), t.alias("t")))))
+        cut = F.flatten(F.transform(words, lambda w, i: F.transform(tokens(w), lambda t: F.struct(i.alias("i"), t.alias("t")))))
 
         def of(tokens: Column, q: int) -> Column:
             phrase = asked[q]
