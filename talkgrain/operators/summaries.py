@@ -46,7 +46,8 @@ def _gathered(sent: DataFrame) -> DataFrame:
 
 
 def _each(docs: DataFrame, name: str) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("scores").alias("i", name))
+    """A row a score. Outer, as the optimizer else asks for the size of `scores` above the scan and so computes them there too."""
+    return docs.select("doc_id", F.posexplode_outer("scores").alias("i", name)).where("i is not null")
 
 
 def _words() -> Column:
@@ -94,9 +95,11 @@ def lead_scored(docs: DataFrame, entities: bool = False) -> DataFrame:
     def score(s: Column, i: Column) -> Column:
         w = F.size(s["words"])
         own = 0.8 * F.greatest(F.lit(0.0), 1 - 0.15 * i) + 0.1 * length_score(w)
-        return F.when(F.size("sents") == 1, 1.0).otherwise(own + 0.1 * density(s["sentence"], w) if entities else own)
+        return own + 0.1 * density(s["sentence"], w) if entities else own
 
-    return docs.select("doc_id", "sents", F.transform("sents", score).alias("scores"))
+    # a document's sentences stand outside of the lambda: what is put in their place by the optimizer would be computed for each of them
+    scores = F.when(F.size("sents") == 1, F.array(F.lit(1.0))).otherwise(F.transform("sents", score))
+    return docs.select("doc_id", "sents", scores.alias("scores"))
 
 
 def text_rank_scored(docs: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:

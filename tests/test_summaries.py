@@ -69,3 +69,18 @@ def test_names(spark):
     df = spark.createDataFrame([(s,) for s in cases], "s string")
     got = {r.s: [tuple(x) for x in r.n] for r in df.select("s", T.names(F.col("s")).alias("n")).collect()}
     assert got == cases
+
+
+LEAD_TEXTS = [(1, "We saw Anna Maria in the town. Then all went home by the river."), (2, "this one stands all alone."), (3, "short."), (4, None)]
+
+
+def _cuts(df):
+    """How often the optimized plan cuts texts into sentences."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("(?<=")
+
+
+def test_lead_scores_cut_sentences_once(spark):
+    sents = summaries.by_document(spark.createDataFrame(LEAD_TEXTS, "doc_id long, text string"))
+    found = summaries.lead(sents)
+    assert _cuts(found) == _cuts(sents)
+    assert sorted((r.doc_id, r.i, round(r.score, 9)) for r in found.collect()) == [(1, 0, 0.876), (1, 1, 0.756), (2, 0, 1.0)]
