@@ -199,8 +199,8 @@ def extractive_scores_with_names(spark, sf_dir):
 
 @query(f"with {_SENT}, {_DENSE} select doc_id, i, floor(1000000 * (case when n = 1 then 1.0::double else 0.8::double * greatest(0, 1 - 0.15::double * i) + 0.1::double * {_LENGTH} + 0.1::double * e end) + 0.5001) / 1000000 as score from (select sent.*, e from sent join dense using (doc_id, i))")
 def lead_scores_with_names(spark, sf_dir):
-    """S115: lead scores of sentences with their density of names."""
-    return summaries.lead(_sentences(spark, sf_dir), entities=True).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("score")).alias("score"))
+    """S115: lead scores of sentences with their density of names; as in SQL, texts without a doc_id have none."""
+    return summaries.lead(_sentences(spark, sf_dir).where("doc_id is not null"), entities=True).select("doc_id", F.col("i").cast("long").alias("i"), T.settled(F.col("score")).alias("score"))
 
 
 @query(

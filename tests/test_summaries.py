@@ -84,3 +84,22 @@ def test_lead_scores_cut_sentences_once(spark):
     found = summaries.lead(sents)
     assert _cuts(found) == _cuts(sents)
     assert sorted((r.doc_id, r.i, round(r.score, 9)) for r in found.collect()) == [(1, 0, 0.876), (1, 1, 0.756), (2, 0, 1.0)]
+
+
+def test_lead_scores_with_names_cut_sentences_once(spark):
+    sents = summaries.by_document(spark.createDataFrame(LEAD_TEXTS, "doc_id long, text string"))
+    found = summaries.lead(sents, entities=True)
+    assert _cuts(found) == _cuts(sents)
+    assert sorted((r.doc_id, r.i, round(r.score, 6)) for r in found.collect()) == [(1, 0, 0.890286), (1, 1, 0.756), (2, 0, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["lead_scores", "lead_scores_with_names"])
+def test_lead_scores_of_odd_rows_equal_sql(spark, tmp_path, name):
+    """One sentence, none, null texts, null doc_ids."""
+    from talkgrain.plans import registry
+    from tests.compare import both
+
+    rows = [*LEAD_TEXTS, (None, LEAD_TEXTS[0][1] * 3), (5, ""), (6, " ".join(["Word"] * 90) + ". Then we met Dr Smith there at noon")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    have, want = both(spark, tmp_path, registry.QUERIES[name], registry.ORACLE_SQL[name])
+    assert have == want and len(have) > 4
